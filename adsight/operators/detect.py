@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adsight.functions import catalogue as C
@@ -71,47 +72,58 @@ def segment_windows(grain: DataFrame, start: dt.date, end: dt.date) -> DataFrame
 
 
 # --- building blocks ------------------------------------------------------------------------
-def enough_sample(metric: str, measures: K.Measures, floors: dict[str, float]) -> Column:
-    """Both sides of the metric reach their own floor in the current window."""
-    passed = F.lit(True)
-    for side in C.sides(metric):
-        measure = C.backing(side)
-        if floors.get(measure, 0.0) > 0:
-            held = F.coalesce(measures(measure).cast("double"), F.lit(0.0))
-            passed = passed & (held >= floors[measure])
-    return passed
-
-
-def noise_floor(metric: str, measures: K.Measures, floor: float) -> Column:
-    """How big a move has to be before this much data can tell it from luck."""
+# Candidate expressions are SQL text: dozens of metrics times windows are parsed in one call
+# instead of being assembled from thousands of small Column objects.
+def of(prefix: str, available: list[str]) -> Callable[[str], str]:
+    """Measure look-up by window prefix (SQL text); a measure the frame lacks is null."""
+    return lambda m: (
+        f"cast({prefix}_{m} as double)" if f"{prefix}_{m}" in available else "cast(null as double)")
+
+
+def value(metric: str, measures: Callable[[str], str], days: int) -> str:
+    """A metric over a window as SQL text: a ratio of sums, or a measure per day."""
+    if metric not in C.KPIS:
+        return f"{measures(metric)} / {days}"
+    kpi = C.KPIS[metric]
+    ratio = f"try_divide({measures(kpi.numerator)}, {measures(kpi.denominator)})"
+    return ratio if kpi.scale == 1.0 else f"{ratio} * {kpi.scale}D"
+
+
+def enough_sample(metric: str, measures: Callable[[str], str], floors: dict[str, float]) -> str:
+    """Both sides of the metric reach their own floor in the current window (SQL text)."""
+    needed = {C.backing(side): floors.get(C.backing(side), 0.0) for side in C.sides(metric)}
+    tests = [f"coalesce({measures(m)}, 0D) >= {low}D" for m, low in needed.items() if low > 0]
+    return " and ".join(tests) or "true"
+
+
+def noise_floor(metric: str, measures: Callable[[str], str], floor: float) -> str:
+    """How big a move has to be before this much data can tell it from luck (SQL text)."""
     counted = [C.backing(s) for s in C.sides(metric)]
     counts = [
-        F.when(measures(m) > 0, measures(m).cast("double"))
+        f"if({measures(m)} > 0, {measures(m)}, null)"
         for m in counted if m in C.MIN_SAMPLE and m != "spend"
     ]
     if not counts:
-        return F.lit(floor)
-    scarcest = counts[0] if len(counts) == 1 else F.least(*counts)
-    noise = F.lit(C.NOISE_SIGMAS * 100) / F.sqrt(scarcest)
-    return F.coalesce(F.greatest(F.lit(floor), noise), F.lit(floor))
+        return f"{floor}D"
+    scarcest = counts[0] if len(counts) == 1 else f"least({', '.join(counts)})"
+    noise = f"{C.NOISE_SIGMAS * 100}D / sqrt({scarcest})"
+    return f"coalesce(greatest({floor}D, {noise}), {floor}D)"
 
 
-def stands_out(value: Column, weeks: list[Column], margin_pct: float = C.MIN_MARGIN_PCT) -> Column:
-    """Outside every known week of history; fewer than three weeks give the benefit of doubt."""
-    known = sum((w.isNotNull().cast("int") for w in weeks[1:]), weeks[0].isNotNull().cast("int"))
-    margin = 1 + margin_pct / 100
-    beyond = (value > F.greatest(*weeks) * margin) | (value < F.least(*weeks) / margin)
-    return (known < C.MIN_WEEKS) | beyond
+def stands_out(current: str, weeks: list[str], margin_pct: float = C.MIN_MARGIN_PCT) -> str:
+    """Outside every known week of history; under three weeks give the benefit of doubt."""
+    known = " + ".join(f"cast({w} is not null as int)" for w in weeks)
+    margin, listed = 1 + margin_pct / 100, ", ".join(weeks)
+    return (f"({known} < {C.MIN_WEEKS} or {current} > greatest({listed}) * {margin}D "
+            f"or {current} < least({listed}) / {margin}D)")
 
 
-def of(prefix: str, available: list[str]) -> K.Measures:
-    """Measure look-up by window prefix; a measure the frame lacks is null."""
-    return lambda m: (
-        F.col(f"{prefix}_{m}") if f"{prefix}_{m}" in available else F.lit(None).cast("double"))
+def measure_struct(measures: Callable[[str], str]) -> str:
+    return "named_struct(" + ", ".join(f"'{m}', {measures(m)}" for m in C.ALL_MEASURES) + ")"
 
 
-def measure_struct(measures: K.Measures) -> Column:
-    return F.struct(*[measures(m).cast("double").alias(m) for m in C.ALL_MEASURES])
+def boolean(flag: bool | None) -> str:
+    return "cast(null as boolean)" if flag is None else str(flag).lower()
 
 
 def no_measures() -> Column:
@@ -158,7 +170,7 @@ class Rule:
 
     detector: str
     metric: str
-    applies: Column
+    applies: str
     min_change: float
     adverse_only: bool = False
 
@@ -174,63 +186,60 @@ def compare(
     """
     columns = frame.columns
     now, before = of("cur", columns), of(against, columns)
-    week_sets = [of(w, columns) for w in W.WEEKS] if weeks else []
-    empty = F.lit(None).cast("double")
+    history = {w: of(w, columns) if weeks else of("no", []) for w in W.WEEKS}
     before_days = C.BASELINE_DAYS if against == "base" else C.WINDOW_DAYS
 
-    def candidate(rule: Rule) -> Column:
+    def candidate(rule: Rule) -> str:
         metric = rule.metric
-        values = [K.metric_value(metric, w, C.WINDOW_DAYS) for w in week_sets] or [empty] * 4
-        ready = rule.applies & enough_sample(metric, now, floors)
-        return F.when(ready, F.struct(
-            F.lit(rule.detector).alias("detector"),
-            F.lit(metric).alias("metric"),
-            K.metric_value(metric, now, C.WINDOW_DAYS).alias("current"),
-            K.metric_value(metric, before, before_days).alias("baseline"),
-            noise_floor(metric, now, rule.min_change).alias("floor"),
-            F.lit(C.direction(metric)).cast("boolean").alias("better_up"),
-            F.lit(rule.adverse_only).alias("adverse_only"),
-            *[v.alias(w) for w, v in zip(W.WEEKS, values, strict=True)],
-        ))
-
-    rows = frame.select(
-        "as_of", *PATH_KEYS,
-        measure_struct(now).alias("measures"), measure_struct(before).alias("baseline_measures"),
-        F.inline(F.array_compact(F.array(*[candidate(rule) for rule in rules]))))
-    change = rows.withColumn("change_pct", K.change_pct("baseline", "current"))
-    adverse = F.coalesce((F.col("change_pct") < 0) == F.col("better_up"), F.lit(False))
+        weekly = ", ".join(f"'{w}', {value(metric, m, C.WINDOW_DAYS)}" for w, m in history.items())
+        return (
+            f"if({rule.applies} and {enough_sample(metric, now, floors)}, named_struct("
+            f"'detector', '{rule.detector}', 'metric', '{metric}', "
+            f"'current', {value(metric, now, C.WINDOW_DAYS)}, "
+            f"'baseline', {value(metric, before, before_days)}, "
+            f"'floor', {noise_floor(metric, now, rule.min_change)}, "
+            f"'better_up', {boolean(C.direction(metric))}, "
+            f"'adverse_only', {boolean(rule.adverse_only)}, {weekly}), null)")
+
+    listed = ", ".join(candidate(rule) for rule in rules)
+    rows = frame.selectExpr(
+        "as_of", *PATH_KEYS, f"{measure_struct(now)} as measures",
+        f"{measure_struct(before)} as baseline_measures",
+        f"inline(array_compact(array({listed})))")
+    change = rows.selectExpr(
+        "*", "try_divide(current - baseline, abs(baseline)) * 100 as change_pct")
     return as_signals(change.filter(
-        F.col("current").isNotNull()
-        & (F.abs("change_pct") >= F.col("floor"))
-        & stands_out(F.col("current"), [F.col(w) for w in W.WEEKS])
-    ).withColumn("adverse", adverse).filter("adverse or not adverse_only"))
+        f"current is not null and abs(change_pct) >= floor and "
+        f"{stands_out('current', list(W.WEEKS))}"
+    ).selectExpr("*", "coalesce((change_pct < 0) = better_up, false) as adverse").filter(
+        "adverse or not adverse_only"))
 
 
 def breaches(
-    frame: DataFrame, goals: dict[str, tuple[Column, Column, bool]], floors: dict[str, float]
+    frame: DataFrame, goals: dict[str, tuple[str, str, bool]], floors: dict[str, float]
 ) -> DataFrame:
-    """Metrics behind a target: metric -> (where it applies, target, higher is better)."""
+    """Metrics behind a target column: metric -> (where it applies, target, higher is better)."""
     now = of("cur", frame.columns)
 
-    def candidate(metric: str, applies: Column, target: Column, higher: bool) -> Column:
-        value = K.metric_value(metric, now, C.WINDOW_DAYS)
-        behind = K.goal_status(value, target, higher) == "behind"
-        return F.when(applies & enough_sample(metric, now, floors) & behind, F.struct(
-            F.lit(metric).alias("metric"), value.alias("current"),
-            target.cast("double").alias("baseline")))
-
-    rows = frame.select(
-        "as_of", *PATH_KEYS, measure_struct(now).alias("measures"),
-        F.inline(F.array_compact(F.array(*[
-            candidate(m, on, target, higher) for m, (on, target, higher) in goals.items()]))))
-    return as_signals(rows.withColumns({
+    def candidate(metric: str, applies: str, target: str) -> str:
+        return (
+            f"if({applies} and {target} > 0 and {enough_sample(metric, now, floors)}, "
+            f"named_struct('metric', '{metric}', 'current', {value(metric, now, C.WINDOW_DAYS)}, "
+            f"'baseline', cast({target} as double), 'higher', {boolean(goals[metric][2])}), null)")
+
+    listed = ", ".join(candidate(m, on, target) for m, (on, target, _) in goals.items())
+    rows = frame.selectExpr(
+        "as_of", *PATH_KEYS, f"{measure_struct(now)} as measures",
+        f"inline(array_compact(array({listed})))")
+    behind = K.goal_status("current", "baseline", F.col("higher")) == "behind"
+    return as_signals(rows.filter(behind).withColumns({
         "change_pct": K.change_pct("baseline", "current"), "adverse": F.lit(True),
         "detector": F.lit("goal_breach"), "baseline_measures": no_measures()}))
 
 
 # --- the detectors --------------------------------------------------------------------------
 def channel_rules(t: Thresholds) -> list[Rule]:
-    on = F.col("level") == "channel"
+    on = "level = 'channel'"
     return [Rule("baseline_change", m, on, t.min_change_pct) for m in C.LEVEL_METRICS["channel"]]
 
 
@@ -240,17 +249,18 @@ def deep_rules(t: Thresholds) -> list[Rule]:
     for level in lower:
         for metric in C.LEVEL_METRICS[level]:
             levels.setdefault(metric, []).append(level)
-    return [Rule("baseline_change", metric, F.col("level").isin(*where), t.min_change_pct)
-            for metric, where in levels.items()]
+    return [
+        Rule("baseline_change", metric, f"level in {tuple(where) + ('',)}", t.min_change_pct)
+        for metric, where in levels.items()]
 
 
 def account_rules(t: Thresholds) -> list[Rule]:
-    on = F.col("level") == "account"
+    on = "level = 'account'"
     return [Rule("baseline_change", m, on, t.min_change_pct) for m in C.ACCOUNT_METRICS]
 
 
 def funnel_rules(t: Thresholds) -> list[Rule]:
-    return [Rule("funnel_drop", m, F.lit(True), t.min_funnel_pct, True) for m in C.FUNNEL_METRICS]
+    return [Rule("funnel_drop", m, "true", t.min_funnel_pct, True) for m in C.FUNNEL_METRICS]
 
 
 def baseline_change(top: DataFrame, deep: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -269,14 +279,11 @@ def goal_breach(
 ) -> DataFrame:
     """Account metrics behind their target."""
     targets = M.account_targets(settings, F.col("as_of"))
-
-    def target(metric: str) -> Column:
-        value = M.target_of(targets, metric)
-        return value if metric in C.KPIS else value / C.WINDOW_DAYS
-
-    on = F.col("level") == "account"
-    return breaches(
-        top, {m: (on, target(m), C.direction(m)) for m in C.ACCOUNT_METRICS}, t.min_sample)
+    named = top.filter("level = 'account'").withColumns({
+        f"target_{m}": M.target_of(targets, m) / (1 if m in C.KPIS else C.WINDOW_DAYS)
+        for m in C.ACCOUNT_METRICS})
+    goals = {m: ("true", f"target_{m}", C.direction(m)) for m in C.ACCOUNT_METRICS}
+    return breaches(named, goals, t.min_sample)
 
 
 def overspend(top: DataFrame, budgets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -290,8 +297,8 @@ def overspend(top: DataFrame, budgets: DataFrame, t: Thresholds = Thresholds())
         channels = channels.withColumn("month", F.date_format("as_of", "yyyy-MM"))
         keys.append("month")
     known = channels.join(budgets.filter("budget > 0"), keys)
-    allowed = F.col("budget") / K.days_in_month("as_of")
-    return breaches(known, {"spend": (F.lit(True), allowed, False)}, t.min_sample)
+    allowed = "budget / day(last_day(as_of))"
+    return breaches(known, {"spend": ("true", allowed, False)}, t.min_sample)
 
 
 def funnel_drop(top: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -301,25 +308,24 @@ def funnel_drop(top: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 def segment_vs_peers(segments: DataFrame) -> DataFrame:
     """Adds ``peer_`` measures: the pooled rest of the segment's ad set, without a join."""
-    ad_set = Window.partitionBy("as_of", "channel_id", "campaign_id", "ad_set_id")
-    return segments.withColumns({
-        f"peer_{m}": F.when(
-            F.col(f"cur_{m}").isNotNull(), F.sum(f"cur_{m}").over(ad_set) - F.col(f"cur_{m}"))
-        for m in C.AD_MEASURES})
+    by_ad_set = "partition by as_of, channel_id, campaign_id, ad_set_id"
+    return segments.selectExpr("*", *[
+        f"if(cur_{m} is null, null, sum(cur_{m}) over ({by_ad_set}) - cur_{m}) as peer_{m}"
+        for m in C.AD_MEASURES])
 
 
 def segment_divergence(segments: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Age groups doing worse than the rest of their ad set."""
-    rules = [Rule("segment_divergence", m, F.lit(True), t.min_divergence_pct, True)
+    rules = [Rule("segment_divergence", m, "true", t.min_divergence_pct, True)
              for m in C.SEGMENT_METRICS]
     return compare(segment_vs_peers(segments), rules, t.min_sample, against="peer", weeks=False)
 
 
 def tracking_break(tracking: DataFrame, top: DataFrame) -> DataFrame:
     """Tracking verdicts that are not ok, as signals."""
-    now = of("cur", top.columns)
-    channels = top.filter(F.col("level") == "channel").select(
-        "as_of", "channel_id", measure_struct(now).alias("measures"))
+    now = measure_struct(of("cur", top.columns))
+    channels = top.filter("level = 'channel'").selectExpr(
+        "as_of", "channel_id", f"{now} as measures")
     odd = tracking.filter(F.col("status") != "ok").join(channels, ["as_of", "channel_id"], "left")
     return as_signals(odd.select(
         "as_of", F.lit("channel").alias("level"), F.col("channel_id").alias("key"), "channel_id",

@@ -151,6 +151,10 @@ def sums_between(
     measures: tuple[str, ...], start: P.Day, end: P.Day, prefix: str = ""
 ) -> list[Column]:
     """Conditional sums over a period; a measure with no rows stays null."""
+    if isinstance(start, dt.date) and isinstance(end, dt.date):
+        return [
+            F.expr(f"sum(if(date between date'{start}' and date'{end}', {m}, null)) as {prefix}{m}")
+            for m in measures]
     inside = P.between("date", start, end)
     return [F.sum(F.when(inside, F.col(m))).alias(prefix + m) for m in measures]
 

@@ -97,7 +97,7 @@ def conversions_vs_orders(ads: DataFrame, store: DataFrame) -> DataFrame:
 def _median(values: Column) -> Column:
     """Middle of an array of numbers (mean of the two middle ones when even)."""
     ordered, n = F.array_sort(values), F.size(values)
-    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+    low = F.try_element_at(ordered, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int"))
     high = F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)
     return low + (high - low) / 2
 

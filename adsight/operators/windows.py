@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adsight.functions import catalogue as C
@@ -22,11 +22,11 @@ FRAMES = {
 WEEKS = ("w1", "w2", "w3", "w4")
 
 
-def _baseline(measure: str) -> Column:
-    """Sum of the four weeks, null when none of them has the measure."""
-    weeks = [F.col(f"{w}_{measure}") for w in WEEKS]
-    total = sum((F.coalesce(w, F.lit(0)) for w in weeks[1:]), F.coalesce(weeks[0], F.lit(0)))
-    return F.when(F.coalesce(*weeks).isNotNull(), total)
+def _baseline(measure: str) -> str:
+    """Sum of the four weeks, null when none of them has the measure (SQL text)."""
+    weeks = [f"{w}_{measure}" for w in WEEKS]
+    total = " + ".join(f"coalesce({w}, 0)" for w in weeks)
+    return f"if(coalesce({', '.join(weeks)}) is null, null, {total}) as base_{measure}"
 
 
 def windows_at(
@@ -34,14 +34,13 @@ def windows_at(
 ) -> DataFrame:
     """Windows of one as-of date: one aggregation over a date-pruned scan."""
     start = as_of - dt.timedelta(days=REACH - 1)
-    inside = M.in_period(daily, start, as_of)
-    offset = F.datediff(F.col("date"), F.lit(as_of))
+    day = f"datediff(date, date'{as_of}')"
     sums = [
-        F.sum(F.when(offset.between(a, b), F.col(m))).alias(f"{w}_{m}")
+        F.expr(f"sum(if({day} between {a} and {b}, {m}, null)) as {w}_{m}")
         for w, (a, b) in FRAMES.items() for m in measures
     ]
-    return inside.groupBy(*keys).agg(*sums).withColumns(
-        {"as_of": F.lit(as_of), **{f"base_{m}": _baseline(m) for m in measures}})
+    return M.in_period(daily, start, as_of).groupBy(*keys).agg(*sums).selectExpr(
+        "*", f"date'{as_of}' as as_of", *[_baseline(m) for m in measures])
 
 
 def rolling_windows(
@@ -54,18 +53,20 @@ def rolling_windows(
     and the whole operator needs a single shuffle by key.
     """
     inside = M.in_period(daily, start - dt.timedelta(days=REACH - 1), end)
-    by_day = Window.partitionBy(*keys).orderBy("date")
-    limit = F.least(F.date_add("date", REACH - 1), F.lit(end))
-    until = F.least(limit, F.coalesce(F.date_sub(F.lead("date").over(by_day), 1), limit))
-    filled = inside.withColumn("until", until).select(
-        *keys, F.explode(F.sequence("date", "until")).alias("as_of"), "date", *measures
-    ).withColumns({m: F.when(F.col("as_of") == F.col("date"), F.col(m)) for m in measures})
-    by_number = Window.partitionBy(*keys).orderBy(F.unix_date("as_of"))
-    summed = filled.select(*keys, "as_of", *[
-        F.sum(m).over(by_number.rangeBetween(a, b)).alias(f"{w}_{m}")
+    by_key = f"partition by {', '.join(keys)}"
+    limit = f"least(date_add(date, {REACH - 1}), date'{end}')"
+    until = (f"least({limit}, coalesce("
+             f"date_sub(lead(date) over ({by_key} order by date), 1), {limit})) as until")
+    filled = inside.selectExpr("*", until).selectExpr(
+        *keys, "date", "explode(sequence(date, until)) as as_of", *measures
+    ).selectExpr(*keys, "as_of", *[f"if(as_of = date, {m}, null) as {m}" for m in measures])
+    frame = "sum({m}) over ({by} order by unix_date(as_of) range between {a} and {b}) as {w}_{m}"
+    edge = lambda d: "current row" if d == 0 else f"{-d} preceding"
+    summed = filled.selectExpr(*keys, "as_of", *[
+        frame.format(m=m, by=by_key, a=edge(a), b=edge(b), w=w)
         for w, (a, b) in FRAMES.items() for m in measures])
-    return summed.filter(F.col("as_of") >= F.lit(start)).withColumns(
-        {f"base_{m}": _baseline(m) for m in measures})
+    return summed.filter(f"as_of >= date'{start}'").selectExpr(
+        "*", *[_baseline(m) for m in measures])
 
 
 def detection_windows(

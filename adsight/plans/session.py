@@ -22,7 +22,7 @@ def build(app: str = "adsight", cpus: str | int = "*", partitions: int = 8) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 

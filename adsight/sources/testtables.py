@@ -43,32 +43,29 @@ def _text(column: Column) -> Column:
 
 def ad_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Daily ad facts by creative, age group, device and region."""
-    supp, part = F.col("l_suppkey"), F.col("l_partkey")
-    price, discount = money("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)")
-    quantity = F.col("l_quantity").cast("bigint")
-    meta = supp % 2 == 1
-    rows = table(spark, sf, "lineitem").select(
-        F.col("l_shipdate").cast("date").alias("date"),
-        F.when(meta, "meta_ads").otherwise("google_ads").alias("channel_id"),
-        _text(supp % 10).alias("campaign_id"),
-        _text(supp % 40).alias("ad_set_id"),
-        _text(supp % 80).alias("creative_id"),
-        pick(AGE_GROUPS, part % 4).alias("age_group"),
-        F.when(F.col("l_linestatus") == "O", "mobile").otherwise("desktop").alias("device"),
-        F.col("l_returnflag").alias("region"),
-        (quantity * 400).alias("impressions"),
-        F.when(meta, quantity * 300).alias("reach"),
-        (F.col("l_linenumber") * 20 + part % 50).cast("bigint").alias("clicks"),
-        (price * discount).cast("decimal(18,4)").alias("spend"),
-        (F.col("l_tax").cast("decimal(4,2)") * 100).cast("decimal(12,4)")
-        .alias("platform_conversions"),
-        (price * (1 - discount)).cast("decimal(18,4)").alias("platform_revenue"),
+    price, discount = "cast(l_extendedprice as decimal(14,2))", "cast(l_discount as decimal(4,2))"
+    rows = table(spark, sf, "lineitem").selectExpr(
+        "cast(l_shipdate as date) as date",
+        "if(l_suppkey % 2 = 0, 'google_ads', 'meta_ads') as channel_id",
+        "cast(l_suppkey % 10 as string) as campaign_id",
+        "cast(l_suppkey % 40 as string) as ad_set_id",
+        "cast(l_suppkey % 80 as string) as creative_id",
+        "case l_partkey % 4 when 0 then '18-24' when 1 then '25-34' when 2 then '35-44' "
+        "else '45+' end as age_group",
+        "if(l_linestatus = 'O', 'mobile', 'desktop') as device",
+        "l_returnflag as region",
+        "cast(l_quantity as bigint) * 400 as impressions",
+        "if(l_suppkey % 2 = 1, cast(l_quantity as bigint) * 300, null) as reach",
+        "cast(l_linenumber * 20 + l_partkey % 50 as bigint) as clicks",
+        f"cast({price} * {discount} as decimal(18,4)) as spend",
+        "cast(cast(l_tax as decimal(4,2)) * 100 as decimal(12,4)) as platform_conversions",
+        f"cast({price} * (1 - {discount}) as decimal(18,4)) as platform_revenue",
     )
     keys = ["date", "channel_id", "campaign_id", "ad_set_id", "creative_id", "age_group",
             "device", "region"]
     measures = ["impressions", "reach", "clicks", "spend", "platform_conversions",
                 "platform_revenue"]
-    return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    return rows.groupBy(*keys).agg(*[F.expr(f"sum({m}) as {m}") for m in measures])
 
 
 def named_ad_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,3 +260,13 @@ def alert_sightings(spark: SparkSession, sf: str) -> DataFrame:
         .alias("detectors"),
         F.col("spend").alias("score"),
     )
+
+
+# Minimum samples a tenth of the engine's own, because the test tables are small.
+def thresholds():
+    from adsight.functions import catalogue as C
+    from adsight.operators.detect import Thresholds
+
+    return Thresholds(
+        min_sample={m: floor / 10 for m, floor in C.MIN_SAMPLE.items()}, min_score=0.0,
+        min_orders=3.0)

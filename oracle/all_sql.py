@@ -1,5 +1,5 @@
 """Collects the oracle SQL of every area."""
 
-from oracle import metrics
+from oracle import detect, metrics
 
-SQL = {**metrics.SQL}
+SQL = {**metrics.SQL, **detect.SQL}
