@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adsight.operators import detect as D
+from adsight.operators import explain as X
 from adsight.operators import group as G
 from adsight.operators import metrics as M
+from adsight.operators import recommend as R
 from adsight.operators import trust as TR
 from adsight.plans.stages import staged
 
@@ -46,6 +48,15 @@ def analyse(
     return G.group_opportunities(G.most_specific(ranked, G.child_counts(ads)))
 
 
+def investigate(
+    opportunities: DataFrame, tracking: DataFrame, names: DataFrame, protected: list[str]
+) -> DataFrame:
+    """Evidence, diagnosis and recommendation beside every opportunity (no further shuffles)."""
+    known = X.with_trust(G.with_names(opportunities, names), tracking)
+    explained = X.with_evidence(known.withColumn("protected", X.is_protected(protected)))
+    return R.recommend(X.diagnose(explained))
+
+
 def span(ads: DataFrame, web: DataFrame, store: DataFrame) -> tuple[dt.date, dt.date]:
     """First and last day all three fact tables cover (three pairs of dates reach the driver)."""
     ends = [

@@ -140,6 +140,8 @@ def opportunities(spark: SparkSession, sf: str) -> DataFrame:
         .alias("status"),
         level.alias("entity_level"), key.alias("entity_key"), F.col("c_name").alias("entity_name"),
         channel.alias("channel_id"),
+        F.when(k % 4 >= 2, _text(n % 10)).alias("campaign_id"),
+        F.when(k % 4 == 3, _text(n % 40)).alias("ad_set_id"),
         pick(("cpa", "roas", "ctr", "cpc", "spend", "frequency"), k % 6).alias("primary_metric"),
         impact.alias("impact"), (impact / 2).alias("score"),
         confidence.alias("confidence"),
@@ -194,6 +196,16 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def settings_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """One settings row per nation; some margins are out of range, some campaigns unknown."""
+    k = F.col("n_nationkey")
+    return table(spark, sf, "nation").select(
+        k.cast("bigint").alias("business_id"),
+        (20 + k * 4).cast("double").alias("gross_margin_pct"),
+        (1 + k % 5).cast("double").alias("target_roas"),
+        F.array(_text(k), _text(k % 10)).alias("protected"))
+
+
 EVENT_KINDS = (
     "creative_fatigue", "audience_mismatch", "landing_page_break", "cpc_spike",
     "channel_opportunity", "tracking_break", "budget_overpace", "no_issue")

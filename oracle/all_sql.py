@@ -1,5 +1,5 @@
 """Collects the oracle SQL of every area."""
 
-from oracle import detect, metrics
+from oracle import detect, explain, metrics
 
-SQL = {**metrics.SQL, **detect.SQL}
+SQL = {**metrics.SQL, **detect.SQL, **explain.SQL}
