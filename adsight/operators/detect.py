@@ -205,7 +205,8 @@ def compare(
     rows = frame.selectExpr(
         "as_of", *PATH_KEYS, f"{measure_struct(now)} as measures",
         f"{measure_struct(before)} as baseline_measures",
-        f"inline(array_compact(array({listed})))")
+        # The outer form keeps Spark from inferring a filter that evaluates candidates twice.
+        f"inline_outer(array_compact(array({listed})))")
     change = rows.selectExpr(
         "*", "try_divide(current - baseline, abs(baseline)) * 100 as change_pct")
     return as_signals(change.filter(
@@ -230,7 +231,7 @@ def breaches(
     listed = ", ".join(candidate(m, on, target) for m, (on, target, _) in goals.items())
     rows = frame.selectExpr(
         "as_of", *PATH_KEYS, f"{measure_struct(now)} as measures",
-        f"inline(array_compact(array({listed})))")
+        f"inline_outer(array_compact(array({listed})))")
     behind = K.goal_status("current", "baseline", F.col("higher")) == "behind"
     return as_signals(rows.filter(behind).withColumns({
         "change_pct": K.change_pct("baseline", "current"), "adverse": F.lit(True),

@@ -56,8 +56,9 @@ def _(spark, sf):
 @query("dominant_chain")
 def _(spark, sf):
     return campaign_roots(spark, sf).select(
-        "as_of", "key", F.posexplode("chain").alias("place", "node")).select(
-        "as_of", "key", "place", "node.metric", F.round("node.share_pct", 6).alias("share_pct"))
+        "as_of", "key", F.posexplode_outer("chain").alias("place", "node")).select(
+        "as_of", "key", "place", "node.metric", F.round("node.share_pct", 6).alias("share_pct")
+    ).filter("place is not null")
 
 
 @query("is_protected")
@@ -85,7 +86,7 @@ def _(spark, sf):
 @query("diagnose")
 def _(spark, sf):
     return explained(spark, sf).select(
-        "as_of", "opportunity", F.posexplode("hypotheses").alias("place", "h")).select(
+        "as_of", "opportunity", F.posexplode_outer("hypotheses").alias("place", "h")).select(
         "as_of", "opportunity", "place", "h.cause", (-F.col("h.rank")).alias("weight"),
         "h.statement", "h.signal_ids")
 
@@ -93,7 +94,10 @@ def _(spark, sf):
 @query("recommend")
 def _(spark, sf):
     return explained(spark, sf).select(
-        "as_of", "opportunity", "confidence", "priority", "band", "recommendation.*")
+        "as_of", "opportunity", "priority", "band", "confidence", "recommendation.action",
+        "recommendation.rationale", "recommendation.impact_low", "recommendation.impact_high",
+        "recommendation.risk", "recommendation.watch", "recommendation.stop_condition",
+        "recommendation.params")
 
 
 def stored(spark, sf):

@@ -1,5 +1,5 @@
 """Collects the oracle SQL of every area."""
 
-from oracle import detect, explain, metrics
+from oracle import detect, explain, metrics, report
 
-SQL = {**metrics.SQL, **detect.SQL, **explain.SQL}
+SQL = {**metrics.SQL, **detect.SQL, **explain.SQL, **report.SQL}

@@ -218,9 +218,10 @@ val AS (SELECT *, CASE metric WHEN 'cpa' THEN {kpi("cpa")} WHEN 'roas' THEN {kpi
   WHEN 'ctr' THEN {kpi("ctr")} WHEN 'cpc' THEN {kpi("cpc")} ELSE spend / 7 END AS v FROM tot),
 webdays AS (SELECT 1),
 m AS (SELECT id, {_SIDE}, MAX(days) FILTER (side = 'after') AS days FROM val GROUP BY 1),
-j AS (SELECT d.id, d.opportunity_id, d.metric, before_value, after_value, days AS sample_days,
-  d.ends_on AS evaluated_on, d.ostatus,
-  (after_value - before_value) / NULLIF(abs(before_value), 0) * 100 AS g, days FROM due d JOIN m USING (id))
+j AS (SELECT d.id, d.opportunity_id, d.metric, m.before_value, m.after_value,
+  CAST(m.days AS BIGINT) AS sample_days, d.ends_on AS evaluated_on, d.ostatus,
+  (m.after_value - m.before_value) / NULLIF(abs(m.before_value), 0) * 100 AS g, m.days
+  FROM due d JOIN m USING (id))
 SELECT id, opportunity_id, metric, before_value, after_value, sample_days, evaluated_on, verdict,
  CASE WHEN verdict <> 'worked' AND ostatus = 'experimenting' THEN 'open' ELSE 'resolved' END
   AS opportunity_status FROM (
@@ -252,7 +253,7 @@ SELECT business_id, gross_margin_pct, target_roas,
  CASE WHEN gross_margin_pct <= 100 THEN 100 / gross_margin_pct END AS break_even_roas,
  CASE WHEN gross_margin_pct <= 100 THEN target_roas > 100 / gross_margin_pct END
   AS target_profitable,
- CASE WHEN CAST(k AS VARCHAR) IN (SELECT campaign_id FROM c) THEN 0 ELSE 1 END
+ CASE WHEN CAST(k AS VARCHAR) IN (SELECT campaign_id FROM c) THEN 0 ELSE CAST(1 AS BIGINT) END
  + CASE WHEN CAST(k % 10 AS VARCHAR) IN (SELECT campaign_id FROM c) THEN 0 ELSE 1 END
   AS unknown_campaigns FROM s""").replace(
     "unknown_campaigns FROM s", "unknown_campaigns_ FROM s").replace(
