@@ -1,4 +1,10 @@
 """Collects the registered queries of every area."""
 
-from adsight.plans import detect_queries, explain_queries, metric_queries, report_queries  # noqa: F401
+from adsight.plans import (  # noqa: F401
+    detect_queries,
+    explain_queries,
+    ingest_queries,
+    metric_queries,
+    report_queries,
+)
 from adsight.plans.queries import REGISTRY  # noqa: F401

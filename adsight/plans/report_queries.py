@@ -152,7 +152,8 @@ def _(spark, sf):
 @query("ungrounded_references")
 def _(spark, sf):
     """Cited ids outside the evidence, and proposed actions that are not available."""
-    rows = stored(spark, sf)
+    rows = stored(spark, sf).withColumn(
+        "key", F.concat("entity_level", F.lit(":"), "entity_key", F.lit("#"), "id"))
     known = rows.select("id", F.explode(F.array("key", "entity_name")).alias("signal_id"))
     cited = rows.select("id", F.explode(F.array(
         F.when(F.col("id") % 3 == 0, F.concat(F.col("key"), F.lit("?"))).otherwise(F.col("key")),
