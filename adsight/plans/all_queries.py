@@ -2,6 +2,7 @@
 
 from adsight.plans import (  # noqa: F401
     detect_queries,
+    evaluate_queries,
     explain_queries,
     ingest_queries,
     metric_queries,

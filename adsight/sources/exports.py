@@ -156,12 +156,11 @@ def validate_rows(rows: DataFrame, template: TP.Template) -> DataFrame:
     parsed = texts.withColumns({
         f.field: TP.parse(f.kind, F.col(f"raw_{f.field}"), f.choices) for f in template.fields})
     values = {f.field: F.col(f.field) for f in template.fields}
-    width = F.size("cells")
     found = F.when(F.col("cells").isNull(), F.array(F.concat(
-        F.lit("expected "), F.col("width").cast("string"), F.lit(" columns"))))
+        F.lit("expected "), F.col("width").cast("string"), F.lit(" columns, found "),
+        F.size(header_cells(F.col("value"))).cast("string"))))
     first = parsed.withColumn(
         "errors", found.otherwise(TP.cell_errors(template, by_header, values)))
-    del width
     checked = first.withColumn("errors", F.when(
         F.size("errors") == 0, TP.check_errors(template, values)).otherwise(F.col("errors")))
     return reject_duplicates(checked, ["file", *template.key]).drop(

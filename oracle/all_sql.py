@@ -1,5 +1,5 @@
 """Collects the oracle SQL of every area."""
 
-from oracle import detect, explain, ingest, metrics, report
+from oracle import detect, evaluate, explain, ingest, metrics, report
 
-SQL = {**metrics.SQL, **detect.SQL, **explain.SQL, **report.SQL, **ingest.SQL}
+SQL = {**metrics.SQL, **detect.SQL, **explain.SQL, **report.SQL, **ingest.SQL, **evaluate.SQL}
