@@ -126,11 +126,6 @@ def boolean(flag: bool | None) -> str:
     return "cast(null as boolean)" if flag is None else str(flag).lower()
 
 
-def no_measures() -> Column:
-    fields = ",".join(f"{m}:double" for m in C.ALL_MEASURES)
-    return F.lit(None).cast(f"struct<{fields}>")
-
-
 def entity_id() -> Column:
     return F.concat_ws(":", "level", "key")
 
@@ -175,67 +170,83 @@ class Rule:
     adverse_only: bool = False
 
 
-def compare(
-    frame: DataFrame, rules: list[Rule], floors: dict[str, float], against: str = "base",
-    weeks: bool = True,
-) -> DataFrame:
-    """The current window against another one, for all rules in one pass over the frame.
+def candidate(
+    detector: str, metric: str, ready: str, current: str, baseline: str, *, floor: str = "0D",
+    better_up: bool | None = None, adverse_only: bool = False, forced: bool = False,
+    weeks: list[str] | None = None,
+) -> str:
+    """One possible signal of a row as a struct, null unless ``ready`` (SQL text).
 
-    Candidates become rows carrying plain columns, so the tests below run as one generated
-    filter.
+    ``forced`` findings are adverse by definition and carry no baseline measures.
     """
-    columns = frame.columns
-    now, before = of("cur", columns), of(against, columns)
-    history = {w: of(w, columns) if weeks else of("no", []) for w in W.WEEKS}
-    before_days = C.BASELINE_DAYS if against == "base" else C.WINDOW_DAYS
+    history = weeks or ["cast(null as double)"] * len(W.WEEKS)
+    weekly = ", ".join(f"'{w}', {v}" for w, v in zip(W.WEEKS, history, strict=True))
+    return (
+        f"if({ready}, named_struct('detector', '{detector}', 'metric', '{metric}', "
+        f"'current', {current}, 'baseline', cast({baseline} as double), 'floor', {floor}, "
+        f"'better_up', {boolean(better_up)}, 'adverse_only', {boolean(adverse_only)}, "
+        f"'forced', {boolean(forced)}, {weekly}), null)")
 
-    def candidate(rule: Rule) -> str:
-        metric = rule.metric
-        weekly = ", ".join(f"'{w}', {value(metric, m, C.WINDOW_DAYS)}" for w, m in history.items())
-        return (
-            f"if({rule.applies} and {enough_sample(metric, now, floors)}, named_struct("
-            f"'detector', '{rule.detector}', 'metric', '{metric}', "
-            f"'current', {value(metric, now, C.WINDOW_DAYS)}, "
-            f"'baseline', {value(metric, before, before_days)}, "
-            f"'floor', {noise_floor(metric, now, rule.min_change)}, "
-            f"'better_up', {boolean(C.direction(metric))}, "
-            f"'adverse_only', {boolean(rule.adverse_only)}, {weekly}), null)")
-
-    listed = ", ".join(candidate(rule) for rule in rules)
+
+def fire(frame: DataFrame, candidates: list[str], against: str = "base") -> DataFrame:
+    """Signals of all candidates in one pass over a frame of windows.
+
+    Candidates become rows carrying plain columns, so the tests run as one generated filter.
+    """
+    columns = frame.columns
+    now, before = measure_struct(of("cur", columns)), measure_struct(of(against, columns))
     rows = frame.selectExpr(
-        "as_of", *PATH_KEYS, f"{measure_struct(now)} as measures",
-        f"{measure_struct(before)} as baseline_measures",
+        "as_of", *PATH_KEYS, f"{now} as measures", f"{before} as before_measures",
         # The outer form keeps Spark from inferring a filter that evaluates candidates twice.
-        f"inline_outer(array_compact(array({listed})))")
+        f"inline_outer(array_compact(array({', '.join(candidates)})))")
     change = rows.selectExpr(
         "*", "try_divide(current - baseline, abs(baseline)) * 100 as change_pct")
-    return as_signals(change.filter(
+    kept = change.filter(
         f"current is not null and abs(change_pct) >= floor and "
-        f"{stands_out('current', list(W.WEEKS))}"
-    ).selectExpr("*", "coalesce((change_pct < 0) = better_up, false) as adverse").filter(
-        "adverse or not adverse_only"))
+        f"{stands_out('current', list(W.WEEKS))}")
+    return as_signals(kept.selectExpr(
+        "*", "forced or coalesce((change_pct < 0) = better_up, false) as adverse",
+        "if(forced, null, before_measures) as baseline_measures",
+    ).filter("adverse or not adverse_only"))
+
+
+def rule_candidates(
+    columns: list[str], rules: list[Rule], floors: dict[str, float], against: str = "base",
+    weeks: bool = True,
+) -> list[str]:
+    """Comparisons of the current window with another one."""
+    now, before = of("cur", columns), of(against, columns)
+    before_days = C.BASELINE_DAYS if against == "base" else C.WINDOW_DAYS
+    return [
+        candidate(
+            r.detector, r.metric, f"{r.applies} and {enough_sample(r.metric, now, floors)}",
+            value(r.metric, now, C.WINDOW_DAYS), value(r.metric, before, before_days),
+            floor=noise_floor(r.metric, now, r.min_change), better_up=C.direction(r.metric),
+            adverse_only=r.adverse_only,
+            weeks=[value(r.metric, of(w, columns), C.WINDOW_DAYS) for w in W.WEEKS]
+            if weeks else None)
+        for r in rules]
 
 
-def breaches(
-    frame: DataFrame, goals: dict[str, tuple[str, str, bool]], floors: dict[str, float]
+def compare(
+    frame: DataFrame, rules: list[Rule], floors: dict[str, float], against: str = "base",
+    weeks: bool = True,
 ) -> DataFrame:
-    """Metrics behind a target column: metric -> (where it applies, target, higher is better)."""
-    now = of("cur", frame.columns)
+    return fire(frame, rule_candidates(frame.columns, rules, floors, against, weeks), against)
 
-    def candidate(metric: str, applies: str, target: str) -> str:
-        return (
-            f"if({applies} and {target} > 0 and {enough_sample(metric, now, floors)}, "
-            f"named_struct('metric', '{metric}', 'current', {value(metric, now, C.WINDOW_DAYS)}, "
-            f"'baseline', cast({target} as double), 'higher', {boolean(goals[metric][2])}), null)")
 
-    listed = ", ".join(candidate(m, on, target) for m, (on, target, _) in goals.items())
-    rows = frame.selectExpr(
-        "as_of", *PATH_KEYS, f"{measure_struct(now)} as measures",
-        f"inline_outer(array_compact(array({listed})))")
-    behind = K.goal_status("current", "baseline", F.col("higher")) == "behind"
-    return as_signals(rows.filter(behind).withColumns({
-        "change_pct": K.change_pct("baseline", "current"), "adverse": F.lit(True),
-        "detector": F.lit("goal_breach"), "baseline_measures": no_measures()}))
+def breach_candidate(
+    columns: list[str], metric: str, applies: str, target: str, higher: bool,
+    floors: dict[str, float],
+) -> str:
+    """A metric behind its target column; a cost of zero or less is never behind."""
+    now = of("cur", columns)
+    current = value(metric, now, C.WINDOW_DAYS)
+    share = f"try_divide({current}, {target})" if higher else (
+        f"if({current} > 0, try_divide({target}, {current}), null)")
+    behind = f"coalesce({share} < {1 - C.GOAL_TOLERANCE}D, false)"
+    ready = f"{applies} and {target} > 0 and {enough_sample(metric, now, floors)} and {behind}"
+    return candidate("goal_breach", metric, ready, current, target, forced=True)
 
 
 # --- the detectors --------------------------------------------------------------------------
@@ -275,31 +286,46 @@ def account_change(top: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return compare(top, account_rules(t), t.min_sample)
 
 
-def goal_breach(
-    top: DataFrame, settings: M.Settings | None, t: Thresholds = Thresholds()
-) -> DataFrame:
-    """Account metrics behind their target."""
+def with_targets(top: DataFrame, settings: M.Settings | None) -> DataFrame:
+    """Adds the account's goals of the window's month as ``target_`` columns."""
     targets = M.account_targets(settings, F.col("as_of"))
-    named = top.filter("level = 'account'").withColumns({
+    return top.withColumns({
         f"target_{m}": M.target_of(targets, m) / (1 if m in C.KPIS else C.WINDOW_DAYS)
         for m in C.ACCOUNT_METRICS})
-    goals = {m: ("true", f"target_{m}", C.direction(m)) for m in C.ACCOUNT_METRICS}
-    return breaches(named, goals, t.min_sample)
 
 
-def overspend(top: DataFrame, budgets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Channels spending more a day than the month's budget allows.
+def goal_candidates(columns: list[str], t: Thresholds) -> list[str]:
+    return [
+        breach_candidate(columns, m, "level = 'account'", f"target_{m}", C.direction(m),
+                         t.min_sample) for m in C.ACCOUNT_METRICS]
 
-    ``budgets``: (channel_id, budget), optionally with a ``month`` (yyyy-MM) of the as-of date.
-    """
-    channels = top.filter(F.col("level") == "channel")
+
+def goal_breach(
+    top: DataFrame, settings: M.Settings | None, t: Thresholds = Thresholds()
+) -> DataFrame:
+    """Account metrics behind their target."""
+    named = with_targets(top, settings)
+    return fire(named, goal_candidates(named.columns, t))
+
+
+def with_budget(top: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Adds the channel's budget. ``budgets``: (channel_id, budget), optionally by ``month``."""
     keys = ["channel_id"]
     if "month" in budgets.columns:
-        channels = channels.withColumn("month", F.date_format("as_of", "yyyy-MM"))
+        top = top.withColumn("month", F.date_format("as_of", "yyyy-MM"))
         keys.append("month")
-    known = channels.join(budgets.filter("budget > 0"), keys)
-    allowed = "budget / day(last_day(as_of))"
-    return breaches(known, {"spend": ("true", allowed, False)}, t.min_sample)
+    return top.join(budgets, keys, "left")
+
+
+def spend_candidate(columns: list[str], t: Thresholds) -> str:
+    allowed = "(budget / day(last_day(as_of)))"
+    return breach_candidate(columns, "spend", "level = 'channel'", allowed, False, t.min_sample)
+
+
+def overspend(top: DataFrame, budgets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Channels spending more a day than the month's budget allows."""
+    known = with_budget(top.filter("level = 'channel'"), budgets)
+    return fire(known, [spend_candidate(known.columns, t)])
 
 
 def funnel_drop(top: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -322,21 +348,20 @@ def segment_divergence(segments: DataFrame, t: Thresholds = Thresholds()) -> Dat
     return compare(segment_vs_peers(segments), rules, t.min_sample, against="peer", weeks=False)
 
 
+def with_verdicts(top: DataFrame, tracking: DataFrame) -> DataFrame:
+    """Adds the channel's tracking verdict of the day."""
+    verdicts = tracking.select("as_of", "channel_id", "status", "ratio_change")
+    return top.join(verdicts, ["as_of", "channel_id"], "left")
+
+
+TRACKING_CANDIDATE = candidate(
+    "tracking_break", "platform_conversions", "level = 'channel' and status <> 'ok'",
+    "ratio_change", "1D", forced=True)
+
+
 def tracking_break(tracking: DataFrame, top: DataFrame) -> DataFrame:
     """Tracking verdicts that are not ok, as signals."""
-    now = measure_struct(of("cur", top.columns))
-    channels = top.filter("level = 'channel'").selectExpr(
-        "as_of", "channel_id", f"{now} as measures")
-    odd = tracking.filter(F.col("status") != "ok").join(channels, ["as_of", "channel_id"], "left")
-    return as_signals(odd.select(
-        "as_of", F.lit("channel").alias("level"), F.col("channel_id").alias("key"), "channel_id",
-        F.lit(None).cast("string").alias("campaign_id"),
-        F.lit(None).cast("string").alias("ad_set_id"),
-        F.lit("tracking_break").alias("detector"),
-        F.lit("platform_conversions").alias("metric"),
-        F.col("ratio_change").alias("current"), F.lit(1.0).alias("baseline"),
-        ((F.col("ratio_change") - 1) * 100).alias("change_pct"), F.lit(True).alias("adverse"),
-        "measures", no_measures().alias("baseline_measures")))
+    return fire(with_verdicts(top.filter("level = 'channel'"), tracking), [TRACKING_CANDIDATE])
 
 
 def detect(
@@ -346,21 +371,18 @@ def detect(
 ) -> DataFrame:
     """Every raw signal for every as-of date of a range (one day: start = end).
 
-    All readers take the same grain aggregation, so Spark shuffles the raw facts once and reuses
-    that exchange.
+    Three readers (top levels, deep levels, segments) share one grain aggregation, whose shuffle
+    Spark reuses; each of them is passed over once for all of its detectors.
     """
     first = start - dt.timedelta(days=W.REACH - 1)
     grain = M.entity_daily(M.in_period(ads, first, end))
-    top = top_windows(grain, web, store, start, end)
-    deep = deep_windows(grain, start, end)
-    top_rules = account_rules(t) + channel_rules(t) + funnel_rules(t)
-    parts = [
-        compare(top, top_rules, t.min_sample),
-        compare(deep, deep_rules(t), t.min_sample),
-        segment_divergence(segment_windows(grain, start, end), t),
-        goal_breach(top, settings, t), overspend(top, budgets, t), tracking_break(tracking, top),
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    top = with_verdicts(with_budget(with_targets(
+        top_windows(grain, web, store, start, end), settings), budgets), tracking)
+    rules = account_rules(t) + channel_rules(t) + funnel_rules(t)
+    known = top.columns
+    found = fire(top, [
+        *rule_candidates(known, rules, t.min_sample), *goal_candidates(known, t),
+        spend_candidate(known, t), TRACKING_CANDIDATE])
+    deep = compare(deep_windows(grain, start, end), deep_rules(t), t.min_sample)
+    segments = segment_divergence(segment_windows(grain, start, end), t)
+    return found.unionByName(deep).unionByName(segments)

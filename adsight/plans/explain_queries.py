@@ -115,6 +115,12 @@ def _(spark, sf):
     return stored(spark, sf).select("id", "allowed")
 
 
+@query("params_for")
+def _(spark, sf):
+    chosen = stored(spark, sf).withColumn("action", R.choose_action(F.array("cause"), "allowed"))
+    return chosen.select("id", *[c.alias(n) for n, c in R.params_for("action").items()])
+
+
 @query("action_catalogue")
 def _(spark, sf):
     """Each action's terms with the number of stored opportunities that allow it."""

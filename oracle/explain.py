@@ -147,6 +147,13 @@ CTES["chosen"] = (("allow", "answers"), """
 SELECT o.*, c.action, c.watch FROM opp_rows o LEFT JOIN (
  SELECT id, arg_min(a.action, place) AS action, arg_min(COALESCE(a.watch, ''), place) AS watch
  FROM allow a JOIN answers n ON n.cause = a.cause AND n.action = a.action GROUP BY 1) c USING (id)""")
+SQL["params_for"] = with_("chosen", """
+SELECT id, level AS target_level, key AS target_key, channel_id AS channel,
+ CASE WHEN level = 'creative' THEN key END AS creative_id,
+ CASE WHEN level = 'ad_set' THEN key ELSE ad_set_id END AS ad_set_id,
+ CASE WHEN level = 'campaign' THEN key ELSE campaign_id END AS campaign_id,
+ CASE WHEN action = 'shift_budget' THEN CASE WHEN kind = 'win' THEN 'into' ELSE 'out_of' END END
+  AS direction FROM chosen""")
 SQL["choose_action"] = with_("chosen", "SELECT id, cause, action FROM chosen")
 SQL["confidence"] = with_("opp_rows", """
 SELECT id, round_even(CAST(0.1 AS DOUBLE) + (1 - CAST(0.1 AS DOUBLE)) * (
