@@ -102,68 +102,81 @@ def child_counts(ads: DataFrame) -> DataFrame:
 def nodes_of(signals: DataFrame) -> DataFrame:
     """Every entity a move was seen at or under, with the parent it hangs from.
 
+    ``move`` is a struct, so that a move and an entity are two keys wherever they meet.
     ``owned``: the entity reported the move itself; ``inner``: something under it did.
     """
     chain = F.concat("ancestors", F.array("entity_id"))
     seen = signals.filter(F.col("detector") != PEER_DETECTOR).select(
-        *MOVE, F.col("entity_id").alias("reporter"), F.posexplode(chain).alias("depth", "node"),
-        chain.alias("chain"))
+        F.struct(*MOVE).alias("move"), F.col("entity_id").alias("reporter"),
+        F.posexplode_outer(chain).alias("depth", "node"), chain.alias("chain"))
     parent = F.when(F.col("depth") > 0, F.element_at("chain", F.greatest("depth", F.lit(1))))
-    return seen.withColumn("parent", parent).groupBy(*MOVE, "depth", "node", "parent").agg(
+    return seen.withColumn("parent", parent).groupBy("move", "depth", "node", "parent").agg(
         F.bool_or(F.col("node") == F.col("reporter")).alias("owned"),
         F.bool_or(F.col("node") != F.col("reporter")).alias("inner"))
 
 
-def broad_moves(signals: DataFrame, children: DataFrame) -> DataFrame:
-    """Moves carried by at least two and at least half of an entity's children.
+def _broad_nodes(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """(move, node) of every owned broad move.
 
-    The hierarchy is four steps deep, so the recursion is four aggregations, deepest first: a
-    child carries a move when it reported it or when the move ran across its own children.
-    Returns (move, entity_id) for entities that reported the move themselves.
+    The hierarchy is four steps deep, so the recursion is four rounds, deepest first: a child
+    carries a move when it reported it or when the move ran across its own children. Rounds hand
+    their result on by union and aggregation, which needs no join between them.
     """
-    nodes = nodes_of(signals).join(
-        children.withColumnRenamed("entity_id", "node"), "node", "left")
+    sized = nodes.join(children.withColumnRenamed("entity_id", "node"), "node", "left").select(
+        "move", "depth", "node", "parent", "owned", "children", F.lit(False).alias("across"))
     carried = None
     broad = None
     for depth in (3, 2, 1, 0):
-        below = nodes.filter(F.col("depth") == depth + 1)
-        carries = F.col("owned")
+        below = sized.filter(F.col("depth") == depth + 1).select("move", "node", "parent", F.col(
+            "owned").alias("carries"))
         if carried is not None:
-            below = below.join(
-                carried.withColumnRenamed("entity_id", "node"), [*MOVE, "node"], "left")
-            carries = carries | F.coalesce("across", F.lit(False))
-        counts = below.groupBy(*MOVE, F.col("parent").alias("node")).agg(
-            F.count_if(carries).alias("carrying"), F.count(F.lit(1)).alias("branches"))
-        here = nodes.filter(F.col("depth") == depth).join(counts, [*MOVE, "node"])
+            below = below.unionByName(carried)
+        once = below.groupBy("move", "node", "parent").agg(F.bool_or("carries").alias("carries"))
+        counts = once.groupBy("move", F.col("parent").alias("node")).agg(
+            F.count_if("carries").alias("carrying"), F.count(F.lit(1)).alias("branches"))
+        here = sized.filter(F.col("depth") == depth).join(counts, ["move", "node"])
         known = F.coalesce("children", "branches")
         across = here.filter(
             (F.col("carrying") >= 2) & (F.col("carrying") >= C.BROAD_SHARE * known))
-        carried = across.select(
-            *MOVE, F.col("node").alias("entity_id"), F.lit(True).alias("across"))
-        owned = across.filter("owned").select(*MOVE, F.col("node").alias("entity_id"))
+        carried = across.select("move", "node", "parent", F.lit(True).alias("carries"))
+        owned = across.filter("owned").select("move", "node")
         broad = owned if broad is None else broad.unionByName(owned)
     return broad
 
 
+def broad_moves(signals: DataFrame, children: DataFrame) -> DataFrame:
+    """Moves carried by at least two and at least half of an entity's children.
+
+    Only entities that reported the move themselves can own it.
+    """
+    found = _broad_nodes(nodes_of(signals), children)
+    return found.select("move.*", F.col("node").alias("entity_id"))
+
+
 def most_specific(signals: DataFrame, children: DataFrame) -> DataFrame:
     """Keeps a movement at the one level where it can be acted on.
 
-    Reads its input several times: pass a signals frame that is cheap to re-read (stored or
-    cached) when it comes from a long plan.
+    Reads its input several times: pass a stored signals frame when it comes from a long plan.
     """
     peers = signals.filter(F.col("detector") == PEER_DETECTOR)
-    rolled = signals.filter(F.col("detector") != PEER_DETECTOR)
-    broad = broad_moves(signals, children).withColumn("is_broad", F.lit(True))
-    inner = nodes_of(signals).filter("inner").select(*MOVE, F.col("node").alias("entity_id"))
-    # Below a broad entity: explode the ancestors and drop every signal that meets one.
-    owned_above = rolled.select("id", *MOVE, F.explode("ancestors").alias("entity_id")).join(
-        broad, [*MOVE, "entity_id"], "left_semi").select("as_of", "id").distinct()
-    kept = (
-        rolled.join(owned_above, ["as_of", "id"], "left_anti")
-        .join(inner.withColumn("is_inner", F.lit(True)), [*MOVE, "entity_id"], "left")
-        .join(broad, [*MOVE, "entity_id"], "left")
-        .filter(F.col("is_inner").isNull() | F.coalesce("is_broad", F.lit(False)))
-    )
+    rolled = signals.filter(F.col("detector") != PEER_DETECTOR).withColumn("move", F.struct(*MOVE))
+    nodes = nodes_of(signals)
+    broad = _broad_nodes(nodes, children)
+    flags = nodes.select("move", "node", "inner", F.lit(False).alias("broad")).unionByName(
+        broad.select("move", "node", F.lit(False).alias("inner"), F.lit(True).alias("broad"))
+    ).groupBy("move", "node").agg(
+        F.bool_or("inner").alias("inner"), F.bool_or("broad").alias("broad"))
+    # One row per signal and entity on its path; the own entity and each ancestor bring a flag.
+    path = rolled.select(
+        "move", "id", F.posexplode_outer(F.concat("ancestors", F.array("entity_id"))).alias(
+            "depth", "node"), F.size("ancestors").alias("own_depth"))
+    own = F.col("depth") == F.col("own_depth")
+    verdicts = path.join(flags, ["move", "node"], "left").groupBy("move", "id").agg(
+        F.bool_or(F.coalesce("broad", F.lit(False)) & ~own).alias("below_broad"),
+        F.bool_or(F.coalesce("broad", F.lit(False)) & own).alias("broad"),
+        F.bool_or(F.coalesce("inner", F.lit(False)) & own).alias("inner"))
+    keep = verdicts.filter("not below_broad and (broad or not inner)").select("move", "id")
+    kept = rolled.join(keep, ["move", "id"], "left_semi")
     return kept.select(*signals.columns).unionByName(peers)
 
 

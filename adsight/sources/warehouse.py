@@ -33,7 +33,7 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, key: list[str], day
     if _exists(spark, path):
         # Distinct months of the batch: at most a few hundred rows whatever the batch holds.
         months = F.broadcast(new.select("month").distinct())
-        touched = spark.read.parquet(path).join(months, "month", "left_semi")
+        touched = spark.read.schema(new.schema).parquet(path).join(months, "month", "left_semi")
         new = merged(touched.select(*new.columns), new, key)
     stage = scratch(spark, "upsert")
     new.write.partitionBy("month").parquet(stage)
