@@ -174,24 +174,31 @@ def weekly_payload(
         "place", F.row_number().over(newest)).filter(F.col("place") <= MAX_DECISIONS).join(
         titles, "opportunity_id").groupBy("week_end").agg(F.sort_array(F.collect_list(
             F.struct("place", "kind", "title", "reason"))).alias("decisions"))
-    recent = experiments.orderBy(F.desc("id")).limit(EXPERIMENT_LIMIT).filter(
-        "evaluated_on is not null").withColumn("week_end", week_of("evaluated_on", last))
-    judged = recent.join(titles, "opportunity_id").groupBy("week_end").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "id", "title", "action", "metric", "verdict", "before_value", "after_value",
-            "sample_days"))).alias("experiments"))
+    listed = F.sort_array(F.collect_list(F.struct(
+        "id", "title", "action", "metric", "verdict", "before_value", "after_value",
+        "sample_days")), asc=False)
+    recent = experiments.orderBy(F.desc("id")).limit(EXPERIMENT_LIMIT).join(
+        titles, "opportunity_id")
+    judged = recent.filter("evaluated_on is not null").withColumn(
+        "week_end", week_of("evaluated_on", last)).groupBy("week_end").agg(
+        listed.alias("judged"))
+    # One row by construction: what is still running belongs to every week's report.
+    running = F.broadcast(recent.filter("status = 'running'").agg(
+        listed.alias("running")).withColumn("one", F.lit(1)))
     doubtful = unreliable.select(F.col("as_of").alias("week_end")).distinct().withColumn(
         "trust_warning", F.lit(True))
     payload = kpis
     for part in (pacing, top, decided, judged, issue_win_totals(opportunities, last), doubtful):
         payload = payload.join(part, "week_end", "left")
-    return payload.withColumns({
+    known = payload.withColumn("one", F.lit(1)).join(running, "one", "left").withColumn(
+        "experiments", F.concat(F.coalesce("judged", F.array()), F.coalesce("running", F.array()))
+    ).drop("one", "judged", "running")
+    return known.withColumns({
         "week_start": F.date_sub("week_end", C.WINDOW_DAYS - 1),
         "trust_warning": F.coalesce("trust_warning", F.lit(False)),
         "issue_cost": F.coalesce("issue_cost", F.lit(0.0)),
         "win_upside": F.coalesce("win_upside", F.lit(0.0)),
-        "worked": F.size(F.filter(F.coalesce("experiments", F.array()), lambda e: e[
-            "verdict"] == "worked")),
+        "worked": F.size(F.filter("experiments", lambda e: e["verdict"] == "worked")),
     })
 
 

@@ -83,7 +83,7 @@ def _(spark, sf):
     return explained(spark, sf).select("as_of", "opportunity", "observation", "alternatives")
 
 
-@query("diagnose")
+@query("diagnose_findings")
 def _(spark, sf):
     return explained(spark, sf).select(
         "as_of", "opportunity", F.posexplode_outer("hypotheses").alias("place", "h")).select(
@@ -91,7 +91,7 @@ def _(spark, sf):
         "h.statement", "h.signal_ids")
 
 
-@query("recommend")
+@query("recommend_findings")
 def _(spark, sf):
     return explained(spark, sf).select(
         "as_of", "opportunity", "priority", "band", "confidence", "recommendation.action",
@@ -100,6 +100,45 @@ def _(spark, sf):
         "recommendation.params")
 
 
+def campaign_cases(spark, sf):
+    """Each July campaign window as an opportunity raised on its ROAS, investigated."""
+    frame = campaign_windows(spark, sf)
+    now, before = D.of("cur", frame.columns), D.of("base", frame.columns)
+    valued = frame.selectExpr(
+        "as_of", "level", "key", "channel_id", "campaign_id", "ad_set_id",
+        f"{D.value('roas', now, 7)} as current", f"{D.value('roas', before, 28)} as baseline",
+        f"{D.measure_struct(now)} as measures", f"{D.measure_struct(before)} as baseline_measures")
+    signal = (
+        "named_struct('id', concat('chg|campaign:', key, '|roas'), 'detector', 'baseline_change', "
+        "'metric', 'roas', 'score', 1D, 'current', current, 'baseline', baseline, 'change_pct', "
+        "try_divide(current - baseline, abs(baseline)) * 100, 'measures', measures, "
+        "'baseline_measures', baseline_measures)")
+    found = valued.filter("current is not null and baseline is not null").selectExpr(
+        "as_of", "level", "key", "channel_id", "campaign_id", "ad_set_id",
+        "date_sub(as_of, 6) as window_start", "as_of as window_end",
+        "concat('campaign-', key) as name", "'ok' as trust", "false as protected",
+        "if(current < baseline, 'issue', 'win') as kind",
+        "abs(current - baseline) * measures.spend as impact",
+        f"{signal} as primary", f"array({signal}) as signals")
+    return R.recommend(X.diagnose(X.with_evidence(found)))
+
+
+@query("diagnose")
+def _(spark, sf):
+    return campaign_cases(spark, sf).select(
+        "as_of", "key", "kind", F.posexplode_outer("hypotheses").alias("place", "h")).select(
+        "as_of", "key", "kind", "place", "h.cause", (-F.col("h.rank")).alias("weight"))
+
+
+@query("recommend")
+def _(spark, sf):
+    return campaign_cases(spark, sf).select(
+        "as_of", "key", "action", "confidence", F.round("priority", 4).alias("priority"), "band",
+        F.round("recommendation.impact_low", 4).alias("impact_low"),
+        F.round("recommendation.impact_high", 4).alias("impact_high"),
+        "recommendation.risk", "recommendation.watch")
+
+
 def stored(spark, sf):
     """Stored opportunities with the entity columns the catalogue rules read."""
     rows = T.opportunities(spark, sf).withColumns({

@@ -265,3 +265,59 @@ SELECT business_id, gross_margin_pct, target_roas,
   AS unknown_campaigns FROM s""").replace(
     "unknown_campaigns FROM s", "unknown_campaigns_ FROM s").replace(
     "AS unknown_campaigns_", "AS unknown_campaigns")
+
+# Campaign windows read as opportunities on ROAS: causes from the dominant chain, then the action.
+CTES["owner1"] = (("drv2",), """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, key
+ ORDER BY abs(share_pct) DESC, ord) AS r FROM drv) WHERE r = 1 AND abs(share_pct) >= 60""")
+CTES["owner2"] = (("owner1",), """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, key
+ ORDER BY abs(share_pct) DESC, ord) AS r FROM drv2) WHERE r = 1 AND abs(share_pct) >= 60
+ AND (as_of, key) IN (SELECT as_of, key FROM owner1 WHERE driver = 'cpc')""")
+CTES["cases"] = (("owner2", "deepwin"), """
+SELECT c.as_of, c.key, cur_roas_v AS cur, base_roas_v AS base, w.cur_spend AS spend,
+ CASE WHEN cur_roas_v < base_roas_v THEN 'issue' ELSE 'win' END AS kind,
+ a.driver AS d1, a.change_pct AS c1, b.driver AS d2, b.change_pct AS c2,
+ COALESCE(b.share_pct, a.share_pct) AS last_share
+FROM camp c JOIN deepwin w ON w.level = 'campaign' AND w.key = c.key AND w.as_of = c.as_of
+LEFT JOIN owner1 a ON a.as_of = c.as_of AND a.key = c.key
+LEFT JOIN owner2 b ON b.as_of = c.as_of AND b.key = c.key
+WHERE cur_roas_v IS NOT NULL AND base_roas_v IS NOT NULL""")
+CTES["reading"] = (("cases",), """
+SELECT *, CAST(row_number() OVER (PARTITION BY as_of, key ORDER BY weight DESC, ord) - 1 AS BIGINT)
+ AS place FROM (
+ SELECT as_of, key, kind, 1 AS ord, 'channel_opportunity' AS cause, CAST(0.9 AS DOUBLE) AS weight
+ FROM cases WHERE kind = 'win'
+ UNION ALL SELECT as_of, key, kind, 2, 'creative_fatigue', CAST(0.7 AS DOUBLE) FROM cases
+ WHERE kind = 'issue' AND d2 = 'ctr' AND c2 < 0
+ UNION ALL SELECT as_of, key, kind, 3, 'cpc_spike', CAST(0.7 AS DOUBLE) FROM cases
+ WHERE kind = 'issue' AND d2 = 'cpm' AND c2 > 0
+ UNION ALL SELECT as_of, key, kind, 4, 'conversion_drop', CAST(0.5 AS DOUBLE) FROM cases
+ WHERE kind = 'issue' AND d1 = 'cvr' AND c1 < 0
+ UNION ALL SELECT as_of, key, kind, 5, 'cpc_spike', CAST(0.4 AS DOUBLE) FROM cases
+ WHERE kind = 'issue' AND d1 = 'cpc' AND d2 IS NULL)""")
+CTES["ranked_causes"] = (("reading",), """
+SELECT as_of, key, kind, place, cause, weight FROM reading
+UNION ALL SELECT as_of, key, kind, 0, 'unknown', 0 FROM cases c WHERE NOT EXISTS (
+ SELECT 1 FROM reading r WHERE r.as_of = c.as_of AND r.key = c.key)""")
+SQL["diagnose"] = with_("ranked_causes", "SELECT * FROM ranked_causes")
+_SURE = """round_even(CAST(0.1 AS DOUBLE) + (1 - CAST(0.1 AS DOUBLE)) * (
+ GREATEST(0, LEAST(1, abs((cur - base) / abs(base) * 100) / 50)) * CAST(0.35 AS DOUBLE)
+ + GREATEST(0, LEAST(1, COALESCE(abs(last_share) / 100, CAST(0.5 AS DOUBLE)))) * CAST(0.2 AS DOUBLE)
+ + CAST(0.25 AS DOUBLE)), 4)"""
+SQL["recommend"] = with_("ranked_causes", f"""
+, act AS (SELECT as_of, key, arg_min(CASE cause WHEN 'conversion_drop'
+  THEN 'investigate_landing_page' ELSE 'shift_budget' END, place) AS action FROM ranked_causes
+ WHERE cause IN ('channel_opportunity', 'cpc_spike', 'conversion_drop') GROUP BY 1, 2),
+v AS (SELECT c.*, a.action, abs(cur - base) * spend AS impact, {_SURE} AS confidence
+ FROM cases c LEFT JOIN act a ON a.as_of = c.as_of AND a.key = c.key)
+SELECT as_of, key, action, confidence, round(impact * confidence, 4) AS priority,
+ {_BAND.format(p="impact * confidence")} AS band,
+ round(impact * CAST(CASE action WHEN 'shift_budget' THEN 0.2
+  WHEN 'investigate_landing_page' THEN 0.3 END AS DOUBLE), 4) AS impact_low,
+ round(impact * CAST(CASE action WHEN 'shift_budget' THEN 0.6
+  WHEN 'investigate_landing_page' THEN 0.8 END AS DOUBLE), 4) AS impact_high,
+ CASE action WHEN 'shift_budget' THEN 'medium' WHEN 'investigate_landing_page' THEN 'low' END
+  AS risk,
+ CASE action WHEN 'shift_budget' THEN 'roas' WHEN 'investigate_landing_page' THEN 'web_cvr' END
+  AS watch FROM v""")
