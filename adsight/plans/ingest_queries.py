@@ -25,17 +25,18 @@ STORE = TP.TEMPLATES["store_orders"]
 
 
 def line_numbers():
-    """Lines per yearly file in a fixed order, so that SQL can count them the same way."""
+    """Lines per daily file in a fixed order, so that SQL can count them the same way."""
     return F.row_number().over(Window.partitionBy("file").orderBy(
         "date", "creative_id", "age_group", "device", "region")).cast("bigint") + 1
 
 
 def raw_google(spark, sf):
-    """Google rows as export cells, one file per year, with faults planted by line number."""
+    """Google rows as export cells, one file per day, with faults planted by line and day."""
     ads = T.named_ad_facts(spark, sf).filter("channel_id = 'google_ads'").withColumn(
-        "file", F.concat(F.lit("google-"), F.year("date")))
-    rows = ads.withColumn("line", line_numbers())
-    n = F.col("line")
+        "file", F.concat(F.lit("google-"), F.col("date").cast("string")))
+    rows = ads.withColumn("line", line_numbers()).withColumn(
+        "n", F.col("line") + F.dayofyear("date") * 13)
+    n = F.col("n")
     text = lambda c: F.col(c).cast("string")
     cells = F.array(
         F.when(n % 89 == 4, "2001-02-30").otherwise(text("date")), F.col("campaign_name"),
@@ -55,9 +56,9 @@ def raw_google(spark, sf):
     shaped = rows.select(
         "file", F.lit("google_ads").alias("source"), "line", F.lit(header).alias("header"),
         F.array_join(cells, ",").alias("value"), cells.alias("cells"),
-        F.lit(len(GOOGLE.fields)).alias("width"))
-    again = shaped.filter(n % 71 == 9).withColumn("line", n + 1_000_000)
-    return shaped.unionByName(again)
+        F.lit(len(GOOGLE.fields)).alias("width"), "n")
+    again = shaped.filter(n % 71 == 9).withColumn("line", F.col("line") + 1_000_000)
+    return shaped.unionByName(again).drop("n")
 
 
 def validated_google(spark, sf):

@@ -6,12 +6,12 @@ from oracle.base import CTES, dbl, with_
 
 SQL: dict[str, str] = {}
 CTES["graw"] = (("ad",), """
-SELECT *, line % 89 = 4 AS bad_date, line % 101 = 6 AS bad_id, line % 61 = 5 AS bad_cur,
-  line % 97 = 3 AS no_cost, line % 53 = 7 AS bad_clicks,
-  line % 83 = 3 AND line % 53 <> 7 AS over FROM (
- SELECT *, 'google-' || year(date) AS file, row_number() OVER (PARTITION BY year(date)
-  ORDER BY date, creative_id, age_group, device, region) + 1 AS line
- FROM ad WHERE channel_id = 'google_ads')""")
+SELECT *, n % 89 = 4 AS bad_date, n % 101 = 6 AS bad_id, n % 61 = 5 AS bad_cur,
+  n % 97 = 3 AS no_cost, n % 53 = 7 AS bad_clicks, n % 83 = 3 AND n % 53 <> 7 AS over FROM (
+ SELECT *, line + dayofyear(date) * 13 AS n FROM (
+ SELECT *, 'google-' || date AS file, row_number() OVER (PARTITION BY date
+  ORDER BY creative_id, age_group, device, region) + 1 AS line
+ FROM ad WHERE channel_id = 'google_ads'))""")
 _CELLS = """list_filter([
  CASE WHEN bad_date THEN 'Day: expected a date like 2026-10-14 (got ''2001-02-30'')' END,
  CASE WHEN bad_id THEN 'Ad group ID: expected a numeric ID (was the file re-saved from a spreadsheet?) (got ''1.2E+17'')' END,
@@ -24,7 +24,7 @@ SELECT *, CASE WHEN len(cells) > 0 THEN array_to_string(cells, '; ')
    || CAST(impressions AS BIGINT) || ')' WHEN outline > line THEN 'duplicate of line ' || line
   ELSE '' END AS errors FROM (
  SELECT *, {_CELLS} AS cells FROM (SELECT *, line AS outline FROM graw
-  UNION ALL SELECT *, line + 1000000 FROM graw WHERE line % 71 = 9))""")
+  UNION ALL SELECT *, line + 1000000 FROM graw WHERE n % 71 = 9))""")
 SQL["parse_cells"] = with_("gall", """
 SELECT file, outline AS line, CASE WHEN NOT bad_date THEN date END AS date,
  CASE WHEN NOT bad_id THEN ad_set_id END AS ad_set_external_id, device,
