@@ -144,3 +144,140 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# --- similar documents ----------------------------------------------------------------------
+RING = 12           # segments of a ring
+FINE = 4            # shingles of a segment on the finer level, about
+BUDGET = 14         # differing bits that a segment may have on average
+
+
+def ring_prints(hashes: np.ndarray) -> list[tuple[int, list[int | None]]]:
+    """(level, segments): SimHashes of up to ``RING`` parts of a shingle set, at two part sizes.
+
+    On level v the distinct shingles are dealt to 2^v parts by their hash, so similar sets have
+    similar parts and most changes leave some part as it was. Sets of nearly the same size share a
+    level. Parts without a shingle are None.
+    """
+    found = []
+    first = max(0, int(np.log2(max(len(hashes), 1) / FINE)))
+    dealt = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+    for level in (first, first + 1):
+        part = (dealt & np.uint64((1 << level) - 1)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        order = order[:np.searchsorted(part[order], RING)]
+        prints: list[int | None] = [None] * min(RING, 1 << level)
+        if len(order):
+            own = part[order]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            bits = np.unpackbits(hashes[order].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
+            sizes = np.diff(np.append(starts, len(own)))[:, None]
+            values = np.packbits(ones * 2 > sizes, axis=1).view(">i8").ravel().tolist()
+            for place, value in zip(own[starts].tolist(), values):
+                prints[place] = value
+        found.append((level, prints))
+    return found
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles; a shorter text is one shingle."""
+    tokens = (text or b"").lower().split()
+    if len(tokens) <= shingle:
+        grams = [b" ".join(tokens)] if tokens else []
+    else:
+        grams = map(b" ".join, zip(*(tokens[i:] for i in range(shingle))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def _marked(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(row, key, rings): every row with the 128-bit hash of its words and its ring prints."""
+    rings = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()),
+                                      T.StructField("prints", T.ArrayType(T.LongType()))]))
+    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)),
+                           T.StructField("key", T.BinaryType()), T.StructField("rings", rings)])
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("prints", pa.list_(pa.int64()))]))
+
+    def scan(batches):
+        for batch in batches:
+            keys, found = [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                keys.append(xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split())))
+                found.append([{"level": v, "prints": p}
+                              for v, p in ring_prints(shingle_set(text, shingle))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(found, kind)],
+                names=["row", "key", "rings"])
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.col(text_col).cast("binary").alias("text_bytes"))
+    return packed.mapInArrow(scan, schema)
+
+
+def _ring_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): texts that share a segment with its leader, within the budget of the whole ring.
+
+    A leader is picked in every bucket by a hash of bucket and text, so families of any size give
+    one pair per text and bucket, with different leaders in different buckets.
+    """
+    keyed = nodes.select("key", F.explode("rings").alias("r")).select(
+        "key", "r.level", F.posexplode("r.prints").alias("segment", "print")).filter(
+        "print is not null")
+    bucket = ["level", "segment", "print"]
+    leaders = keyed.groupBy(*bucket).agg(
+        F.min_by("key", F.xxhash64(*bucket, "key")).alias("leader"),
+        F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = keyed.join(leaders, bucket).filter("key != leader").select(
+        F.least("key", "leader").alias("u"), F.greatest("key", "leader").alias("v"),
+        "level").distinct()
+    ring = lambda side: nodes.select(F.col("key").alias(side), F.explode("rings").alias("r")).select(
+        side, "r.level", F.col("r.prints").alias(f"{side}_prints"))
+    both = pairs.join(ring("u"), ["u", "level"]).join(ring("v"), ["v", "level"])
+    gap = F.zip_with("u_prints", "v_prints", lambda a, b: F.coalesce(
+        F.bit_count(a.bitwiseXOR(b)), F.when(a.isNull() & b.isNull(), 0).otherwise(BITS // 2)))
+    total = F.aggregate(gap, F.lit(0), lambda a, d: a + d)
+    return both.filter(total <= F.size("u_prints") * BUDGET).select("u", "v").distinct()
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near duplicates, all columns.
+
+    Two texts are linked when the Jaccard similarity of their sets of word shingles reaches
+    ``similarity``; groups are connected by links, and the row with the smallest id stays (null
+    ids last; of repeated rows one). The candidates come from SimHashes of parts of the shingle
+    set on a ring: similar sets share at least one part's fingerprint (with 12 parts of four
+    shingles, all but about 0.2 % at the bound), and the whole ring keeps to a budget of
+    differing bits. The similarity of a candidate is then computed on whole sets. Texts
+    with equal words are one node of the graph, whatever their number. Null, empty and blank texts
+    are equal. An empty table gives no rows.
+    """
+    marked = staged(_marked(docs, text_col, shingle).withColumn(
+        "row_no", F.monotonically_increasing_id()), "marked")
+    nodes = staged(marked.groupBy("key").agg(F.first("rings").alias("rings")), "nodes")
+    pairs = staged(_ring_pairs(nodes), "pairs")
+    asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    texts = marked.select("key", F.col(f"row.`{text_col}`").cast("binary").alias("text_bytes")).join(
+        asked, "key", "left_semi").dropDuplicates(["key"])
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "set"])
+
+    sets_of = staged(texts.mapInArrow(sets, "key binary, set array<bigint>"), "sets")
+    side = lambda name: sets_of.select(F.col("key").alias(name), F.col("set").alias(f"{name}_set"))
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    links = pairs.join(side("u"), "u").join(side("v"), "v").filter(
+        both >= similarity * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
+    roots = components(links)
+    place = F.struct(F.col(f"row.`{id_col}`").isNull().alias("unknown"),
+                     F.col(f"row.`{id_col}`").alias("id"), "row_no")
+    least = marked.select("key", place.alias("place")).groupBy("key").agg(
+        F.min("place").alias("place"))
+    stays = least.join(roots.withColumnRenamed("node", "key"), "key", "left").groupBy(
+        F.coalesce("root", "key").alias("root")).agg(F.min("place").alias("place")).select(
+        F.col("place.row_no").alias("row_no"))
+    return marked.join(stays, "row_no", "left_semi").select("row.*")
