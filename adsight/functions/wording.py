@@ -69,7 +69,7 @@ def title(name: ColumnLike, metric: ColumnLike, kind: ColumnLike) -> Column:
 
 
 def capitalised(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 10_000))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
 
 
 def plural(count: Column, one: str, many: str) -> Column:

@@ -253,7 +253,7 @@ def breaks_of(events: DataFrame) -> DataFrame:
     named = F.try_element_at(F.array_sort(F.filter(
         "entities", lambda e: e.startswith("channel:"))), F.lit(1))
     return events.filter(F.col("kind") == "tracking_break").select(
-        "id", "start", "end", F.substring(named, 9, 64).alias("channel_id"))
+        "id", "start", "end", F.substring_index(named, "channel:", -1).alias("channel_id"))
 
 
 def break_outcomes(breaks: DataFrame, tracking: DataFrame, shown: DataFrame) -> DataFrame:

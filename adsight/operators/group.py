@@ -206,7 +206,7 @@ def group_opportunities(signals: DataFrame) -> DataFrame:
 def with_names(frame: DataFrame, names: DataFrame, column: str = "entity_id") -> DataFrame:
     """Adds ``name`` from (entity_id, name); channels and the account have fixed labels."""
     fixed = {f"channel:{c}": C.SOURCE_LABELS[c] for c in C.CHANNELS} | {
-        "account:all": "All channels"}
+        "account:all": C.ALL_CHANNELS}
     found = frame.join(names.withColumnRenamed("entity_id", column), column, "left")
     last = F.element_at(F.split(F.col(column), "[:|]"), -1)
     return found.withColumn("name", F.coalesce(K.lookup(fixed, column), "name", last))

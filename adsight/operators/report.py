@@ -16,7 +16,7 @@ from adsight.operators.recommend import band
 
 TOP_OPPORTUNITIES = 5
 MAX_DECISIONS = 8
-EXPERIMENT_LIMIT = 100
+LISTED_EXPERIMENTS = 100    # newest of a week that its report names; counts cover all
 
 
 # --- lists ----------------------------------------------------------------------------------
@@ -128,23 +128,61 @@ def weekly_kpis(ads: DataFrame, store: DataFrame, settings: M.Settings, last: dt
     return sums.select("week_end", F.array(*[line(m) for m in C.TODAY_METRICS]).alias("kpis"))
 
 
-def weekly_pacing(ads: DataFrame, budgets: DataFrame, weeks: DataFrame) -> DataFrame:
-    """Pacing of every channel and of the total at each week's end."""
+def pacing_lines(ads: DataFrame, budgets: DataFrame, weeks: DataFrame) -> DataFrame:
+    """(week_end, place, line): pacing of every budgeted channel at each week's end, spent or not.
+
+    ``budgets``: (channel_id, budget), with a ``month`` (yyyy-MM) where budgets change. The total
+    comes last, and only where more than one channel has a budget.
+    """
+    known = budgets.filter("budget > 0")
+    dated = [c for c in ("month",) if c in known.columns]
+    listed = weeks.select("week_end", F.date_format("week_end", "yyyy-MM").alias("month"), F.explode(
+        F.array(*[F.lit(c) for c in C.CHANNELS])).alias("channel_id"))
+    wanted = listed.join(known, ["channel_id", *dated]).select("week_end", "channel_id", "budget")
     daily = ads.groupBy("channel_id", "date").agg(F.sum("spend").alias("spend"))
     days = weeks.select("week_end", F.explode(
         F.sequence(F.trunc("week_end", "MM"), F.col("week_end"))).alias("date"))
-    spent = days.join(daily, "date").join(budgets, "channel_id").groupBy(
-        "week_end", "channel_id").agg(F.sum("spend").alias("spent"), F.max("budget").alias("budget"))
-    both = spent.withColumn("labels", F.array("channel_id", F.lit("all"))).select(
-        "week_end", F.explode("labels").alias("label"), "spent", "budget"
-    ).groupBy("week_end", "label").agg(
-        F.sum("spent").alias("spent"), F.sum("budget").alias("budget"))
-    lines = both.select("week_end", F.struct(
-        F.when(F.col("label") == "all", "All channels").otherwise(
-            K.lookup(C.SOURCE_LABELS, "label")).alias("label"),
-        *[c.alias(n) for n, c in PC.pace("budget", "spent", F.col("week_end")).items()]
-    ).alias("line"))
-    return lines.groupBy("week_end").agg(F.sort_array(F.collect_list("line")).alias("pacing"))
+    spent = days.join(daily, "date").groupBy("week_end", "channel_id").agg(
+        F.sum("spend").alias("spent"))
+    both = wanted.join(spent, ["week_end", "channel_id"], "left").withColumn(
+        "labels", F.array("channel_id", F.lit("all"))).select(
+        "week_end", F.explode("labels").alias("label"), F.coalesce(
+            F.col("spent").cast("decimal(38,4)"), F.lit(0)).alias("spent"), "budget").groupBy(
+        "week_end", "label").agg(F.sum("spent").alias("spent"), F.sum("budget").alias("budget"),
+                                 F.count(F.lit(1)).alias("channels"))
+    place = F.array_position(F.lit([*C.CHANNELS, "all"]), F.col("label"))
+    return both.filter((F.col("label") != "all") | (F.col("channels") > 1)).select(
+        "week_end", place.alias("place"), F.struct(
+            F.when(F.col("label") == "all", C.ALL_CHANNELS).otherwise(
+                K.lookup(C.SOURCE_LABELS, "label")).alias("label"),
+            *[c.alias(n) for n, c in PC.pace("budget", "spent", F.col("week_end")).items()]
+        ).alias("line"))
+
+
+def weekly_pacing(ads: DataFrame, budgets: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The pacing lines of each week in order; at most one per channel and the total."""
+    listed = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return pacing_lines(ads, budgets, weeks).groupBy("week_end").agg(
+        F.transform(listed, lambda p: p["line"]).alias("pacing"))
+
+
+def weekly_experiments(experiments: DataFrame, last: dt.date) -> DataFrame:
+    """(week_end, experiment): the ones judged in a week, and those under test at its end.
+
+    An experiment is under test from its start to the day before it is judged, or else before it is
+    due, so it belongs to a bounded number of weeks whatever the table holds.
+    """
+    judged = experiments.filter("evaluated_on is not null").withColumn(
+        "week_end", week_of("evaluated_on", last))
+    until = F.coalesce("evaluated_on", "ends_on")
+    first = week_of("started_on", last)
+    running = experiments.filter(
+        F.col("started_on").isNotNull() & (F.col("started_on") < until)).withColumn(
+        "week_end", F.explode(F.sequence(first, F.greatest(
+            first, week_of(F.date_sub(until, 1), last)), F.expr("interval 7 days")))).filter(
+        F.col("week_end") < until).withColumns({
+            "verdict": F.lit(None).cast("string"), "after_value": F.lit(None).cast("double")})
+    return judged.unionByName(running).filter(F.col("week_end") <= F.lit(last))
 
 
 def weekly_payload(
@@ -174,31 +212,30 @@ def weekly_payload(
         "place", F.row_number().over(newest)).filter(F.col("place") <= MAX_DECISIONS).join(
         titles, "opportunity_id").groupBy("week_end").agg(F.sort_array(F.collect_list(
             F.struct("place", "kind", "title", "reason"))).alias("decisions"))
-    listed = F.sort_array(F.collect_list(F.struct(
-        "id", "title", "action", "metric", "verdict", "before_value", "after_value",
-        "sample_days")), asc=False)
-    recent = experiments.orderBy(F.desc("id")).limit(EXPERIMENT_LIMIT).join(
-        titles, "opportunity_id")
-    judged = recent.filter("evaluated_on is not null").withColumn(
-        "week_end", week_of("evaluated_on", last)).groupBy("week_end").agg(
-        listed.alias("judged"))
-    # One row by construction: what is still running belongs to every week's report.
-    running = F.broadcast(recent.filter("status = 'running'").agg(
-        listed.alias("running")).withColumn("one", F.lit(1)))
+    tested = weekly_experiments(experiments, last)
+    newest_tested = Window.partitionBy("week_end", "group").orderBy(F.desc("id"))
+    listed = tested.withColumn("group", F.col("verdict").isNotNull()).withColumn(
+        "place", F.row_number().over(newest_tested)).filter(
+        F.col("place") <= LISTED_EXPERIMENTS).join(titles, "opportunity_id").groupBy(
+        "week_end").agg(F.sort_array(F.collect_list(F.struct(
+            "group", "id", "title", "action", "metric", "verdict", "before_value", "after_value",
+            "sample_days")), asc=False).alias("experiments"))
+    counts = tested.groupBy("week_end").agg(
+        F.count("verdict").alias("judged"), F.count_if(F.col("verdict").isNull()).alias("running"),
+        F.count_if(F.col("verdict") == "worked").alias("worked"))
     doubtful = unreliable.select(F.col("as_of").alias("week_end")).distinct().withColumn(
         "trust_warning", F.lit(True))
     payload = kpis
-    for part in (pacing, top, decided, judged, issue_win_totals(opportunities, last), doubtful):
+    for part in (pacing, top, decided, listed, counts, issue_win_totals(opportunities, last),
+                 doubtful):
         payload = payload.join(part, "week_end", "left")
-    known = payload.withColumn("one", F.lit(1)).join(running, "one", "left").withColumn(
-        "experiments", F.concat(F.coalesce("judged", F.array()), F.coalesce("running", F.array()))
-    ).drop("one", "judged", "running")
-    return known.withColumns({
+    zero = F.lit(0).cast("bigint")
+    return payload.withColumns({
         "week_start": F.date_sub("week_end", C.WINDOW_DAYS - 1),
         "trust_warning": F.coalesce("trust_warning", F.lit(False)),
         "issue_cost": F.coalesce("issue_cost", F.lit(0.0)),
         "win_upside": F.coalesce("win_upside", F.lit(0.0)),
-        "worked": F.size(F.filter("experiments", lambda e: e["verdict"] == "worked")),
+        **{n: F.coalesce(n, zero) for n in ("judged", "running", "worked")},
     })
 
 
@@ -284,7 +321,7 @@ def report_lines(payload: DataFrame) -> DataFrame:
     win_text = F.when(F.col("win_upside") != 0, _joined(
         wins.cast("string"), " ", WD.plural(wins, "opportunity", "opportunities"),
         " could add ", WD.rupees("win_upside"), " a week if acted on."))
-    judged = F.size(F.filter("experiments", lambda e: e["verdict"].isNotNull()))
+    judged = F.col("judged")
     recorded = _joined(decided.cast("string"), " ", WD.plural(decided, "decision", "decisions"))
     changes = (
         F.when(decided == 0, "No decisions were recorded this week.")

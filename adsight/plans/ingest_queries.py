@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from adsight.functions import catalogue as C
 from adsight.operators import metrics as M
-from adsight.plans.metric_queries import WEEK
 from adsight.plans.queries import query
 from adsight.plans.session import scratch
 from adsight.plans.stages import staged
@@ -30,6 +29,13 @@ def line_numbers():
         "date", "creative_id", "age_group", "device", "region")).cast("bigint") + 1
 
 
+def laid_out(template):
+    """The header columns of rows whose cells stand in template order."""
+    return [F.array(*[F.lit(f.header) for f in template.fields]).alias("headers"),
+            F.array(*[F.lit(i + 1) for i in range(len(template.fields))]).alias("positions"),
+            F.lit(len(template.fields)).alias("width")]
+
+
 def raw_google(spark, sf):
     """Google rows as export cells, one file per day, with faults planted by line and day."""
     ads = T.named_ad_facts(spark, sf).filter("channel_id = 'google_ads'").withColumn(
@@ -49,14 +55,12 @@ def raw_google(spark, sf):
             F.format_number(F.col("spend").cast("decimal(14,2)"), 2)),
         text("impressions"),
         F.when(n % 53 == 7, "lots").when(n % 83 == 3, (F.col("impressions") + 1).cast("string"))
-        .otherwise(F.least("clicks", "impressions").cast("string")),
+        .otherwise(text("clicks")),
         F.col("platform_conversions").cast("decimal(12,2)").cast("string"),
         F.col("platform_revenue").cast("decimal(14,2)").cast("string"))
-    header = ",".join(f.header for f in GOOGLE.fields)
     shaped = rows.select(
-        "file", F.lit("google_ads").alias("source"), "line", F.lit(header).alias("header"),
-        F.array_join(cells, ",").alias("value"), cells.alias("cells"),
-        F.lit(len(GOOGLE.fields)).alias("width"), "n")
+        "file", F.lit("google_ads").alias("source"), "line", *laid_out(GOOGLE),
+        F.array_join(cells, ",").alias("value"), cells.alias("cells"), "n")
     again = shaped.filter(n % 71 == 9).withColumn("line", F.col("line") + 1_000_000)
     return shaped.unionByName(again).drop("n")
 
@@ -105,7 +109,9 @@ def _(spark, sf):
 
 @query("rejected_report")
 def _(spark, sf):
-    return X.rejected_report(validated_google(spark, sf))
+    return X.rejected_report(staged(validated_google(spark, sf), "validated"), 20).select(
+        "file", "line", F.array_join("errors", "; ").alias("errors"), "refused",
+        F.filter("cells", lambda c: c["headers"] == "Currency code")[0]["cells"].alias("currency"))
 
 
 @query("check_net_sales")
@@ -117,9 +123,8 @@ def _(spark, sf):
     raw = rows.select(
         F.lit("store").alias("file"), F.lit("store_orders").alias("source"),
         F.datediff("Day", F.lit(dt.date(1990, 1, 1))).cast("bigint").alias("line"),
-        F.lit(",".join(order)).alias("header"), F.lit("").alias("value"),
-        F.array(*[F.col(f"`{h}`").cast("string") for h in order]).alias("cells"),
-        F.lit(len(order)).alias("width"))
+        *laid_out(STORE), F.lit("").alias("value"),
+        F.array(*[F.col(f"`{h}`").cast("string") for h in order]).alias("cells"))
     return X.validate_rows(raw, STORE).select(
         "date", "accepted", F.array_join("errors", "; ").alias("errors"))
 
@@ -138,14 +143,14 @@ def _(spark, sf):
 
 
 def exported(spark, sf):
-    """The mapped facts of four weeks written as export files of all four sources."""
+    """All mapped facts written as export files of the four sources, and a file of no template."""
     path = scratch(spark, "exports")
-    since = F.lit(dt.date(2001, 7, 4))
-    ads = T.named_ad_facts(spark, sf).filter(F.col("date") >= since)
+    ads = T.named_ad_facts(spark, sf)
     for source in C.CHANNELS:
         O.write_csv(O.export_ads(ads, source), path)
-    O.write_csv(O.export_web(T.web_facts(spark, sf).filter(F.col("date") >= since)), path)
-    O.write_csv(O.export_store(T.store_facts(spark, sf).filter(F.col("date") >= since)), path)
+    O.write_csv(O.export_web(T.web_facts(spark, sf)), path)
+    O.write_csv(O.export_store(T.store_facts(spark, sf)), path)
+    O.write_csv(T.table(spark, sf, "region").coalesce(1), path)
     return path
 
 
@@ -154,20 +159,22 @@ def _(spark, sf):
     rows, _ = X.read_export(spark, exported(spark, sf))
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("rows"), F.min("line").alias("first_line"),
-        F.count("cells").alias("well_formed"))
+        F.count_if(F.size("cells") == F.col("width")).alias("well_formed"))
 
 
 @query("detect_source")
 def _(spark, sf):
     _, files = X.read_export(spark, exported(spark, sf))
-    return files.groupBy("source", "error").agg(F.count(F.lit(1)).alias("files"))
+    return files.select("source", "error").distinct()
 
 
 @query("check_daily_breakdown")
 def _(spark, sf):
+    """Every tenth ad's rows cover more than a day."""
     rows, _ = X.read_export(spark, exported(spark, sf))
     meta = rows.filter("source = 'meta_ads'").withColumn("cells", F.transform(
-        "cells", lambda c, i: F.when((i == 1) & (F.col("line") % 10 == 2), "2001-12-31").otherwise(c)))
+        "cells", lambda c, i: F.when(
+            (i == 1) & (F.col("cells")[7].cast("int") % 10 == 3), "2031-12-31").otherwise(c)))
     found = X.validate_rows(meta, TP.TEMPLATES["meta_ads"])
     return found.groupBy(F.array_join("errors", "; ").alias("errors")).agg(
         F.count(F.lit(1)).alias("rows"))
@@ -177,7 +184,7 @@ def _(spark, sf):
 def _(spark, sf):
     _, log = X.ingest_files(spark, exported(spark, sf))
     return log.groupBy("source", "status").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("rows_accepted").alias("rows_accepted"),
+        F.sum("rows_accepted").alias("rows_accepted"),
         F.sum("rows_rejected").alias("rows_rejected"), F.min("date_from").alias("date_from"),
         F.max("date_to").alias("date_to"))
 
@@ -186,9 +193,15 @@ def detector_facts(spark, sf):
     return X.load_detector_facts(X.ingest_files(spark, exported(spark, sf))[0])
 
 
+def as_doubles(frame):
+    """Decimals as doubles, to be compared with SQL."""
+    return frame.select(*[
+        F.col(c).cast("double").alias(c) if "decimal" in t else c for c, t in frame.dtypes])
+
+
 @query("load_detector_facts")
 def _(spark, sf):
-    return M.entity_daily(detector_facts(spark, sf)["ads"]).drop("rows", "reach_rows")
+    return as_doubles(M.entity_daily(detector_facts(spark, sf)["ads"]).drop("rows", "reach_rows"))
 
 
 @query("load_ad_facts")
@@ -198,7 +211,8 @@ def _(spark, sf):
         "creative_id": "creative_external_id"})
     path = scratch(spark, "fact_ad_daily")
     WH.upsert(spark, path, WH.ad_fact_rows(ads), WH.AD_FACT_KEY, "date")
-    return WH.read(spark, path)
+    stored = WH.read(spark, path)
+    return as_doubles(stored.drop(*[c for c in stored.columns if c.endswith("_sk")]))
 
 
 @query("load_web_facts")
@@ -206,7 +220,7 @@ def _(spark, sf):
     path = scratch(spark, "fact_web_daily")
     web = detector_facts(spark, sf)["web"].drop("file", "line")
     WH.upsert(spark, path, web, ["date", "source", "device"], "date")
-    return WH.read(spark, path)
+    return as_doubles(WH.read(spark, path))
 
 
 @query("load_store_facts")
@@ -214,7 +228,7 @@ def _(spark, sf):
     path = scratch(spark, "fact_store_daily")
     store = detector_facts(spark, sf)["store"].drop("file", "line")
     WH.upsert(spark, path, store, ["date"], "date")
-    return WH.read(spark, path)
+    return as_doubles(WH.read(spark, path))
 
 
 @query("upsert")
@@ -251,7 +265,7 @@ def _(spark, sf):
         "campaign_id": "campaign_external_id", "ad_set_id": "ad_set_external_id",
         "creative_id": "creative_external_id"})
     dims = staged(WH.load_dimensions(ads.withColumn("line", F.lit(1))), "dimensions")
-    facts = WH.ad_fact_rows(M.in_period(ads, *WEEK))
+    facts = WH.ad_fact_rows(ads)
     for level in ("campaign", "ad_set", "creative"):
         own = dims.filter(F.col("level") == level).select(
             F.col("id").alias(f"{level}_sk"), F.col("name").alias(f"{level}_name"))
@@ -269,4 +283,4 @@ def _(spark, sf):
     stream_ingest(spark, folder, tables, checkpoint)
     stream_ingest(spark, folder, tables, checkpoint)
     return WH.read(spark, f"{tables}/ads").groupBy("date", "channel_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("spend").alias("spend"))
+        F.count(F.lit(1)).alias("rows"), F.sum("spend").cast("double").alias("spend"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,17 +23,21 @@ def build(app: str = "adsight", cpus: str | int = "*", partitions: int = 8) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("WARN")
     return spark
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    Only where the cluster names none (tests) does it fall back to a temporary folder.
+    A local session without one gets a temporary folder. On a cluster that would lie on a different
+    disk for every machine, so the setting is required there.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="adsight-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")

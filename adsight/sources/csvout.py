@@ -23,7 +23,7 @@ def export_ads(ads: DataFrame, source: str) -> DataFrame:
             "Ad name": F.col("creative_name"), "Age": F.col("age_group"),
             "Device": F.col("shown_device"), "Region": F.col("region"),
             "Currency code": F.lit("INR"), "Cost": money("spend"), "Impr.": text("impressions"),
-            "Clicks": F.least("clicks", "impressions").cast("string"),
+            "Clicks": text("clicks"),
             "Conversions": money("platform_conversions"), "Conv. value": money("platform_revenue"),
         }
     else:
@@ -35,7 +35,7 @@ def export_ads(ads: DataFrame, source: str) -> DataFrame:
             "Platform": F.lit("facebook"), "Age": F.col("age_group"),
             "Device platform": F.col("shown_device"), "Region": F.col("region"),
             "Amount spent (INR)": money("spend"), "Impressions": text("impressions"),
-            "Reach": text("reach"), "Link clicks": F.least("clicks", "impressions").cast("string"),
+            "Reach": text("reach"), "Link clicks": text("clicks"),
             "Purchases": money("platform_conversions"),
             "Purchases conversion value": money("platform_revenue"),
         }
@@ -60,7 +60,7 @@ def export_store(store: DataFrame) -> DataFrame:
         F.col("date").alias("Day"), F.col("orders").alias("Orders"),
         money(gross).alias("Gross sales"), money(-F.col("discounts")).alias("Discounts"),
         money(-F.col("refunds")).alias("Returns"), money(F.col("revenue")).alias("Net sales"),
-        F.least("new_customers", "orders").alias("New customers"))
+        F.col("new_customers").alias("New customers"))
 
 
 def write_csv(frame: DataFrame, path: str) -> None:

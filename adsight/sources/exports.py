@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from adsight.functions import catalogue as C
 from adsight.plans.stages import staged
 from adsight.sources import templates as TP
 
-SAMPLE = 200
+RECORD_LINES = 100     # a quoted cell over more lines than this is a quote left open
 DECIMALS = {"spend": "decimal(14,2)", "platform_revenue": "decimal(14,2)",
             "platform_conversions": "decimal(12,4)", "revenue": "decimal(14,2)",
             "discounts": "decimal(14,2)", "refunds": "decimal(14,2)"}
@@ -23,30 +24,81 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), "value")
+        F.monotonically_increasing_id().alias("seq"), "value",
+        (F.length("value") - F.length(F.replace("value", F.lit('"')))).alias("quotes"))
 
 
-def file_blocks(lines: DataFrame) -> DataFrame:
-    """Per file block: its first number, its first line and the lines before it in the file."""
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Physical line numbers, and whether a line starts inside a quoted cell.
+
+    ``lines`` must be stored: how files are cut into blocks depends on the settings and cores at
+    planning time, so blocks and lines have to come from the same scan. Counts per block give
+    every block the lines and quotes before it, so no file is gathered in one task.
+    """
     blocks = lines.groupBy("file", "block").agg(
-        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("lines"),
-        F.min_by("value", "seq").alias("first_line"))
+        F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"),
+        F.sum("quotes").alias("block_quotes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
-    return blocks.withColumn("lines_before", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    placed = blocks.select(
+        "file", "block", "first_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"),
+        F.coalesce(F.sum("block_quotes").over(before), F.lit(0)).alias("quotes_above"))
+    inside = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, -1)
+    opened = F.col("quotes_above") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))
+    return lines.join(placed, ["file", "block"]).select(
+        "file", "block", (F.col("above") + F.col("seq") - F.col("first_seq") + 1).alias("line"),
+        "value", (opened % 2 == 1).alias("inside"), (F.col("quotes") % 2 == 1).alias("odd"))
 
 
-def headers_of(blocks: DataFrame) -> DataFrame:
-    """The header line of every file (the first line of its first block)."""
-    first = Window.partitionBy("file").orderBy("block")
-    return blocks.withColumn("place", F.row_number().over(first)).filter("place = 1").select(
-        "file", F.regexp_replace("first_line", "^﻿", "").alias("header"))
+def records(numbered: DataFrame) -> DataFrame:
+    """(file, first, line, value): one row per record; a quoted cell may span lines.
+
+    ``line`` is the last physical line of a record. A quote that stays open for more than
+    ``RECORD_LINES`` lines is taken as text: each of its lines is a record of its own then.
+    """
+    single = numbered.filter("not inside and not odd").select(
+        "file", F.col("line").alias("first"), "line", "value")
+    multi = numbered.filter("inside or odd")
+    started = F.when(~F.col("inside"), F.col("line"))
+    so_far = Window.partitionBy("file", "block").orderBy("line")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    last = multi.groupBy("file", "block").agg(F.max(started).alias("last")).select(
+        "file", "block", F.max("last").over(earlier).alias("last_above"))
+    owned = multi.join(last, ["file", "block"]).select(
+        "file", "line", "value", F.coalesce(
+            F.max(started).over(so_far), "last_above", "line").alias("first"))
+    sizes = owned.groupBy("file", "first").agg(F.count(F.lit(1)).alias("n"))
+    sized = owned.join(sizes, ["file", "first"])
+    joined = sized.filter(F.col("n") <= RECORD_LINES).groupBy("file", "first").agg(
+        F.max("line").alias("line"),
+        F.sort_array(F.collect_list(F.struct("line", "value"))).alias("parts")).select(
+        "file", "first", "line", F.array_join(F.col("parts.value"), "\n").alias("value"))
+    loose = sized.filter(F.col("n") > RECORD_LINES).select(
+        "file", F.col("line").alias("first"), "line", "value")
+    return single.unionByName(joined).unionByName(loose)
+
+
+def split_cells(value: Column) -> Column:
+    """Cells of a record; quotes around a cell go and doubled quotes inside it are one."""
+    found = F.regexp_extract_all(
+        F.concat(value, F.lit(",")), F.lit('("[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*),'), F.lit(1))
+    bare = lambda c: F.replace(F.regexp_replace(
+        c, '(?s)^"([^"]*+(?:""[^"]*+)*+)"', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.trim(F.when(c.startswith('"'), bare(c)).otherwise(c)))
 
 
 def header_cells(header: Column) -> Column:
-    """Header cells without quotes, folded for comparison."""
-    cells = F.split(header, ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
-    return F.transform(cells, lambda c: F.lower(F.trim(F.regexp_replace(F.trim(c), '^"|"$', ""))))
+    """Header cells, folded for comparison."""
+    return F.transform(split_cells(header), lambda c: F.lower(c))
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file under a path, empty ones too (a scan skips those), as the driver's listing has it."""
+    names = [re.sub("^([A-Za-z0-9]+):///", r"\1:/", name)
+             for name in spark.read.text(path).inputFiles()]
+    return spark.createDataFrame([(n,) for n in names], "file string")
 
 
 def detect_source(headers: DataFrame) -> DataFrame:
@@ -79,9 +131,11 @@ def detect_source(headers: DataFrame) -> DataFrame:
     label = F.element_at(F.create_map(*[
         F.lit(x) for kv in C.SOURCE_LABELS.items() for x in kv]), F.col("source"))
     every = ", ".join(C.SOURCE_LABELS.values())
+    readable = F.col("valid") if "valid" in headers.columns else F.lit(True)
     error = (
-        F.when(F.length(F.trim(F.regexp_replace("header", ",", ""))) == 0,
-               "The file is empty or has no header row.")
+        F.when(~readable, "The file is not UTF-8 encoded CSV text.")
+        .when(F.length(F.trim(F.regexp_replace("header", '[,"]', ""))) == 0,
+              "The file is empty or has no header row.")
         .when(F.col("source").isNull(), f"Headers don't match any supported export ({every}).")
         .when(F.size("missing") > 0, F.concat(
             F.lit("Looks like a "), label, F.lit(" export but is missing columns: "),
@@ -91,53 +145,43 @@ def detect_source(headers: DataFrame) -> DataFrame:
         F.when(F.col("source").isNotNull(), F.col("missing")).alias("missing"), "error")
 
 
+def positions(source: Column, header: Column) -> Column:
+    """Where each field of the source's template stands in a header (from 1), in field order."""
+    cells = header_cells(header)
+    found = [F.when(source == t.source, F.array(*[
+        F.array_position(cells, f.header.lower()).cast("int") for f in t.fields]))
+        for t in TP.TEMPLATES.values()]
+    return F.coalesce(*found)
+
+
 def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """All export files under a path: (rows, files).
+    """All export files under a path: (rows, files), both stored.
 
-    Rows: file, source, line (physical), headers, cells (null when the cell count is wrong).
-    Two distributed passes give line numbers without gathering a file in one task. Only the
-    distinct header lines, which are metadata, reach the driver.
+    Rows: file, source, line (last physical line), headers, positions, width, value, cells. Files:
+    one row for each file, whatever it holds; only files with a source have rows. The lines are
+    scanned once and everything is derived from the stored scan; headers are matched once per
+    file, and all rows are cut into cells by one expression. Nothing reaches the driver.
     """
-    lines = scan_lines(spark, path)
-    blocks = staged(file_blocks(lines), "blocks")
-    files = staged(detect_source(headers_of(blocks)), "files")
-    numbered = lines.join(blocks.select("file", "block", "first_seq", "lines_before"),
-                          ["file", "block"]).select(
-        "file", (F.col("lines_before") + F.col("seq") - F.col("first_seq") + 1).alias("line"),
-        "value")
-    known = files.filter("source is not null").select("file", "source", "header")
-    body = numbered.join(known, "file").filter(
-        (F.col("line") > 1) & (F.length(F.trim(F.translate("value", ',"', ""))) > 0))
-    parts = []
-    for row in known.select("source", "header").distinct().collect():
-        width = len(row["header"].split(",")) if '"' not in row["header"] else len(
-            spark.range(1).select(header_cells(F.lit(row["header"])).alias("h")).first()["h"])
-        names = [f"c{i}" for i in range(width)]
-        schema = ", ".join(f"{n} string" for n in names) + ", _bad string"
-        cells = F.from_csv("value", schema, {
-            "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "escape": '"',
-            "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-        own = body.filter((F.col("header") == row["header"]) & (F.col("source") == row["source"]))
-        parsed = own.withColumn("row", cells)
-        blank = lambda n: F.coalesce(F.col(f"row.{n}"), F.lit(""))
-        parts.append(parsed.select(
-            "file", "source", "line", "header", "value",
-            F.when(F.col("row._bad").isNull(), F.array(*[blank(n) for n in names])).alias("cells"),
-            F.lit(width).alias("width")))
-    if not parts:
-        empty = ("file string, source string, line bigint, header string, value string, "
-                 "cells array<string>, width int")
-        return spark.createDataFrame([], empty), files
-    return reduce(lambda a, b: a.unionByName(b), parts), files
-
-
-def read_multiline(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of files whose quoted cells hold newlines: Spark's own multi-line CSV reader.
-
-    One task reads one such file, so it is meant for small files; lines are record numbers.
-    """
-    return spark.read.option("header", True).option("multiLine", True).option(
-        "escape", '"').csv(path)
+    lines = staged(scan_lines(spark, path), "lines")
+    numbered = staged(number_lines(lines), "numbered")
+    found = records(numbered)
+    first = found.filter("first = 1").select("file", F.regexp_replace(
+        "value", "^\ufeff", "").alias("header"))
+    valid = numbered.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    headers = list_files(spark, path).join(valid, "file", "left").join(first, "file", "left").select(
+        "file", F.coalesce("valid", F.lit(True)).alias("valid"),
+        F.make_valid_utf8(F.coalesce("header", F.lit(""))).alias("header"))
+    files = staged(detect_source(headers), "files")
+    known = files.filter("source is not null").select(
+        "file", "source", split_cells(F.col("header")).alias("headers"),
+        positions(F.col("source"), F.col("header")).alias("positions"))
+    known = staged(known.withColumn("width", F.size("headers")), "known")
+    body = found.join(known, "file").filter(
+        (F.col("first") > 1) & (F.length(F.trim(F.translate("value", ',"', ""))) > 0))
+    rows = body.select("file", "source", "line", "headers", "positions", "width", "value",
+                       split_cells(F.col("value")).alias("cells"))
+    return staged(rows, "rows"), files
 
 
 # --- validation -----------------------------------------------------------------------------
@@ -145,22 +189,21 @@ def validate_rows(rows: DataFrame, template: TP.Template) -> DataFrame:
     """Typed fields, ``errors`` and ``accepted`` per row, duplicates included.
 
     Cell reasons come first; only clean rows are cross-checked, and only rows that pass claim
-    their natural key, the earliest line winning.
+    their natural key, the earliest line winning. ``positions`` says where the template's fields
+    stand in ``cells``, so that no header is looked at here.
     """
-    cells = header_cells(F.col("header"))
-    position = lambda h: F.array_position(cells, h.lower()).cast("int")
-    raw = {f.header: F.trim(F.try_element_at("cells", F.greatest(position(f.header), F.lit(1))))
-           for f in template.fields}
-    texts = rows.withColumns({f"raw_{f.field}": raw[f.header] for f in template.fields})
-    by_header = {f.header: F.col(f"raw_{f.field}") for f in template.fields}
+    raw = {f.header: F.col(f"raw_{f.field}") for f in template.fields}
+    texts = rows.withColumns({
+        f"raw_{f.field}": F.get("cells", F.get("positions", F.lit(i)) - 1)
+        for i, f in enumerate(template.fields)})
     parsed = texts.withColumns({
         f.field: TP.parse(f.kind, F.col(f"raw_{f.field}"), f.choices) for f in template.fields})
     values = {f.field: F.col(f.field) for f in template.fields}
-    found = F.when(F.col("cells").isNull(), F.array(F.concat(
+    count = F.size("cells")
+    found = F.when(count != F.col("width"), F.array(F.concat(
         F.lit("expected "), F.col("width").cast("string"), F.lit(" columns, found "),
-        F.size(header_cells(F.col("value"))).cast("string"))))
-    first = parsed.withColumn(
-        "errors", found.otherwise(TP.cell_errors(template, by_header, values)))
+        count.cast("string"))))
+    first = parsed.withColumn("errors", found.otherwise(TP.cell_errors(template, raw, values)))
     checked = first.withColumn("errors", F.when(
         F.size("errors") == 0, TP.check_errors(template, values)).otherwise(F.col("errors")))
     return reject_duplicates(checked, ["file", *template.key]).drop(
@@ -199,12 +242,19 @@ def derive_and_project(validated: DataFrame, template: TP.Template) -> DataFrame
     return rows.select("file", "line", *keep)
 
 
-def rejected_report(validated: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The first refused rows of every file with all reasons and raw values."""
+def rejected_rows(validated: DataFrame) -> DataFrame:
+    """Every refused row with all its reasons and its raw cells beside their headers."""
+    return validated.filter("not accepted").select(
+        "file", "line", "errors", F.arrays_zip("headers", "cells").alias("cells"))
+
+
+def rejected_report(validated: DataFrame, sample: int) -> DataFrame:
+    """The first ``sample`` refused rows of every file beside the number of all its refused rows."""
+    refused = rejected_rows(validated)
     by_line = Window.partitionBy("file").orderBy("line")
-    refused = validated.filter("not accepted")
-    return refused.withColumn("place", F.row_number().over(by_line)).filter(
-        F.col("place") <= sample).select("file", "line", "errors", "value")
+    first = refused.withColumn("place", F.row_number().over(by_line)).filter(
+        F.col("place") <= sample).drop("place")
+    return first.join(refused.groupBy("file").agg(F.count(F.lit(1)).alias("refused")), "file")
 
 
 def run_log(validated: DataFrame) -> DataFrame:
@@ -226,7 +276,7 @@ def ingest_files(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame],
     """Validated rows per source, and one run-log row for every file, readable or not."""
     rows, files = read_export(spark, path)
     validated = {
-        source: validate_rows(rows.filter(F.col("source") == source), template)
+        source: staged(validate_rows(rows.filter(F.col("source") == source), template), source)
         for source, template in TP.TEMPLATES.items()}
     logged = reduce(lambda a, b: a.unionByName(b), [
         v.select("file", "source", "date", "accepted") for v in validated.values()])

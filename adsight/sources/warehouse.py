@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adsight.plans.session import scratch
+from adsight.plans.stages import staged
 
+FILE_ROWS = 2_000_000    # rows of a month's file, about
 __all__ = ["scratch", "merged", "upsert", "read", "load_dimensions", "surrogate", "ad_fact_rows"]
 
 AD_FACT_KEY = ["date", "creative_sk", "age_group", "device", "region"]
@@ -18,26 +21,37 @@ def merged(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
     return kept.unionByName(batch)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def _stored(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame | None:
+    """The stored table, or None before the first write."""
+    try:
+        return spark.read.schema(batch.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt by month and by a hash of the key: few files, and no month is one task's work."""
+    spread = rows.count() // FILE_ROWS + 1
+    return rows.repartition("month", F.pmod(F.xxhash64(*key), F.lit(spread)))
 
 
 def upsert(spark: SparkSession, path: str, batch: DataFrame, key: list[str], day: str) -> None:
     """Rewrites only the month partitions a batch touches.
 
-    The merged months are staged first, then swapped in with dynamic partition overwrite, so a
-    failed job leaves the table as it was and the same batch twice changes nothing.
+    The batch and the merged months are stored first, then the months are swapped in with dynamic
+    partition overwrite. The same batch twice changes nothing; if the swap itself fails half way,
+    running the upsert again completes it.
     """
-    new = batch.withColumn("month", F.date_format(day, "yyyy-MM"))
-    if _exists(spark, path):
+    new = staged(batch.withColumn("month", F.date_format(day, "yyyy-MM")), "batch")
+    target = _stored(spark, path, new)
+    if target is not None:
         # Distinct months of the batch: at most a few hundred rows whatever the batch holds.
         months = F.broadcast(new.select("month").distinct())
-        touched = spark.read.schema(new.schema).parquet(path).join(months, "month", "left_semi")
-        new = merged(touched.select(*new.columns), new, key)
-    stage = scratch(spark, "upsert")
-    new.write.partitionBy("month").parquet(stage)
-    spark.read.schema(new.schema).parquet(stage).write.mode("overwrite").option(
+        touched = target.join(months, "month", "left_semi")
+        new = staged(merged(touched.select(*new.columns), new, key), "merged")
+    _dealt(new, key).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 

@@ -9,8 +9,11 @@ from adsight.sources import exports as X
 from adsight.sources import templates as TP
 from adsight.sources import warehouse as WH
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 FACT_KEYS = {
-    "ads": ["date", "creative_id", "age_group", "device", "region"],
+    # External ids are unique under their parent only, so the whole path is the key.
+    "ads": ["date", "channel_id", "campaign_id", "ad_set_id", "creative_id", "age_group", "device",
+            "region"],
     "web": ["date", "source", "device"],
     "store": ["date"],
 }
@@ -29,11 +32,11 @@ def load_batch(spark: SparkSession, files: list[str], tables: str) -> None:
 def stream_ingest(spark: SparkSession, folder: str, tables: str, checkpoint: str) -> None:
     """Processes every file that is new since the last call, then stops.
 
-    The stream only carries file names; each micro-batch reads its files as one batch job, and
-    the upsert makes a retried batch harmless.
+    The stream lists files without reading their content; each micro-batch reads its files as one
+    batch job, and the upsert makes a retried batch harmless.
     """
-    names = spark.readStream.format("text").option("maxFilesPerTrigger", 1000).load(folder).select(
-        F.col("_metadata.file_path").alias("file"))
+    names = spark.readStream.format("binaryFile").schema(FILES).option(
+        "maxFilesPerTrigger", 1000).load(folder).select(F.col("path").alias("file"))
 
     def one(batch: DataFrame, _: int) -> None:
         # File names of one trigger (bounded by maxFilesPerTrigger).

@@ -38,7 +38,7 @@ SELECT ad_set_id || '|' || age_group AS segment, {ad_sums()} FROM ad GROUP BY 1"
 SQL["ad_facts_with_names"] = with_("ad", f"""
 SELECT date, channel_id, 'campaign-' || campaign_id AS campaign_name,
   'adset-' || ad_set_id AS ad_set_name, 'creative-' || creative_id AS creative_name, age_group,
-  device, region, {", ".join(f"{dbl(m)} AS {m}" for m in AD)} FROM ad WHERE {WEEK}""")
+  device, region, {", ".join(f"{dbl(m)} AS {m}" for m in AD)} FROM ad""")
 SQL["blend_daily"] = blended("2001-06-01", "2001-07-31", "SELECT * FROM blend")
 SQL["ad_daily"] = with_("ad_level", f"""
 SELECT level AS dimension, CASE WHEN level = 'age_group' THEN age_group ELSE key END AS key, date,
