@@ -126,20 +126,28 @@ def boolean(flag: bool | None) -> str:
     return "cast(null as boolean)" if flag is None else str(flag).lower()
 
 
-def entity_id() -> Column:
-    return F.concat_ws(":", "level", "key")
+def entity_id(level: str = "level", key: str = "key") -> Column:
+    """Level and path of an entity: external ids are unique under their parent only."""
+    own = F.col(level)
+    above = lambda column, *levels: F.when(own.isin(*levels), F.col(column))
+    path = F.concat_ws(
+        "/", above("channel_id", "campaign", "ad_set", "creative", "age_group"),
+        above("campaign_id", "ad_set", "creative", "age_group"),
+        above("ad_set_id", "creative"), F.col(key))
+    return F.concat_ws(":", own, path)
 
 
 def ancestors() -> Column:
     """Entity ids above the row's entity, top down."""
     level = F.col("level")
-    above = lambda name, column: F.concat(F.lit(name + ":"), F.col(column))
+    above = lambda name, *path: F.concat(F.lit(name + ":"), F.concat_ws("/", *path))
     deep = level.isin("creative", "age_group")
     return F.array_compact(F.array(
         F.when(level != "account", "account:all"),
         F.when(~level.isin("account", "channel"), above("channel", "channel_id")),
-        F.when(deep | (level == "ad_set"), above("campaign", "campaign_id")),
-        F.when(deep, above("ad_set", "ad_set_id")),
+        F.when(deep | (level == "ad_set"), above(
+            "campaign", "channel_id", "campaign_id")),
+        F.when(deep, above("ad_set", "channel_id", "campaign_id", "ad_set_id")),
     ))
 
 

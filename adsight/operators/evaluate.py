@@ -41,13 +41,16 @@ def labelled_events(raw: DataFrame, lineage: DataFrame) -> DataFrame:
     kind, level = F.col("type"), F.col("target.level")
     target, source = F.col("target.platform_id"), F.col("target.source")
     channel = F.when(source.isNotNull(), F.concat(F.lit("channel:"), source))
-    entity = F.concat_ws(":", level, target)
-    placed = raw.withColumn("target_entity", F.when(target.isNotNull(), entity))
-    known = lineage.select(F.col("entity_id").alias("target_entity"), "ancestors").distinct()
-    joined = placed.join(known, "target_entity", "left")
+    # An external id names an entity together with its platform.
+    known = lineage.select(
+        F.struct("channel_id", "level", "key").alias("named"), "entity_id", "ancestors").distinct()
+    placed = raw.withColumn("named", F.when(target.isNotNull(), F.struct(
+        source.alias("channel_id"), level.alias("level"), target.alias("key"))))
+    joined = placed.join(known, "named", "left")
+    entity = F.when(target.isNotNull(), F.coalesce("entity_id", F.concat_ws(":", level, target)))
     on_channel = F.array_compact(F.array(channel))
     segment = F.when((level == "ad_set") & F.col("target.age_group").isNotNull(), F.concat(
-        F.lit("age_group:"), target, F.lit("|"), F.col("target.age_group")))
+        F.lit("age_group:"), F.substring_index(entity, ":", -1), F.lit("|"), F.col("target.age_group")))
     near = F.filter(
         F.coalesce("ancestors", F.array().cast("array<string>")),
         lambda a: a.startswith("campaign:") | a.startswith("ad_set:"))

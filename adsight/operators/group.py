@@ -82,7 +82,8 @@ def lineage(ads: DataFrame) -> DataFrame:
     """Every entity of the four levels with its channel and its ancestors, top down."""
     path = ads.select("channel_id", "campaign_id", "ad_set_id", "creative_id").distinct()
     levels = ("channel", "campaign", "ad_set", "creative")
-    ids = [F.concat(F.lit(f"{level}:"), F.col(f"{level}_id")) for level in levels]
+    ids = [F.concat(F.lit(f"{level}:"), F.concat_ws("/", *[
+        f"{above}_id" for above in levels[:depth + 1]])) for depth, level in enumerate(levels)]
     rows = F.array(*[
         F.struct(
             F.lit(level).alias("level"), F.col(f"{level}_id").alias("key"),
@@ -208,7 +209,7 @@ def with_names(frame: DataFrame, names: DataFrame, column: str = "entity_id") ->
     fixed = {f"channel:{c}": C.SOURCE_LABELS[c] for c in C.CHANNELS} | {
         "account:all": C.ALL_CHANNELS}
     found = frame.join(names.withColumnRenamed("entity_id", column), column, "left")
-    last = F.element_at(F.split(F.col(column), "[:|]"), -1)
+    last = F.element_at(F.split(F.col(column), "[:|/]"), -1)
     return found.withColumn("name", F.coalesce(K.lookup(fixed, column), "name", last))
 
 

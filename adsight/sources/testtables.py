@@ -254,8 +254,10 @@ def alert_sightings(spark: SparkSession, sf: str) -> DataFrame:
     ads = ad_facts(spark, sf)
     daily = (
         ads.select("date", F.explode(F.array(
-            F.concat(F.lit("campaign:"), "campaign_id"), F.concat(F.lit("channel:"), "channel_id"),
-            F.concat(F.lit("creative:"), "creative_id"))).alias("entity"), "channel_id", "spend",
+            F.concat(F.lit("campaign:"), F.concat_ws("/", "channel_id", "campaign_id")),
+            F.concat(F.lit("channel:"), "channel_id"),
+            F.concat(F.lit("creative:"), F.concat_ws(
+                "/", "channel_id", "campaign_id", "ad_set_id", "creative_id")))).alias("entity"), "channel_id", "spend",
             "platform_conversions", "clicks")
         .groupBy("entity", "channel_id", "date")
         .agg(F.sum("spend").cast("double").alias("spend"),

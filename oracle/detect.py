@@ -241,8 +241,10 @@ def value(metric: str, prefix: str, days: int) -> str:
     return kpi(metric, prefix + "_") if metric in KPI else f"{prefix}_{metric} / {days}"
 
 
-ROW = """as_of, '{tag}|' || level || ':' || key || '|{metric}|' || strftime(as_of, '%Y%m%d') AS id,
- '{detector}' AS detector, '{metric}' AS metric, level || ':' || key AS entity_id, channel_id,
+_ENTITY = """level || ':' || CASE WHEN level IN ('account', 'channel') THEN key
+  ELSE concat_ws('/', channel_id, camp, CASE WHEN level <> 'age_group' THEN adset END, key) END"""
+ROW = f"""as_of, '{{tag}}|' || {_ENTITY} || '|{{metric}}|' || strftime(as_of, '%Y%m%d') AS id,
+ '{{detector}}' AS detector, '{{metric}}' AS metric, {_ENTITY} AS entity_id, channel_id,
  level, camp, adset"""
 M_COLS = ("spend", "platform_conversions", "store_orders", "clicks", "impressions")
 
@@ -316,7 +318,8 @@ NEEDS = ("topwin", "deepwin", "segwin", "tracking")
 SHOWN = """SELECT as_of, id, detector, metric, entity_id, channel_id,
  concat_ws(',', CASE WHEN level <> 'account' THEN 'account:all' END,
   CASE WHEN level NOT IN ('account', 'channel') THEN 'channel:' || channel_id END,
-  'campaign:' || camp, 'ad_set:' || adset) AS ancestors,
+  'campaign:' || channel_id || '/' || camp, 'ad_set:' || channel_id || '/' || camp || '/' || adset)
+  AS ancestors,
  current, baseline, change_pct, adverse, m_spend AS spend FROM """
 
 
@@ -380,23 +383,31 @@ SQL["rank_signals"] = with_("scored", f"""
 SELECT as_of, id, impact, score FROM scored s WHERE {kept('2001-07-01', '2001-07-04')}
 AND (detector IN ('tracking_break', 'goal_breach') OR score >= 5000)""")
 SQL["lineage"] = with_("ad", """
-SELECT DISTINCT channel_id, level, key, level || ':' || key AS entity_id, ancestors FROM (
- SELECT channel_id, 'channel' AS level, channel_id AS key, '' AS ancestors FROM ad
- UNION ALL SELECT channel_id, 'campaign', campaign_id, 'channel:' || channel_id FROM ad
+SELECT DISTINCT channel_id, level, key, level || ':' || path AS entity_id, ancestors FROM (
+ SELECT channel_id, 'channel' AS level, channel_id AS key, channel_id AS path, '' AS ancestors
+ FROM ad
+ UNION ALL SELECT channel_id, 'campaign', campaign_id, channel_id || '/' || campaign_id,
+   'channel:' || channel_id FROM ad
  UNION ALL SELECT channel_id, 'ad_set', ad_set_id,
-   'channel:' || channel_id || ',campaign:' || campaign_id FROM ad
- UNION ALL SELECT channel_id, 'creative', creative_id, 'channel:' || channel_id || ',campaign:'
-   || campaign_id || ',ad_set:' || ad_set_id FROM ad)""")
+   concat_ws('/', channel_id, campaign_id, ad_set_id),
+   'channel:' || channel_id || ',campaign:' || channel_id || '/' || campaign_id FROM ad
+ UNION ALL SELECT channel_id, 'creative', creative_id,
+   concat_ws('/', channel_id, campaign_id, ad_set_id, creative_id),
+   'channel:' || channel_id || ',campaign:' || channel_id || '/' || campaign_id
+   || ',ad_set:' || concat_ws('/', channel_id, campaign_id, ad_set_id) FROM ad)""")
 CTES["kids"] = (("ad",), """
 SELECT 'account:all' AS entity_id, count(DISTINCT channel_id) AS children FROM ad GROUP BY 1
 UNION ALL SELECT 'channel:' || channel_id, count(DISTINCT campaign_id) FROM ad GROUP BY 1
-UNION ALL SELECT 'campaign:' || campaign_id, count(DISTINCT ad_set_id) FROM ad GROUP BY 1
-UNION ALL SELECT 'ad_set:' || ad_set_id, count(DISTINCT creative_id) FROM ad GROUP BY 1""")
+UNION ALL SELECT 'campaign:' || channel_id || '/' || campaign_id, count(DISTINCT ad_set_id)
+ FROM ad GROUP BY 1
+UNION ALL SELECT 'ad_set:' || concat_ws('/', channel_id, campaign_id, ad_set_id),
+ count(DISTINCT creative_id) FROM ad GROUP BY 1""")
 SQL["child_counts"] = with_("kids", "SELECT * FROM kids")
 CTES["ranked"] = (("scored",), f"""
 SELECT *, e[len(e)] AS own FROM (SELECT s.*, list_filter([CASE WHEN level <> 'account' THEN
   'account:all' END, CASE WHEN level NOT IN ('account', 'channel') THEN 'channel:' || channel_id
-  END, 'campaign:' || camp, 'ad_set:' || adset, entity_id], lambda x: x IS NOT NULL) AS e
+  END, 'campaign:' || channel_id || '/' || camp,
+  'ad_set:' || channel_id || '/' || camp || '/' || adset, entity_id], lambda x: x IS NOT NULL) AS e
 FROM scored s WHERE {kept('2001-05-01', '2001-05-10')})""")
 # Nodes of the hierarchy a move was seen at; one row per (move, node).
 CTES["nodes"] = (("ranked", "kids"), """

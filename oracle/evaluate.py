@@ -7,11 +7,14 @@ from oracle import detect, explain, report  # noqa: F401  (shared expressions)
 
 SQL: dict[str, str] = {}
 CTES["ev"] = ((), """
-SELECT *, CASE WHEN kind = 'creative_fatigue' THEN ['creative:' || pid, 'campaign:' || (k % 80 % 10),
-   'ad_set:' || (k % 80 % 40)]
-  WHEN kind = 'audience_mismatch' THEN ['ad_set:' || pid, 'age_group:' || pid || '|' || age,
-   'campaign:' || (k % 40 % 10)]
-  WHEN kind = 'cpc_spike' THEN ['campaign:' || pid] ELSE ['channel:' || src] END AS entities,
+SELECT *, CASE WHEN kind = 'creative_fatigue' THEN [
+   'creative:' || concat_ws('/', src, k % 80 % 10, k % 80 % 40, pid),
+   'campaign:' || concat_ws('/', src, k % 80 % 10),
+   'ad_set:' || concat_ws('/', src, k % 80 % 10, k % 80 % 40)]
+  WHEN kind = 'audience_mismatch' THEN ['ad_set:' || concat_ws('/', src, k % 40 % 10, pid),
+   'age_group:' || concat_ws('/', src, k % 40 % 10, pid) || '|' || age,
+   'campaign:' || concat_ws('/', src, k % 40 % 10)]
+  WHEN kind = 'cpc_spike' THEN ['campaign:' || src || '/' || pid] ELSE ['channel:' || src] END AS entities,
  list_distinct(list_concat([['cpa', 'ctr', 'cpc', 'roas', 'spend'][k % 5 + 1]], CASE kind
   WHEN 'creative_fatigue' THEN ['roas', 'cvr'] WHEN 'audience_mismatch' THEN ['roas']
   WHEN 'channel_opportunity' THEN ['mer', 'store_revenue'] WHEN 'cpc_spike' THEN ['roas']
@@ -36,9 +39,10 @@ SELECT *, CASE WHEN cpa > 800 THEN 'issue' ELSE 'win' END AS kind,
  SELECT entity AS key, channel_id, date AS as_of, CAST(SUM(spend) AS DOUBLE) AS score,
   CAST(SUM(spend) AS DOUBLE) / NULLIF(CAST(SUM(platform_conversions) AS DOUBLE), 0) AS cpa,
   CAST(SUM(clicks) AS BIGINT) AS clicks FROM (
-  SELECT 'campaign:' || campaign_id AS entity, ad.* FROM ad
+  SELECT 'campaign:' || channel_id || '/' || campaign_id AS entity, ad.* FROM ad
   UNION ALL SELECT 'channel:' || channel_id, ad.* FROM ad
-  UNION ALL SELECT 'creative:' || creative_id, ad.* FROM ad) GROUP BY 1, 2, 3)
+  UNION ALL SELECT 'creative:' || concat_ws('/', channel_id, campaign_id, ad_set_id,
+   creative_id), ad.* FROM ad) GROUP BY 1, 2, 3)
 WHERE cpa > 800 OR cpa < 350""")
 CTES["epi"] = (("sight",), """
 SELECT key, key AS entity, arg_min(kind, as_of) AS kind, MIN(as_of) AS detected_on,

@@ -111,9 +111,12 @@ SELECT as_of, key, CAST(0 AS BIGINT) AS place, driver AS metric, round(share_pct
 FROM b1 UNION ALL SELECT as_of, key, 1, driver, round(share_pct, 6) FROM b2""")
 SQL["is_protected"] = with_("ad", """
 SELECT 'channel:' || channel_id AS entity_id, false AS protected FROM ad GROUP BY 1
-UNION ALL SELECT 'campaign:' || campaign_id, campaign_id = '3' FROM ad GROUP BY 1, 2
-UNION ALL SELECT 'ad_set:' || ad_set_id, campaign_id = '3' FROM ad GROUP BY 1, 2
-UNION ALL SELECT 'creative:' || creative_id, campaign_id = '3' FROM ad GROUP BY 1, 2""")
+UNION ALL SELECT 'campaign:' || channel_id || '/' || campaign_id, campaign_id = '3' FROM ad
+ GROUP BY 1, 2
+UNION ALL SELECT 'ad_set:' || concat_ws('/', channel_id, campaign_id, ad_set_id),
+ campaign_id = '3' FROM ad GROUP BY 1, 2
+UNION ALL SELECT 'creative:' || concat_ws('/', channel_id, campaign_id, ad_set_id, creative_id),
+ campaign_id = '3' FROM ad GROUP BY 1, 2""")
 CTES["acts"] = ((), """
 SELECT * FROM (VALUES
  (1, 'pause_creative', 'high', 'creative', 'creative_id', 0.4, 0.9, NULL),

@@ -64,7 +64,7 @@ def steady(spark, **kw):
 
 def test_fatigue_is_one_creative(spark):
     found = tired(spark).analyse().collect()
-    assert [r["opportunity"] for r in found] == ["creative:42"]
+    assert [r["opportunity"] for r in found] == ["creative:meta_ads/7/31/42"]
     row = found[0]
     assert row["primary"]["metric"] == "roas"
     assert {s["metric"] for s in row["signals"]} == {"roas", "cpa", "cpc", "ctr"}
@@ -82,7 +82,7 @@ def test_segment_divergence(spark):
             for age, m in (("18-24", STEADY), ("25-34", STEADY), ("45-54", bad))]
     found = {r["opportunity"]: r["primary"]["detector"]
              for r in Case(spark, rows).analyse().collect()}
-    assert found["age_group:31|45-54"] == "segment_divergence"
+    assert found["age_group:meta_ads/7/31|45-54"] == "segment_divergence"
 
 
 def test_overspend(spark):
@@ -96,7 +96,21 @@ def test_broken_channel_holds_back_tracked_metrics(spark):
     case = tired(spark, tracking=[(END, "meta_ads", "broken", 0.2)])
     found = {r["opportunity"]: r for r in case.analyse().collect()}
     assert found["channel:meta_ads"]["primary"]["detector"] == "tracking_break"
-    assert {s["metric"] for s in found["creative:42"]["signals"]} == {"cpc", "ctr"}
+    assert {s["metric"] for s in found["creative:meta_ads/7/31/42"]["signals"]} == {"cpc", "ctr"}
+
+
+def test_same_ids_on_two_platforms_stay_apart(spark):
+    """External ids are unique under their parent only."""
+    rows = [ad(d, TIRED if last_week(d) else STEADY) for d in days()]
+    twin = [(r[0], "google_ads", *r[2:]) for r in (ad(d, STEADY) for d in days())]
+    case = Case(spark, rows + twin)
+    found = case.analyse().collect()
+    assert {r["channel_id"] for r in found if r["level"] == "creative"} == {"meta_ads"}
+    assert "creative:meta_ads/7/31/42" in {r["opportunity"] for r in found}
+    kids = dict(G.child_counts(case.ads).collect())
+    assert kids["channel:google_ads"] == kids["campaign:meta_ads/7"] == 1
+    assert kids["account:all"] == 2 and len(kids) == 7
+    assert G.lineage(case.ads).count() == 8
 
 
 def test_sale_window_is_quiet(spark):
@@ -204,13 +218,13 @@ def test_tracking_verdicts(spark):
 def test_diagnosis_and_action(spark):
     case = tired(spark)
     found = case.analyse()
-    names = spark.createDataFrame([("creative:42", "Summer ad")], "entity_id string, name string")
+    names = spark.createDataFrame([("creative:meta_ads/7/31/42", "Summer ad")], "entity_id string, name string")
     tracking = case.tracking
     row = sweep.investigate(found, tracking, names, []).first()
     assert row["hypotheses"][0]["cause"] == "creative_fatigue"
     assert row["recommendation"]["action"] == "rotate_creative"
     assert set(row["hypotheses"][0]["signal_ids"]) == {
-        "chg|creative:42|ctr|20261030", "chg|creative:42|cpc|20261030"}
+        "chg|creative:meta_ads/7/31/42|ctr|20261030", "chg|creative:meta_ads/7/31/42|cpc|20261030"}
     assert row["observation"].startswith("Summer ad: ROAS fell 50%")
     guarded = sweep.investigate(found, tracking, names, ["7"]).first()
     assert guarded["protected"] and "pause_creative" not in guarded["allowed"]
