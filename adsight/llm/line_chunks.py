@@ -76,12 +76,15 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     wanted = staged(digests.join(shared, "digest").groupBy("row_key").agg(
         F.collect_set("no").alias("wanted")), "shared")  # at most the chunks of one document
-    texts = listed(keyed.join(wanted, "row_key")).filter(
+    # Always a merge join: whether the list would fit a broadcast depends on the corpus.
+    texts = listed(keyed.join(wanted.hint("merge"), "row_key")).filter(
         F.array_contains("wanted", F.col("c.no"))).select(
         "row_key", "id", F.col("c.no").alias("no"), body.alias("body"))
     texts = staged(texts.withColumn("place", F.struct(
         F.col("id").isNull().alias("unknown"), "id", "row_key", "no")).drop("id"), "bodies")
-    first = texts.groupBy("body").agg(F.min("place").alias("first"))
+    # Stored, so that the join deals both sides by the text and can split a frequent one.
+    first = staged(texts.groupBy("body").agg(F.min("place").alias("first"), F.count(
+        F.lit(1)).alias("n")).filter("n > 1").drop("n"), "first")
     return texts.join(first, "body").filter(
         (F.col("place.row_key") != F.col("first.row_key")) | (F.col("no") != F.col("first.no"))
     ).select("row_key", "no")
@@ -106,7 +109,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "row_key").agg(F.collect_set("no").alias("gone_chunks")), "gone")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          _row_key(id_col, text_col).alias("row_key"))
-    joined = packed.join(gone, "row_key", "left")
+    joined = packed.join(gone.hint("merge"), "row_key", "left")
     own = F.col(f"row.`{text_col}`")
     kept = F.filter(chunks(own, divisor, long_words),
                     lambda c: ~F.array_contains(F.col("gone_chunks"), c["no"]))
