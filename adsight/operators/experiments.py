@@ -95,6 +95,9 @@ def joined(experiments: DataFrame, opportunities: DataFrame) -> DataFrame:
     return experiments.join(found, "opportunity_id")
 
 
+LEVELS = ("account", "channel", "campaign", "ad_set", "creative")
+
+
 def due(experiments: DataFrame, as_of: dt.date) -> DataFrame:
     return experiments.filter((F.col("status") == "running") & (F.col("ends_on") <= F.lit(as_of)))
 
@@ -116,8 +119,11 @@ def evaluate(
     requests = judged.select(
         "id", F.col("entity_level").alias("level"), F.col("entity_key").alias("key"),
         F.inline(F.array(side("before", "before"), side("after", "after"))))
-    totals = M.entity_window_totals(
-        requests, M.entity_days(ads, web, store), ["id", "side"])
+    # Only the days that a window covers are read (two dates reach the driver).
+    span = requests.agg(F.min("start"), F.max("end")).first()
+    first, last = (day or as_of for day in span)
+    days = M.entity_days(*(M.in_period(f, first, last) for f in (ads, web, store)), LEVELS)
+    totals = M.entity_window_totals(requests, days, ["id", "side"])
     # Both sides of an experiment meet in one aggregation on its id.
     wide = totals.groupBy("id").agg(*[
         F.max(F.when(F.col("side") == s, F.col(m))).alias(f"{s}_{m}")

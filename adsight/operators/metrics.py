@@ -171,9 +171,11 @@ def grouped_totals(
     return in_period(daily, start, end).groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def entity_days(ads: DataFrame, web: DataFrame, store: DataFrame) -> DataFrame:
+def entity_days(
+    ads: DataFrame, web: DataFrame, store: DataFrame, levels: tuple[str, ...] | None = None
+) -> DataFrame:
     """One row per (level, key, date, table) with every measure that table has for the entity."""
-    from_ads = level_daily(entity_daily(ads)).select(
+    from_ads = level_daily(entity_daily(ads), levels).select(
         "level", "key", "date", *C.AD_MEASURES, "rows", "reach_rows", F.lit(1).alias("ad_day"))
     from_web = web_sources_of(web).groupBy("level", "key", "date").agg(
         *[F.sum(m).alias(m) for m in C.WEB_MEASURES], F.lit(1).alias("web_day"))
@@ -207,13 +209,16 @@ def entity_totals(
 def entity_window_totals(requests: DataFrame, days: DataFrame, keys: list[str]) -> DataFrame:
     """Totals for many (level, key, start, end) requests at once.
 
-    Each request is spread over its days and meets the facts in an equi-join on entity and day,
-    so neither side is broadcast and no range join is planned.
+    Equal windows are totalled once, however many requests share them. A window is spread over its
+    days and meets the facts in an equi-join on entity and day, so neither side is broadcast and
+    no range join is planned; requests then meet their window's one row.
     """
-    spread = requests.select(
-        *keys, "level", "key", F.explode(F.sequence("start", "end")).alias("date"))
-    found = spread.join(days, ["level", "key", "date"], "left")
-    return found.groupBy(*keys).agg(*totals_of_days())
+    window = ["level", "key", "start", "end"]
+    spread = requests.select(*window).distinct().select(
+        *window, F.explode(F.sequence("start", "end")).alias("date"))
+    totals = spread.join(days, ["level", "key", "date"], "left").groupBy(*window).agg(
+        *totals_of_days())
+    return requests.select(*keys, *window).join(totals, window)
 
 
 # --- calendars and blended days -----------------------------------------------------------
