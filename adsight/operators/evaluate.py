@@ -25,14 +25,14 @@ def _list_map(mapping: dict[str, tuple[str, ...]]) -> Column:
 
 
 # --- labelled events --------------------------------------------------------------------------
-def read_events(spark, path: str) -> DataFrame:
-    """The ``events`` array of labelled-event documents as rows."""
+def read_events(spark, path: str, multi_line: bool = True) -> DataFrame:
+    """The ``events`` array of labelled-event documents as rows; one document per file or line."""
     schema = (
         "events array<struct<id:string,type:string,start:date,end:date,onset:string,"
         "target:struct<level:string,platform_id:string,source:string,age_group:string>,"
         "affected_metrics:array<struct<metric:string>>,expected_signal_type:string,"
         "expected_action:string>>")
-    documents = spark.read.schema(schema).option("multiLine", True).json(path)
+    documents = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return documents.select(F.inline("events"))
 
 
@@ -263,7 +263,8 @@ def break_outcomes(breaks: DataFrame, tracking: DataFrame, shown: DataFrame) ->
     """What the daily verdicts did about every break: caught, lag, covered days and leaks.
 
     ``shown``: (as_of, key, channel_id, tracked), the alerts shown each day and whether they rest
-    on platform conversions. Break days meet the verdicts and alerts in equi-joins on the day.
+    on platform conversions. Break days meet a channel's alerts on (day, channel), and the
+    account-level alerts, a few keys a day, on the day.
     """
     days = breaks.select("*", F.explode(F.sequence("start", "end")).alias("as_of"))
     daily = tracking.groupBy("as_of").agg(
@@ -274,11 +275,14 @@ def break_outcomes(breaks: DataFrame, tracking: DataFrame, shown: DataFrame) ->
     # The account-level alerts and, for a named channel, that channel's.
     held = shown.filter("tracked").select(
         "as_of", "key", F.col("channel_id").alias("alert_channel"))
-    tainted = F.when(F.col("channel_id").isNull(), F.array_contains(
-        "broken", F.col("alert_channel"))).otherwise(F.col("alert_channel") == F.col("channel_id"))
-    leaks = judged.filter("called").join(held, "as_of").filter(
-        F.col("alert_channel").isNull() | tainted).groupBy("id").agg(
-        F.count_distinct("key").alias("leaked"))
+    hit = judged.filter("called")
+    tainted = F.when(F.col("channel_id").isNull(), F.col("broken")).otherwise(F.array("channel_id"))
+    by_channel = hit.select("id", "as_of", F.explode(tainted).alias("alert_channel")).join(
+        held, ["as_of", "alert_channel"]).select("id", "key")
+    everywhere = hit.select("id", "as_of").join(
+        held.filter("alert_channel is null").select("as_of", "key").distinct(), "as_of").select(
+        "id", "key")
+    leaks = by_channel.union(everywhere).groupBy("id").agg(F.count_distinct("key").alias("leaked"))
     outcome = judged.groupBy("id", "channel_id", "start").agg(
         F.count(F.lit(1)).alias("window_days"), F.count_if("called").alias("caught_days"),
         F.min(F.when(F.col("called"), F.col("as_of"))).alias("caught_on"))
@@ -316,29 +320,32 @@ def scorecard(
     """Every criterion with its target, the measured value and whether it passed."""
     t = C.TARGETS
 
-    def line(frame: DataFrame, criterion: str, value: str, target: float, passed: Column):
-        return frame.select(
+    def line(criterion: str, value: str, target: float, passed: Column) -> Column:
+        return F.struct(
             F.lit(criterion).alias("criterion"), F.lit(target).alias("target"),
             F.col(value).cast("double").alias("measured"), passed.alias("passed"))
 
     at_least = lambda c, key: F.col(c) >= t[key]
     total = diagnosis.filter("kind = 'all'")
     calls = grounding.filter("purpose = 'all'")
-    rows = [
-        line(detection, "Detection within 3 days", "recall_within_3",
-             t["detection_within_3_days"], at_least("recall_within_3", "detection_within_3_days")),
-        line(detection, "False alarms", "false_alarm_rate", t["false_alarms"],
-             F.col("false_alarm_rate") < t["false_alarms"]),
-        line(total, "Cause in the top three", "top3", t["cause_in_top_three"],
-             at_least("top3", "cause_in_top_three")),
-        line(trust, "Tracking breaks caught", "accuracy", t["tracking_breaks_caught"],
-             at_least("accuracy", "tracking_breaks_caught")),
-        line(trust, "Advice suppressed while broken", "suppression", t["advice_suppressed"],
-             at_least("suppression", "advice_suppressed")),
-        line(calls, "Ungrounded numbers shown", "leaked", t["ungrounded_numbers"],
-             F.col("leaked") <= t["ungrounded_numbers"]),
+    # Every input has one row and is read once, whatever the number of its criteria.
+    parts = [
+        (detection, line("Detection within 3 days", "recall_within_3",
+                         t["detection_within_3_days"],
+                         at_least("recall_within_3", "detection_within_3_days")),
+         line("False alarms", "false_alarm_rate", t["false_alarms"],
+              F.col("false_alarm_rate") < t["false_alarms"])),
+        (total, line("Cause in the top three", "top3", t["cause_in_top_three"],
+                     at_least("top3", "cause_in_top_three"))),
+        (trust, line("Tracking breaks caught", "accuracy", t["tracking_breaks_caught"],
+                     at_least("accuracy", "tracking_breaks_caught")),
+         line("Advice suppressed while broken", "suppression", t["advice_suppressed"],
+              at_least("suppression", "advice_suppressed"))),
+        (calls, line("Ungrounded numbers shown", "leaked", t["ungrounded_numbers"],
+                     F.col("leaked") <= t["ungrounded_numbers"])),
     ]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
+    out = None
+    for frame, *lines in parts:
+        rows = frame.select(F.inline(F.array(*lines)))
+        out = rows if out is None else out.unionByName(rows)
     return out

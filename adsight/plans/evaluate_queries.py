@@ -30,9 +30,8 @@ def _(spark, sf):
     # One event per document: no document grows with the table.
     raw.select(F.array(F.struct(*raw.columns)).alias("events")).write.option(
         "ignoreNullFields", False).json(path)
-    return E.labelled_events(spark.read.schema(
-        f"events array<{raw.schema.simpleString()}>").json(path).select(F.inline("events")),
-        G.lineage(T.ad_facts(spark, sf)))
+    return E.labelled_events(E.read_events(spark, path, multi_line=False),
+                             G.lineage(T.ad_facts(spark, sf)))
 
 
 def events_of(spark, sf):
