@@ -74,3 +74,12 @@ def capitalised(text: Column) -> Column:
 
 def plural(count: Column, one: str, many: str) -> Column:
     return F.when(count == 1, one).otherwise(many)
+
+
+def filled(sentence: str, *values: Column) -> Column:
+    """A fixed sentence with its placeholders replaced in order; null if a value is null."""
+    parts = sentence.split("{}")
+    pieces = [F.lit(parts[0])]
+    for value, rest in zip(values, parts[1:], strict=True):
+        pieces += [value, F.lit(rest)]
+    return F.concat(*pieces)

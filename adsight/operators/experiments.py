@@ -25,16 +25,12 @@ def hypothesis(
     action: Column, metric: Column, name: Column, baseline: Column, goal: Column, days: int
 ) -> Column:
     """The sentence an experiment is judged against."""
-    opening = F.concat(
-        K.lookup({a: s.gerund for a, s in C.ACTIONS.items()}, action), F.lit(" on "), name)
-    within = F.lit(f" within {days} days.")
-    vague = F.concat(opening, F.lit(" should improve "), WD.label(metric), within)
-    repair = F.concat(
-        opening, F.lit(" should bring "), WD.label(metric), F.lit(" from "),
-        WD.plain(baseline * 100, 0), F.lit("% of their usual level back to normal"), within)
-    move = F.concat(
-        opening, F.lit(" should move "), WD.label(metric), F.lit(" from "),
-        WD.value_text(metric, baseline), F.lit(" to "), WD.value_text(metric, goal), within)
+    doing = K.lookup({a: s.gerund for a, s in C.ACTIONS.items()}, action)
+    says = lambda kind, *values: WD.filled(
+        C.HYPOTHESIS[kind], doing, name, WD.label(metric), *values, F.lit(str(days)))
+    vague = says("vague")
+    repair = says("repair", WD.plain(baseline * 100, 0))
+    move = says("move", WD.value_text(metric, baseline), WD.value_text(metric, goal))
     return (
         F.when(baseline.isNull() | goal.isNull(), vague)
         .when(action == "fix_tracking", repair).otherwise(move))

@@ -94,11 +94,10 @@ def band(priority: K.ColumnLike) -> Column:
 
 def stop_condition(watch: Column, metric: Column, baseline: Column, days: Column) -> Column:
     """When to call the change off, in terms of the watched metric."""
-    gone = F.concat(F.lit("Stop if "), WD.label(watch), F.lit(" has not recovered within "),
-                    days.cast("string"), F.lit(" days."))
-    held = F.concat(F.lit("Stop if "), WD.label(watch), F.lit(" is no better than "),
-                    WD.value_text(watch, baseline), F.lit(" after "), days.cast("string"),
-                    F.lit(" days."))
+    length = days.cast("string")
+    gone = WD.filled(C.STOP_CONDITION["gone"], WD.label(watch), length)
+    held = WD.filled(
+        C.STOP_CONDITION["held"], WD.label(watch), WD.value_text(watch, baseline), length)
     return F.when((watch == metric) & baseline.isNotNull(), held).otherwise(gone)
 
 
