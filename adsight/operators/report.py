@@ -240,55 +240,55 @@ def weekly_payload(
 
 
 # --- sentences --------------------------------------------------------------------------------
-def _joined(*parts: Column) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def says(name: str, *values: Column) -> Column:
+    """A fixed sentence of the report with its values."""
+    return WD.filled(C.REPORT[name], *values)
+
+
+def _or_nothing(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
 
 
 def kpi_line(k: Column, unreliable: Column) -> Column:
     value = lambda v: WD.value_or_na(k["metric"], v)
-    goal = F.when(k["target"].isNotNull() & k["goal_status"].isNotNull(), _joined(
-        K.lookup(C.GOAL_WORDS, k["goal_status"]), " ", value(k["target"])))
-    doubt = F.when(unreliable & k["metric"].isin(*C.PLATFORM_METRICS),
-                   "not reliable while tracking is broken")
+    goal = F.when(k["target"].isNotNull() & k["goal_status"].isNotNull(), F.concat_ws(
+        " ", K.lookup(C.GOAL_WORDS, k["goal_status"]), value(k["target"])))
+    doubt = F.when(unreliable & k["metric"].isin(*C.PLATFORM_METRICS), says("doubtful"))
     return F.concat_ws(
-        ", ", _joined(WD.capitalised(WD.label(k["metric"])), " ", value(k["value"])),
-        F.when(k["change_pct"].isNotNull(), _joined(WD.moved(k["change_pct"]), " on last week")),
+        ", ", F.concat_ws(" ", WD.capitalised(WD.label(k["metric"])), value(k["value"])),
+        F.when(k["change_pct"].isNotNull(), says("on_last_week", WD.moved(k["change_pct"]))),
         goal, doubt)
 
 
 def pacing_line(p: Column) -> Column:
-    daily = F.when(p["suggested_daily"].isNotNull(), _joined(
-        "; ", WD.rupees(p["suggested_daily"]), " a day lands on budget"))
-    return _joined(
-        p["label"], ": ", WD.plain(p["spent_pct"]), "% of ", WD.rupees(p["budget"]),
-        " spent with ", WD.plain(p["month_elapsed_pct"]), "% of the month gone, ",
-        K.lookup(C.PACE_WORDS, p["status"]), F.coalesce(daily, F.lit("")))
+    daily = F.when(p["suggested_daily"].isNotNull(), says(
+        "suggested", WD.rupees(p["suggested_daily"])))
+    return says(
+        "pacing", p["label"], WD.plain(p["spent_pct"]), WD.rupees(p["budget"]),
+        WD.plain(p["month_elapsed_pct"]), K.lookup(C.PACE_WORDS, p["status"]), _or_nothing(daily))
 
 
 def opportunity_line(o: Column) -> Column:
     value = lambda v: WD.value_or_na(o["metric"], v)
-    against = F.when(o["baseline"].isNotNull(), _joined(" against ", value(o["baseline"])))
-    change = F.when(o["change_pct"].isNotNull(), _joined(" (", WD.moved(o["change_pct"]), ")"))
-    none = F.lit("")
-    return _joined(
-        F.upper(o["band"]), " ", o["title"], ": ", WD.label(o["metric"]), " ",
-        value(o["current"]), F.coalesce(against, none), F.coalesce(change, none), ", ",
-        WD.rupees(F.abs(o["impact"])), " a week at stake")
+    against = F.when(o["baseline"].isNotNull(), says("against", value(o["baseline"])))
+    change = F.when(o["change_pct"].isNotNull(), says("change", WD.moved(o["change_pct"])))
+    return says(
+        "opportunity", F.upper(o["band"]), o["title"], WD.label(o["metric"]), value(o["current"]),
+        _or_nothing(against), _or_nothing(change), WD.rupees(F.abs(o["impact"])))
 
 
 def experiment_line(e: Column) -> Column:
     value = lambda v: WD.value_or_na(e["metric"], v)
-    days = F.coalesce(_joined(" over ", e["sample_days"].cast("string"), " days"), F.lit(""))
-    told = _joined(
-        e["title"], ": ", WD.label(e["metric"]), " ", value(e["before_value"]), " to ",
-        value(e["after_value"]), days, " — ", K.lookup(C.VERDICT_WORDS, e["verdict"]))
-    return F.when(e["verdict"].isNull(), _joined(e["title"], ": still being measured")).otherwise(
-        told)
+    days = _or_nothing(says("over_days", e["sample_days"].cast("string")))
+    told = says(
+        "experiment", e["title"], WD.label(e["metric"]), value(e["before_value"]),
+        value(e["after_value"]), days, K.lookup(C.VERDICT_WORDS, e["verdict"]))
+    return F.when(e["verdict"].isNull(), says("measuring", e["title"])).otherwise(told)
 
 
 def decision_line(d: Column) -> Column:
     word = F.coalesce(K.lookup(C.DECISION_WORDS, d["kind"]), d["kind"])
-    return _joined(word, ": ", d["title"], F.coalesce(_joined(" — ", d["reason"]), F.lit("")))
+    return says("decision", word, d["title"], _or_nothing(says("reason", d["reason"])))
 
 
 def report_lines(payload: DataFrame) -> DataFrame:
@@ -299,45 +299,41 @@ def report_lines(payload: DataFrame) -> DataFrame:
     kpi = lambda m: F.try_element_at(
         F.filter("kpis", lambda k: k["metric"] == m), F.lit(1))
     revenue = kpi("store_revenue")
-    week = _joined("the 7 days to ", F.date_format("week_end", "dd MMM yyyy"))
+    week = says("week", F.date_format("week_end", "dd MMM yyyy"))
+    amount = WD.rupees(revenue["value"])
     headline = (
-        F.when(revenue["value"].isNull(), _joined("This is the week of ", week, "."))
-        .when(revenue["change_pct"].isNull(), _joined(
-            "Revenue was ", WD.rupees(revenue["value"]), " in ", week, "."))
-        .otherwise(_joined("Revenue was ", WD.rupees(revenue["value"]), " in ", week, ", ",
-                           WD.moved(revenue["change_pct"]), " on the week before.")))
+        F.when(revenue["value"].isNull(), says("no_revenue", week))
+        .when(revenue["change_pct"].isNull(), says("revenue", amount, week))
+        .otherwise(says("revenue_moved", amount, week, WD.moved(revenue["change_pct"]))))
     behind = F.filter("kpis", lambda k: k["goal_status"] == "behind")
-    goals = F.when(F.size(behind) == 0, "Every goal with a target was met or on track.").otherwise(
-        _joined("Behind goal: ", F.array_join(F.transform(behind, lambda k: F.concat(
-            WD.label(k["metric"]), F.lit(" "), WD.value_or_na(k["metric"], k["value"]))), ", "),
-            "."))
+    goals = F.when(F.size(behind) == 0, says("goals_met")).otherwise(
+        says("behind", F.array_join(F.transform(behind, lambda k: F.concat(
+            WD.label(k["metric"]), F.lit(" "), WD.value_or_na(k["metric"], k["value"]))), ", ")))
     count = lambda kind: F.size(
         F.filter("opportunities", lambda o: o["kind"] == kind))
     issues, wins, decided = count("issue"), count("win"), F.size("decisions")
-    issue_text = F.when(F.col("issue_cost") != 0, _joined(
-        issues.cast("string"), " ", WD.plural(issues, "issue", "issues"),
-        F.when(issues > 1, " cost about ").otherwise(" costs about "), WD.rupees("issue_cost"),
-        " a week", F.when(issues > 1, " between them").otherwise(""), "."))
-    win_text = F.when(F.col("win_upside") != 0, _joined(
-        wins.cast("string"), " ", WD.plural(wins, "opportunity", "opportunities"),
-        " could add ", WD.rupees("win_upside"), " a week if acted on."))
+    number = lambda n, one, many: (n.cast("string"), WD.plural(n, one, many))
+    cost = (*number(issues, "issue", "issues"), WD.rupees("issue_cost"))
+    issue_text = F.when(F.col("issue_cost") != 0, F.when(
+        issues > 1, says("issues", *cost)).otherwise(says("issue", *cost)))
+    win_text = F.when(F.col("win_upside") != 0, says(
+        "wins", *number(wins, "opportunity", "opportunities"), WD.rupees("win_upside")))
     judged = F.col("judged")
-    recorded = _joined(decided.cast("string"), " ", WD.plural(decided, "decision", "decisions"))
+    recorded = number(decided, "decision", "decisions")
     changes = (
-        F.when(decided == 0, "No decisions were recorded this week.")
-        .when(judged == 0, _joined(recorded, " recorded, none judged yet."))
-        .otherwise(_joined(recorded, " recorded; of ", judged.cast("string"), " judged, ",
-                           F.col("worked").cast("string"), " worked.")))
+        F.when(decided == 0, says("no_decisions"))
+        .when(judged == 0, says("decisions", *recorded))
+        .otherwise(says("judged", *recorded, judged.cast("string"),
+                        F.col("worked").cast("string"))))
     doubt = F.col("trust_warning")
-    sections = (
-        ("This week's KPIs", F.transform("kpis", lambda k: kpi_line(k, doubt))),
-        ("Budget pacing", F.transform("pacing", pacing_line)),
-        ("What mattered", F.transform("opportunities", opportunity_line)),
-        ("Changes under test", F.transform("experiments", experiment_line)),
-        ("Decisions", F.transform("decisions", decision_line)))
+    lines = {
+        "kpis": lambda k: kpi_line(k, doubt), "pacing": pacing_line,
+        "opportunities": opportunity_line, "experiments": experiment_line,
+        "decisions": decision_line}
+    sections = [(C.SECTIONS[name], F.transform(name, line)) for name, line in lines.items()]
     detail = F.array_compact(F.array(*[
-        F.when(F.size(lines) > 0, _joined(heading + ". ", F.array_join(lines, " ")))
-        for heading, lines in sections]))
+        F.when(F.size(told) > 0, F.concat(F.lit(heading + ". "), F.array_join(told, " ")))
+        for heading, told in sections]))
     return base.withColumns({
         "summary": F.array_compact(F.array(headline, goals, issue_text, win_text, changes)),
         "detail": detail})
@@ -345,8 +341,8 @@ def report_lines(payload: DataFrame) -> DataFrame:
 
 def report_markdown(reports: DataFrame) -> DataFrame:
     """Reports with lines as one Markdown text per week."""
-    weeks = _joined("# Weekly report · ", F.date_format("week_start", "d MMM"), " – ",
-                    F.date_format("week_end", "d MMM yyyy"))
+    weeks = says("title", F.date_format("week_start", "d MMM"),
+                 F.date_format("week_end", "d MMM yyyy"))
     founder = F.transform("summary", lambda line: F.concat(F.lit("- "), line))
 
     def section(paragraph: Column) -> Column:
@@ -357,9 +353,9 @@ def report_markdown(reports: DataFrame) -> DataFrame:
             paragraph)
         return F.concat(F.lit("## "), heading, F.lit("\n\n"), body, F.lit("\n"))
 
-    note = F.lit("_Written from the computed numbers alone; no AI wording was used._\n")
+    note = says("template_note")
     return reports.select("week_end", F.concat_ws(
-        "\n", weeks, F.lit(""), F.lit("## For the founder"), F.lit(""),
+        "\n", weeks, F.lit(""), says("founder"), F.lit(""),
         F.array_join(founder, "\n"), F.lit(""),
         F.array_join(F.transform("detail", section), "\n"), note).alias("markdown"))
 
