@@ -171,8 +171,13 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marks = F.lit([r["h"] for r in of_templates.distinct().collect()])  # of the fixed notices
     bodies = paragraphs(docs, id_col, text_col).select("body").withColumn(
         "order", F.xxhash64("body"))
-    # Sampled with a margin first, so that the whole corpus is hashed and not tokenised.
-    some = bodies.orderBy("order", "body").limit(4 * NEGATIVES).distinct()
+    # A hash bound that some 8 x NEGATIVES lines pass keeps the sort small, whatever the corpus
+    # holds; repeated lines are one before they are sorted.
+    lines = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")))).first()[0]
+    share = min(1.0, 8 * NEGATIVES / max(lines or 0, 1))
+    bound = min(int(share * 2 ** 64) - 2 ** 63, 2 ** 63 - 1)
+    some = bodies.filter(F.col("order") <= bound).distinct().orderBy("order", "body").limit(
+        4 * NEGATIVES)
     negative = some.withColumn("tokens", terms(F.col("body"))).filter(
         ~F.arrays_overlap(triples(F.col("tokens")), marks)).orderBy("order", "body").limit(
         NEGATIVES).select(F.lit(UNKNOWN).alias("family"), "tokens")
