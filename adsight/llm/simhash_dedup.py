@@ -255,11 +255,15 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = staged(_marked(docs, text_col, shingle).withColumn(
         "row_no", F.monotonically_increasing_id()), "marked")
-    nodes = staged(marked.groupBy("key").agg(F.first("rings").alias("rings")), "nodes")
+    nodes = staged(marked.groupBy("key").agg(
+        F.first("rings").alias("rings"), F.min("row_no").alias("row_no")), "nodes")
     pairs = staged(_ring_pairs(nodes), "pairs")
     asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    texts = marked.select("key", F.col(f"row.`{text_col}`").cast("binary").alias("text_bytes")).join(
-        asked, "key", "left_semi").dropDuplicates(["key"])
+    # One row of each text, by its number: a text with very many copies is not gathered. Always
+    # merge joins, as what fits a broadcast depends on the corpus.
+    read = nodes.join(asked, "key", "left_semi").select("row_no")
+    texts = marked.select("row_no", "key", F.col(f"row.`{text_col}`").cast("binary").alias(
+        "text_bytes")).join(read.hint("merge"), "row_no", "left_semi").select("key", "text_bytes")
 
     def sets(batches):
         for batch in batches:
@@ -280,4 +284,4 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stays = least.join(roots.withColumnRenamed("node", "key"), "key", "left").groupBy(
         F.coalesce("root", "key").alias("root")).agg(F.min("place").alias("place")).select(
         F.col("place.row_no").alias("row_no"))
-    return marked.join(stays, "row_no", "left_semi").select("row.*")
+    return marked.join(stays.hint("merge"), "row_no", "left_semi").select("row.*")
