@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from adsight.llm.common import fold, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from adsight.plans.stages import staged
 
-BLOCK_BYTES = 4 << 20       # text that is counted and scored together
-PART_BYTES = 16 << 20       # text whose n-grams one counting task adds up
+BLOCK_BYTES = 2 << 20       # text that is counted and scored together
+PART_BYTES = 6 << 20        # text whose n-grams one counting task adds up
 END = 0                     # local number of the end token, also the state at a text's start
 PRIOR = 20.0                # weight of the shorter context in a longer one's probabilities
 END_HASH = xxhash.xxh64_intdigest(b" end")  # no word holds a blank
