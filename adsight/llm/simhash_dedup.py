@@ -150,6 +150,7 @@ def _hex(fp: Column) -> Column:
 RING = 12           # segments of a ring
 FINE = 4            # shingles of a segment on the finer level, about
 BUDGET = 14         # differing bits that a segment may have on average
+SLOTS = 1 << 20     # counters that order shingles from rare to frequent
 
 
 def ring_prints(hashes: np.ndarray) -> list[tuple[int, list[int | None]]]:
@@ -215,20 +216,28 @@ def _marked(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     return packed.mapInArrow(scan, schema)
 
 
+def _segments(nodes: DataFrame, *columns: str) -> DataFrame:
+    """One row per text and segment that has a print."""
+    return nodes.select(*columns, F.explode("rings").alias("r")).select(
+        *columns, "r.level", F.posexplode("r.prints").alias("segment", "print")).filter(
+        "print is not null")
+
+
+BUCKET = ["level", "segment", "print"]
+
+
 def _ring_pairs(nodes: DataFrame) -> DataFrame:
     """(u, v): texts that share a segment with its leader, within the budget of the whole ring.
 
     A leader is picked in every bucket by a hash of bucket and text, so families of any size give
-    one pair per text and bucket, with different leaders in different buckets.
+    one pair per text and bucket, with different leaders in different buckets. This joins families
+    cheaply; what it does not compare is left to :func:`_open_texts`.
     """
-    keyed = nodes.select("key", F.explode("rings").alias("r")).select(
-        "key", "r.level", F.posexplode("r.prints").alias("segment", "print")).filter(
-        "print is not null")
-    bucket = ["level", "segment", "print"]
-    leaders = keyed.groupBy(*bucket).agg(
-        F.min_by("key", F.xxhash64(*bucket, "key")).alias("leader"),
+    keyed = _segments(nodes, "key")
+    leaders = keyed.groupBy(*BUCKET).agg(
+        F.min_by("key", F.xxhash64(*BUCKET, "key")).alias("leader"),
         F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = keyed.join(leaders, bucket).filter("key != leader").select(
+    pairs = keyed.join(leaders, BUCKET).filter("key != leader").select(
         F.least("key", "leader").alias("u"), F.greatest("key", "leader").alias("v"),
         "level").distinct()
     ring = lambda side: nodes.select(F.col("key").alias(side), F.explode("rings").alias("r")).select(
@@ -240,6 +249,84 @@ def _ring_pairs(nodes: DataFrame) -> DataFrame:
     return both.filter(total <= F.size("u_prints") * BUDGET).select("u", "v").distinct()
 
 
+def _open_texts(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, root): texts of the buckets whose texts are not all in one component yet.
+
+    ``root`` is a 64-bit hash of the component; a text without a link is its own.
+    """
+    named = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        "key", "rings", F.xxhash64(F.coalesce("root", "key")).alias("root"))
+    keyed = _segments(staged(named, "named"), "key", "root")
+    mixed = keyed.groupBy(*BUCKET).agg(
+        F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    return keyed.join(mixed, BUCKET).select("key", "root").distinct()
+
+
+def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): a superset of all pairs of different components that reach ``similarity``; exact.
+
+    ``sets``: (key, root, set of distinct shingle hashes). Prefix filter: with all sets in one
+    order of shingles, two similar sets share one of the first ones of both: the shorter one's
+    first n - ceil(2t / (1 + t) * n) + 1 and the longer one's first n - ceil(t * n) + 1. The order
+    is from rare to frequent, by a table of ``SLOTS`` counters (any order is exact), so that
+    shared boilerplate comes last. Places and sizes bound the overlap that a pair can have.
+    """
+    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    found = sets.select(F.explode("set").alias("h")).groupBy(slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("n")).toArrow()     # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    ask, index = similarity, 2 * similarity / (1 + similarity)
+    kept = lambda n, share: n - int(np.ceil(share * n - 1e-9)) + 1
+
+    def first(batches):
+        for batch in batches:
+            keys, roots, hashes, sizes, places, short = [], [], [], [], [], []
+            for key, root, own in zip(*batch.columns):
+                own = own.values.to_numpy(zero_copy_only=False)
+                counts = often[own & (SLOTS - 1)]
+                order = np.lexsort((own, counts))[:kept(len(own), ask)]
+                at = np.flatnonzero(counts[order] > 1)      # the others are in no second set
+                keys += [key.as_py()] * len(at)
+                roots += [root.as_py()] * len(at)
+                hashes.append(own[order[at]])
+                sizes += [len(own)] * len(at)
+                places.append(at)
+                short.append(at < kept(len(own), index))
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), pa.array(roots, pa.int64()),
+                     pa.array(np.concatenate(hashes), pa.int64()), pa.array(sizes, pa.int32()),
+                     pa.array(np.concatenate(places), pa.int32()),
+                     pa.array(np.concatenate(short), pa.bool_())],
+                    names=["key", "root", "h", "size", "place", "short"])
+
+    rows = staged(sets.filter(F.size("set") > 0).mapInArrow(
+        first, "key binary, root bigint, h bigint, size int, place int, short boolean"), "first")
+    # Only pairs of different components are of use. The largest component of a shingle is not
+    # paired with itself, so a family that is joined already costs one pair per stray text.
+    main = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias(
+        "short")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
+                                   F.count(F.lit(1)).alias("roots"), F.max("short").alias(
+                                       "short")).filter("roots > 1 AND short").drop("roots", "short")
+    mixed = staged(rows.join(main, "h"), "mixed")
+    side = lambda rows, name: rows.select("h", *[
+        F.col(c).alias(f"{name}_{c}") for c in ("key", "root", "size", "place")])
+    own, strays = F.col("root") == F.col("main"), F.col("root") != F.col("main")
+    both = (F.col("a_root") != F.col("b_root")) & (
+        F.struct("a_size", "a_key") < F.struct("b_size", "b_key")) & (
+        F.col("a_size") >= F.col("b_size") * similarity - 1e-9) & (
+        F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+        >= (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity)) - 1e-9)
+    pairs = None
+    for shorter, longer in ((strays, F.lit(True)), (own, strays)):
+        some = side(mixed.filter(F.col("short") & shorter), "a").join(
+            side(mixed.filter(longer), "b"), "h").filter(both)
+        pairs = some if pairs is None else pairs.union(some)
+    return pairs.select(F.least("a_key", "b_key").alias("u"),
+                        F.greatest("a_key", "b_key").alias("v")).distinct()
+
+
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near duplicates, all columns.
@@ -248,8 +335,10 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``similarity``; groups are connected by links, and the row with the smallest id stays (null
     ids last; of repeated rows one). The candidates come from SimHashes of parts of the shingle
     set on a ring: similar sets share at least one part's fingerprint (with 12 parts of four
-    shingles, all but about 0.2 % at the bound), and the whole ring keeps to a budget of
-    differing bits. The similarity of a candidate is then computed on whole sets. Texts
+    shingles, all but about 0.2 % at the bound). Each bucket first links its texts to one leader,
+    within a budget of differing bits; all texts of buckets that this leaves in several components
+    are then searched by an exact prefix filter, whatever the size of the bucket. The similarity
+    of a candidate is computed on whole sets. Texts
     with equal words are one node of the graph, whatever their number. Null, empty and blank texts
     are equal. An empty table gives no rows.
     """
@@ -257,13 +346,15 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "row_no", F.monotonically_increasing_id()), "marked")
     nodes = staged(marked.groupBy("key").agg(
         F.first("rings").alias("rings"), F.min("row_no").alias("row_no")), "nodes")
-    pairs = staged(_ring_pairs(nodes), "pairs")
-    asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    # One row of each text, by its number: a text with very many copies is not gathered. Always
-    # merge joins, as what fits a broadcast depends on the corpus.
-    read = nodes.join(asked, "key", "left_semi").select("row_no")
-    texts = marked.select("row_no", "key", F.col(f"row.`{text_col}`").cast("binary").alias(
-        "text_bytes")).join(read.hint("merge"), "row_no", "left_semi").select("key", "text_bytes")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(key, set): the shingle sets of the keys asked."""
+        # One row of each text, by its number: a text with very many copies is not gathered. Always
+        # merge joins, as what fits a broadcast depends on the corpus.
+        read = nodes.join(asked, "key", "left_semi").select("row_no")
+        texts = marked.select("row_no", "key", F.col(f"row.`{text_col}`").cast("binary").alias(
+            "text_bytes")).join(read.hint("merge"), "row_no", "left_semi").select("key", "text_bytes")
+        return staged(texts.mapInArrow(sets, "key binary, set array<bigint>"), "sets")
 
     def sets(batches):
         for batch in batches:
@@ -271,12 +362,22 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "set"])
 
-    sets_of = staged(texts.mapInArrow(sets, "key binary, set array<bigint>"), "sets")
-    side = lambda name: sets_of.select(F.col("key").alias(name), F.col("set").alias(f"{name}_set"))
-    both = F.size(F.array_intersect("u_set", "v_set"))
-    links = pairs.join(side("u"), "u").join(side("v"), "v").filter(
-        both >= similarity * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
+    def similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        side = lambda name: known.select(F.col("key").alias(name), F.col("set").alias(f"{name}_set"))
+        both = F.size(F.array_intersect("u_set", "v_set"))
+        return pairs.join(side("u"), "u").join(side("v"), "v").filter(
+            both >= similarity * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
+
+    pairs = staged(_ring_pairs(nodes), "pairs")
+    asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    links = staged(similar(pairs, sets_of(asked)), "ring_links")
     roots = components(links)
+    left = staged(_open_texts(nodes, roots), "open")
+    known = sets_of(left)
+    rest = staged(_rare_pairs(known.join(left, "key").select("key", "root", "set"), similarity),
+                  "rare_pairs")
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(
+        similar(rest, known)))
     place = F.struct(F.col(f"row.`{id_col}`").isNull().alias("unknown"),
                      F.col(f"row.`{id_col}`").alias("id"), "row_no")
     least = marked.select("key", place.alias("place")).groupBy("key").agg(

@@ -39,6 +39,39 @@ def test_similar_documents_are_grouped(spark):
     assert simhash_dedup.distinct_documents(frame(spark, [])).count() == 0
 
 
+def test_pairs_inside_a_family_of_boilerplate(spark):
+    """All texts share 85 % of their shingles; each planted pair has a similarity of 0.818."""
+    shared = " ".join(f"common{i}" for i in range(174))      # 170 shingles of 200
+    rows = []
+    for i in range(300):
+        both = " ".join(f"pair{i}x{k}" for k in range(10))
+        rows += [(2 * i + side, f"{shared} {both} " + " ".join(
+            f"own{2 * i + side}x{k}" for k in range(20))) for side in (0, 1)]
+    sets = [shingles(t) for _, t in rows[:4]]
+    assert len(sets[0]) == 200 and len(sets[0] & sets[1]) == 180 and len(sets[0] & sets[2]) == 170
+    kept = simhash_dedup.distinct_documents(frame(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [2 * i for i in range(300)]
+
+
+@pytest.mark.parametrize("share", [0.3, 0.75, 0.88, 0.93])
+def test_rare_pairs_hold_every_similar_pair(spark, share):
+    pick = random.Random(share)
+    pool = [pick.getrandbits(64) - (1 << 63) for _ in range(60)]
+    sets = []
+    for i in range(150):
+        n = pick.randint(20, 60)
+        own = set(pool[:int(n * share)]) | {pick.getrandbits(64) - (1 << 63) for _ in range(
+            n - int(n * share))}
+        sets.append(own if i % 3 else set(pick.sample(sorted(sets[-1]), int(
+            len(sets[-1]) * 0.9))) if sets else own)
+    rows = [(str(i).encode(), i % 140, sorted(s)) for i, s in enumerate(sets)]
+    got = {frozenset((int(r["u"]), int(r["v"]))) for r in simhash_dedup._rare_pairs(
+        spark.createDataFrame(rows, "key binary, root bigint, set array<bigint>"), 0.8).collect()}
+    want = {frozenset((i, j)) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
+            if i % 140 != j % 140 and len(a & b) >= 0.8 * len(a | b)}
+    assert want and want <= got
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("sf"))
