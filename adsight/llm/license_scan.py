@@ -171,17 +171,27 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marks = F.lit([r["h"] for r in of_templates.distinct().collect()])  # of the fixed notices
     bodies = paragraphs(docs, id_col, text_col).select("body").withColumn(
         "order", F.xxhash64("body"))
-    # A hash bound that some 8 x NEGATIVES lines pass keeps the sort small, whatever the corpus
-    # holds; repeated lines are one before they are sorted.
-    lines = docs.agg(F.sum(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")))).first()[0]
-    share = min(1.0, 8 * NEGATIVES / max(lines or 0, 1))
-    bound = min(int(share * 2 ** 64) - 2 ** 63, 2 ** 63 - 1)
-    some = bodies.filter(F.col("order") <= bound).distinct().orderBy("order", "body").limit(
-        4 * NEGATIVES)
-    negative = some.withColumn("tokens", terms(F.col("body"))).filter(
-        ~F.arrays_overlap(triples(F.col("tokens")), marks)).orderBy("order", "body").limit(
-        NEGATIVES).select(F.lit(UNKNOWN).alias("family"), "tokens")
-    return positive.union(negative).filter(F.size("tokens") > 0)
+    # A hash bound that some 8 x NEGATIVES distinct lines pass keeps the sort small, whatever the
+    # corpus holds; repeated lines are one before they are sorted. Where too many of them are of
+    # notices, the bound is widened.
+    lines = bodies.agg(F.approx_count_distinct("order")).first()[0]
+    share = 8 * NEGATIVES / max(lines, 1)
+    while True:
+        bound = min(int(min(share, 1.0) * 2 ** 64) - 2 ** 63, 2 ** 63 - 1)
+        negative = staged(bodies.filter(F.col("order") <= bound).distinct().withColumn(
+            "tokens", terms(F.col("body"))).filter(
+            (F.size("tokens") > 0) & ~F.arrays_overlap(triples(F.col("tokens")), marks)).orderBy(
+            "order", "body").limit(NEGATIVES).select("tokens"), "licence_negatives")
+        found = negative.count()
+        if found >= NEGATIVES or share >= 1:
+            break
+        share *= 8
+    if found < VARIANTS:    # the class is kept: rows of no gram of a notice
+        made = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.concat(
+            F.lit("unknownword"), i.cast("string"), F.lit("x"), F.col("id").cast("string")))
+        negative = negative.union(spark.range(VARIANTS).select(made.alias("tokens")))
+    return positive.union(negative.select(F.lit(UNKNOWN).alias("family"), "tokens")).filter(
+        F.size("tokens") > 0)
 
 
 class Model:
@@ -242,7 +252,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     fitted = LogisticRegression(maxIter=50, regParam=1e-4, standardization=False,
                                 family="multinomial").fit(staged(vectors, "licence_vectors"))
     matrix, shifts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
-    model = Model(families[:len(matrix)], vocabulary, matrix.tolist(), shifts.tolist())
+    if len(matrix) != len(families):
+        raise ValueError(f"{len(matrix)} of {len(families)} classes were learned")
+    model = Model(families, vocabulary, matrix.tolist(), shifts.tolist())
     z = rows.filter("held").select("label", model.logits(F.col("hashes")).alias("z"))
     loss = z.agg(*[F.avg(-F.log(F.greatest(F.lit(1e-12), F.get(
         model.probabilities(F.col("z"), t), F.col("label").cast("int"))))).alias(str(i))

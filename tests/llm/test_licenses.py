@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from adsight.llm import license_scan as S
 from data import awkward, frame, text
@@ -34,6 +35,24 @@ def test_empty_table(spark):
     assert S.scan(frame(spark, [])).count() == 0
 
 
+def test_repeated_lines_leave_the_unknown_class_whole(spark, monkeypatch):
+    monkeypatch.setattr(S, "NEGATIVES", 10)
+    ordinary = text(31, 400, 50)
+    rows = [(i, ordinary) for i in range(400)] + [(1000 + i, f"{body} x{i}") for i in range(
+        600) for body in S.TEMPLATES["mit"][:1]]
+    kept = S.training_rows(frame(spark, rows), "doc_id", "text").filter(
+        F.col("family") == S.UNKNOWN)
+    assert kept.filter(~F.col("tokens")[0].startswith("unknownword")).distinct().count() == 10
+
+
+def test_notices_alone_force_no_line_into_a_family(spark):
+    notices = frame(spark, [(1, "Released under the MIT License.")])
+    model = S.train(notices)
+    assert model.families[-1] == S.UNKNOWN
+    assert S.scan(frame(spark, [(i, text(i)) for i in range(20)]), model).count() == 0
+    assert [r["family"] for r in S.scan(notices, model).collect()] == ["mit"]
+
+
 def test_score_is_the_models_own(spark):
     from pyspark.sql import functions as F
     vocabulary = S.Vocabulary([5, 77, -9])
