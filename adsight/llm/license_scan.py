@@ -147,6 +147,40 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return listed.filter(F.length(F.trim("body")) > 0)
 
 
+MARKS = "^[\\s/*#;%!<>|-]+|[\\s*/<>|-]+$"     # of comments, at both ends of a line
+
+
+def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row_key, id, paragraph, last, body): the non-blank lines, and the paragraphs of several lines.
+
+    A paragraph is a run of lines that are not blank without their comment marks, joined by
+    blanks; it stands from line ``paragraph`` to line ``last``. For a line the two are equal.
+    """
+    def unit(first: Column, last: Column, body: Column) -> Column:
+        return F.struct(first.cast("int").alias("paragraph"), last.cast("int").alias("last"),
+                        body.alias("body"))
+
+    def listed(lines: Column) -> Column:
+        bare = F.transform(lines, lambda l: F.regexp_replace(l, MARKS, ""))
+        single = F.filter(F.transform(lines, lambda l, i: unit(i, i, l)),
+                          lambda u: F.length(F.trim(u["body"])) > 0)
+        return F.concat(single, _let(bare, runs))
+
+    def runs(bare: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(bare) - 1)
+        blank = lambda i: F.coalesce(F.get(bare, i) == "", F.lit(True))
+        starts = F.filter(places, lambda i: ~blank(i) & blank(i - 1))
+        ends = F.filter(places, lambda i: ~blank(i) & blank(i + 1))
+        whole = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: r["b"] > r["a"])
+        return F.transform(whole, lambda r: unit(r["a"], r["b"], F.array_join(
+            F.slice(bare, r["a"] + 1, r["b"] - r["a"] + 1), " ")))
+
+    return docs.select(
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col),
+        F.explode(_let(F.split(F.col(text_col), "\n"), listed)).alias("unit")).select(
+        "row_key", id_col, "unit.*")
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """(family, body) of the fixed notices."""
     return spark.createDataFrame(
@@ -267,35 +301,54 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
-    """One row per paragraph (non-blank line) that is predicted to be of a licence family.
-
-    Columns: id, paragraph (line number from 0), family, probability, template_similarity (largest
-    share of a family template's word triples found in the paragraph), confirmed (that share
-    reaches ``CONFIRMED``) and body. A paragraph whose calibrated probability of the best family is below
-    ``CERTAIN``, or whose best class is ``unknown``, gives no row. Null and empty texts and blank
-    lines give none; repeated rows are reported each; null ids are kept; an empty table gives no
-    rows. Everything is built-in functions: each paragraph is scored where it is read, without a
-    shuffle.
+    """One row per notice: a non-blank line or a paragraph of several lines of a licence family.
+
+    Columns: id, paragraph (number of its first line, from 0), family, probability,
+    template_similarity (largest share of a family template's word triples found in it), confirmed
+    (that share reaches ``CONFIRMED``) and body (of a paragraph, its lines without comment marks,
+    joined by blanks). A line gives a row when the calibrated probability of its best class
+    reaches ``CERTAIN`` and the class is not ``unknown``. A paragraph gives one for its best class
+    by the same rule, and for every family that it confirms, as prose before or after a notice
+    lowers the probability; unless one of its lines already has a row of the family, confirmed
+    if the paragraph's is. Null and empty texts and blank lines give none; repeated rows
+    are reported each; null ids are kept; an empty table gives no rows. Everything is built-in
+    functions: text is scored where it is read; only the rows found are exchanged.
     """
     model = model or train(docs, id_col, text_col)
-    scored = paragraphs(docs, id_col, text_col).withColumn(
-        "tokens", terms(F.col("body"))).withColumn(
-        "chances", model.probabilities(model.logits(grams(F.col("tokens")))))
-    best = F.array_max("chances")
-    chosen = scored.select(
-        id_col, "paragraph", "body", "tokens", F.get(
-            F.lit(model.families), (F.array_position("chances", best) - 1).cast("int")).alias(
-            "family"), best.alias("probability")).filter(
-        (F.col("family") != UNKNOWN) & (F.col("probability") >= CERTAIN))
     known = templates(docs.sparkSession).select("family", triples(terms(F.col("body"))).alias("t"))
     lists: dict[str, list] = {}
     for row in known.collect():     # the fixed notices
         lists.setdefault(row["family"], []).append(row["t"])
-    share = lambda own: F.size(F.array_intersect("found", F.lit(own))) / F.lit(float(len(own)))
-    similar = F.coalesce(*[
-        F.when(F.col("family") == family, F.greatest(F.lit(0.0), *[share(t) for t in own]))
-        for family, own in lists.items()])
-    return chosen.withColumn("found", triples(F.col("tokens"))).withColumn(
-        "template_similarity", similar).select(
-        id_col, "paragraph", "family", "probability", "template_similarity",
-        (F.col("template_similarity") >= CONFIRMED).alias("confirmed"), "body")
+    marks = F.lit(sorted({h for own in lists.values() for t in own for h in t}))
+    share = lambda found, own: F.size(F.array_intersect(found, F.lit(own))) / F.lit(float(len(own)))
+    near = lambda found: F.array(*[F.struct(
+        F.lit(family).alias("family"), F.greatest(F.lit(0.0), *[share(found, t) for t in own]).alias(
+            "similarity"), F.get("chances", F.lit(model.families.index(family))).alias("chance"))
+        for family, own in sorted(lists.items())])
+    scored = units(docs, id_col, text_col).withColumn(
+        "tokens", terms(F.col("body"))).withColumn(
+        "chances", model.probabilities(model.logits(grams(F.col("tokens"))))).withColumn(
+        "found", F.array_intersect(marks, triples(F.col("tokens"))))
+    best = F.array_max("chances")
+    chosen = scored.select("*", F.when(best >= CERTAIN, F.get(
+        F.lit(model.families), (F.array_position("chances", best) - 1).cast("int"))).alias(
+        "family")).filter((F.col("family") != UNKNOWN) | (
+            (F.col("last") > F.col("paragraph")) & (F.size("found") > 0)))
+    several = F.col("last") > F.col("paragraph")
+    rows = staged(chosen.select(
+        "row_key", id_col, "paragraph", "last", "body", "family", F.explode(
+            _let(F.col("found"), near)).alias("n")).filter(
+        F.coalesce(F.col("n.family") == F.col("family"), F.lit(False))
+        | (several & (F.col("n.similarity") >= CONFIRMED))).select(
+        "row_key", id_col, "paragraph", "last", F.col("n.family").alias("family"),
+        F.col("n.chance").alias("probability"), F.col("n.similarity").alias("template_similarity"),
+        (F.col("n.similarity") >= CONFIRMED).alias("confirmed"), "body"), "licence_found")
+    lines = rows.filter(~several)
+    told = lines.select(F.col("row_key").alias("own"), F.col("family").alias("of"), F.col(
+        "paragraph").alias("at"), F.col("confirmed").alias("sure")).distinct()
+    new = rows.filter(several).join(told.hint("merge"), [
+        F.col("row_key") == F.col("own"), F.col("family") == F.col("of"),
+        F.col("at").between(F.col("paragraph"), F.col("last")),
+        F.col("sure") | ~F.col("confirmed")], "left_anti")
+    return lines.union(new).drop("row_key", "last").select(
+        id_col, "paragraph", "family", "probability", "template_similarity", "confirmed", "body")

@@ -53,6 +53,29 @@ def test_notices_alone_force_no_line_into_a_family(spark):
     assert [r["family"] for r in S.scan(notices, model).collect()] == ["mit"]
 
 
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_wrapped_notices_are_confirmed(spark, mark):
+    import textwrap
+    long = [(f, b) for f, bodies in S.TEMPLATES.items() for b in bodies if len(b) > 140]
+    assert len(long) >= 5
+    rows = []
+    for i, (_, body) in enumerate(long):
+        wrapped = textwrap.wrap(body, 72 - len(mark), break_on_hyphens=False)
+        rows.append((i, text(i, 60, 3) + f"\n{mark.rstrip()}\n" + "\n".join(
+            mark + line for line in wrapped) + f"\n{mark.rstrip()}\n" + text(i + 90, 60, 3)))
+        rows.append((100 + i, text(i, 60, 3) + "\n" + "\n".join(wrapped)))
+    rows += [(200 + i, text(300 + i, 120, 6)) for i in range(60)]
+    got = [r for r in S.scan(frame(spark, rows)).collect() if r["confirmed"]]
+    found = {(r["doc_id"], r["family"]): r for r in got}
+    assert {i for i, _ in found} == {i for i, _ in rows if i < 200}
+    for i, (family, body) in enumerate(long):
+        row = found[i, family]
+        assert (row["paragraph"], row["template_similarity"]) == (4, 1.0)
+        assert (100 + i, family) in found
+        if family != "apache-2.0":      # its first line is a notice by itself
+            assert row["body"] == body
+
+
 def test_score_is_the_models_own(spark):
     from pyspark.sql import functions as F
     vocabulary = S.Vocabulary([5, 77, -9])
