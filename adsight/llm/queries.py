@@ -13,6 +13,7 @@ from adsight.llm import (
     license_scan,
     line_chunks,
     simhash_dedup,
+    token_counts,
     token_packing,
     warc_index,
 )
@@ -145,3 +146,9 @@ def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence paragraphs of all documents."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over 4096 tokens."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
