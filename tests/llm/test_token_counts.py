@@ -51,8 +51,9 @@ def test_overlaps_widen_until_a_boundary_is_proven(model):
     assert encoder.count("a" * 1000) == len(encode("a" * 1000)) and max(lengths) == 1000
     lengths.clear()
     prose = text(5, 4000, 50)
+    encoder.chunk, encoder.overlap = 200, 60
     encoder.count(prose)
-    assert max(lengths) <= 140 and len(lengths) == pytest.approx(len(prose) / 100, abs=2)
+    assert max(lengths) <= 320 and len(lengths) == pytest.approx(len(prose) / 200, abs=2)
 
 
 def test_proof_needs_every_crossing_piece(model):
