@@ -13,6 +13,7 @@ from adsight.llm import (
     license_scan,
     line_chunks,
     simhash_dedup,
+    token_alignment,
     token_counts,
     token_packing,
     warc_index,
@@ -152,3 +153,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over 4096 tokens."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers over every document."""
+    return token_alignment.align(table(spark, sf_dir, "documents"))
