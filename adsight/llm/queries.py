@@ -9,6 +9,7 @@ from adsight.llm import (
     best_fit,
     decontaminate,
     hnsw,
+    importance_resampling,
     language_mixture,
     license_scan,
     line_chunks,
@@ -159,3 +160,10 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between two tokenizers over every document."""
     return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and draw of every document, towards the benchmark texts."""
+    return importance_resampling.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
