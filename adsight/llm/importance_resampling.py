@@ -24,7 +24,7 @@ FREE = -1
 
 
 class InternTable:
-    """Open-addressed table of byte strings: slots of key, place of the bytes, bucket and count.
+    """Open-addressed table of byte strings: slots of key, first owner, bucket and count.
 
     A string's key is its XXH64; a slot belongs to it only if the bytes are equal too, otherwise
     the next slot is tried. All strings of a call are placed together, round by round.
@@ -33,7 +33,8 @@ class InternTable:
     def __init__(self, raw: np.ndarray, most: int):
         self.size = 1 << max(4, (2 * most - 1).bit_length())
         self.keys = np.zeros(self.size, np.uint64)
-        self.starts = np.full(self.size, FREE, np.int64)
+        self.owners = np.full(self.size, FREE, np.int64)
+        self.starts = np.zeros(self.size, np.int64)
         self.lengths = np.zeros(self.size, np.int64)
         self.buckets = np.zeros(self.size, np.int64)
         self.counts = np.zeros(self.size, np.int64)
@@ -61,14 +62,14 @@ class InternTable:
         open_ = np.arange(len(keys))
         while len(open_):
             at = slots[open_]
-            free = self.starts[at] == FREE
             # Of several strings that want a free slot the last one gets it; all then compare.
-            claim, own = at[free], open_[free]
-            self.starts[claim] = starts[own]
+            claim, own = (x[self.owners[at] == FREE] for x in (at, open_))
+            self.owners[claim] = own
+            own = self.owners[claim]
+            self.starts[claim], self.lengths[claim] = starts[own], lengths[own]
             self.keys[claim] = keys[own]
-            self.lengths[claim] = lengths[own]
             match = (self.keys[at] == keys[open_]) & (self.lengths[at] == lengths[open_])
-            some = np.flatnonzero(match & (self.starts[at] != starts[open_]))
+            some = np.flatnonzero(match & (self.owners[at] != open_))
             match[some] = self.equal(starts[open_[some]], self.starts[at[some]],
                                      lengths[open_[some]])
             open_ = open_[~match]
@@ -97,16 +98,14 @@ class Features:
             owners.append(text[first])
         start, stop = np.concatenate(starts), np.concatenate(stops)
         self.owners = np.concatenate(owners)
-        digest = xxhash.xxh64_intdigest
-        keys = np.fromiter((digest(raw[i:j]) for i, j in zip(start.tolist(), stop.tolist())),
-                           np.uint64, len(start))
+        pieces = list(map(raw.__getitem__, map(slice, start.tolist(), stop.tolist())))
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
         self.table = InternTable(np.frombuffer(raw, np.uint8), len(start))
         self.slots = self.table.intern(keys, start, stop - start)
         used = np.flatnonzero(self.table.counts)
-        first, size = self.table.starts[used].tolist(), self.table.lengths[used].tolist()
-        crc = zlib.crc32
+        owners = map(pieces.__getitem__, self.table.owners[used].tolist())
         self.table.buckets[used] = np.fromiter(
-            (crc(raw[i:i + n]) for i, n in zip(first, size)), np.int64, len(used)) % BUCKETS
+            map(zlib.crc32, owners), np.int64, len(used)) % BUCKETS
         self.used = used
 
     def bucket_counts(self) -> np.ndarray:
