@@ -182,6 +182,128 @@ def apply_decisions(
     }).drop("decision", "decision_reason")
 
 
+def fold_decisions(events: DataFrame, days: int = C.DEFAULT_DURATION_DAYS) -> DataFrame:
+    """Every step of an ordered log of decisions, with the experiment it met and what came of it.
+
+    ``events``: (id, opportunity_id, created_on, kind, reason), kind one of draft, approve, reject,
+    dismiss; ordered by day and id, both unique together for an opportunity. An opportunity has at
+    most one live experiment. A draft is made when none is live; only a draft is approved or
+    rejected; an approved one runs and is complete on the first day of its end or later, before
+    that day's decisions; dismissing always counts. Adds accepted, experiment_id (the id of the
+    event that drafted it; also where a draft asked again meets the live one, or a decision comes
+    too late), status (of the experiment after the step), started_on and ends_on.
+
+    Inside a day, whether a draft is open follows from the last draft or rejection, so a day needs
+    only three facts for each state it can begin in: the approval that would count, and how it
+    ends. The fold runs over these day rows, of which an opportunity has no more than the log has
+    days; the events themselves are only sorted by (opportunity, day).
+    """
+    key, day = "opportunity_id", "created_on"
+    inside = Window.partitionBy(key, day).orderBy("id")
+    sets = F.when(F.col("kind") == "draft", True).when(F.col("kind") == "reject", False)
+    before = F.last(sets, ignorenulls=True).over(inside.rowsBetween(
+        Window.unboundedPreceding, -1))
+    told = events.withColumn("open_before", before)
+    asks = F.col("kind") == "approve"
+    daily = told.groupBy(key, day).agg(
+        F.min(F.when(asks & F.coalesce("open_before", F.lit(False)), F.col("id"))).alias(
+            "if_none"),
+        F.min(F.when(asks & F.coalesce("open_before", F.lit(True)), F.col("id"))).alias(
+            "if_draft"),
+        F.max_by(sets, F.when(sets.isNotNull(), F.col("id"))).alias("leaves"))
+    id_kind = events.schema["id"].dataType.simpleString()
+    fold = f"""aggregate(array_sort(collect_list(struct({day} as day, if_none, if_draft, leaves))),
+        named_struct('open', false, 'ends', cast(null as date),
+            'runs', cast(array() as array<struct<day:date,approval:{id_kind}>>)),
+        (a, d) -> if(coalesce(a.ends > d.day, false), a, named_struct(
+            'open', if(if(a.open, d.if_draft, d.if_none) is null, coalesce(d.leaves, a.open), false),
+            'ends', if(if(a.open, d.if_draft, d.if_none) is null, a.ends, date_add(d.day, {days})),
+            'runs', if(if(a.open, d.if_draft, d.if_none) is null, a.runs, concat(a.runs, array(
+                struct(d.day as day, if(a.open, d.if_draft, d.if_none) as approval)))))))"""
+    runs = daily.groupBy(key).agg(F.expr(fold).alias("fold")).select(
+        key, F.inline("fold.runs")).select(key, F.col("day").alias(day), "approval")
+    # What a day begins with: the run that goes on, or else a draft left by the days since it ended.
+    over = Window.partitionBy(key).orderBy(day)
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    begun = daily.join(runs, [key, day], "left").withColumn(
+        "run", F.when(F.col("approval").isNotNull(), F.struct(F.col(day).alias("day"), "approval")))
+    begun = begun.withColumn("last_run", F.last("run", ignorenulls=True).over(earlier)).withColumn(
+        "free_from", F.date_add("last_run.day", days))
+    busy = F.coalesce(F.col("free_from") > F.col(day), F.lit(False))
+    left = F.when(~busy & F.col("approval").isNull() & F.col("leaves").isNotNull(), F.struct(
+        F.col(day).alias("day"), F.col("leaves").alias("open")))
+    begun = begun.withColumns({"busy": busy, "left": left}).withColumn(
+        "last_left", F.last("left", ignorenulls=True).over(earlier))
+    stale = F.col("free_from").isNotNull() & (F.col("last_left.day") < F.col("free_from"))
+    begun = begun.select(
+        key, day, "busy", "last_run", "approval",
+        F.coalesce(F.col("last_left.open") & ~stale, F.lit(False)).alias("begins_open"))
+    steps = told.join(begun, [key, day])
+    done = F.coalesce(F.col("id") > F.col("approval"), F.lit(False))
+    free = ~F.col("busy") & ~done
+    open_ = F.coalesce("open_before", "begins_open")
+    kind = F.col("kind")
+    steps = steps.withColumns({
+        "running": F.col("busy") | done,
+        "accepted": (kind == "dismiss") | (free & F.when(kind == "draft", ~open_).otherwise(open_))})
+    # The draft a step meets: of its day, or the last one of the days before.
+    drafted = F.when(F.col("accepted") & (kind == "draft"), F.col("id"))
+    steps = steps.withColumn("of_day", F.last(drafted, ignorenulls=True).over(
+        inside.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = steps.groupBy(key, day).agg(F.max("of_day").alias("last_of_day")).withColumn(
+        "carried", F.last("last_of_day", ignorenulls=True).over(earlier)).drop("last_of_day")
+    steps = steps.join(carried, [key, day])
+    live = F.col("running") | (free & (open_ | (kind == "draft")))
+    started = F.when(F.col("busy"), F.col("last_run.day")).when(
+        done | (F.col("approval") == F.col("id")), F.col(day))
+    met = (kind != "dismiss") & live
+    return steps.select(
+        "id", key, day, "kind", "reason", "accepted",
+        F.when(met, F.coalesce("of_day", "carried")).alias("experiment_id"),
+        F.when(met, F.when(started.isNotNull(), "running").when(
+            F.col("accepted") & (kind == "reject"), "rejected").otherwise("draft")).alias("status"),
+        F.when(met, started).alias("started_on"),
+        F.when(met, F.date_add(started, days)).alias("ends_on"))
+
+
+def experiments_after(steps: DataFrame, as_of: dt.date) -> DataFrame:
+    """The experiments that a folded log leaves on a day; due ones are complete."""
+    made = steps.filter("accepted and kind <> 'dismiss'").groupBy(
+        F.col("experiment_id").alias("id"), "opportunity_id").agg(
+        *(F.max_by(c, F.struct("created_on", "id")).alias(c) for c in ("status", "reason")),
+        F.min("created_on").alias("drafted_on"), F.max("started_on").alias("started_on"),
+        F.max("ends_on").alias("ends_on"))
+    over = (F.col("status") == "running") & (F.col("ends_on") <= F.lit(as_of))
+    return made.withColumn("status", F.when(over, "completed").otherwise(F.col("status")))
+
+
+def decision_log(steps: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """A row for every decision that counted, with the impact at stake; drafts are no decisions."""
+    stakes = opportunities.select(F.col("id").alias("opportunity_id"), "impact")
+    return steps.filter("accepted and kind <> 'draft'").join(stakes, "opportunity_id").select(
+        "id", "kind", "opportunity_id", F.when(F.col("kind") != "dismiss", F.col(
+            "experiment_id")).alias("experiment_id"), "reason", "impact", "created_on")
+
+
+def opportunity_states(steps: DataFrame, as_of: dt.date) -> DataFrame:
+    """What the log makes of each opportunity: its last approval, completion or dismissal decides.
+
+    ``measured``: a change is complete and its verdict (:func:`evaluate`) closes or reopens it.
+    """
+    counted = steps.filter("accepted and kind in ('approve', 'dismiss')")
+    last = counted.groupBy("opportunity_id").agg(F.max_by(
+        F.struct("kind", "reason", "ends_on", "created_on"), F.struct("created_on", "id")).alias("d"),
+        F.max("ends_on").alias("ends_on"))
+    # A change that was running when the opportunity was set aside still completes after it.
+    ended = F.coalesce(F.col("ends_on") <= F.lit(as_of), F.lit(False))
+    later = ended & F.coalesce(F.col("ends_on") > F.col("d.created_on"), F.lit(False))
+    dismissed = (F.col("d.kind") == "dismiss") & ~later
+    return last.select(
+        "opportunity_id", F.when(dismissed, "dismissed").when(ended, "measured").otherwise(
+            "experimenting").alias("status"),
+        F.when(dismissed, F.col("d.reason")).alias("dismissed_reason"))
+
+
 def draft_all(plans: DataFrame, experiments: DataFrame) -> DataFrame:
     """New drafts only for opportunities without a draft or running experiment."""
     live = experiments.filter(F.col("status").isin("draft", "running")).select("opportunity_id")

@@ -17,6 +17,7 @@ from adsight.operators import recommend as R
 from adsight.plans import sweep
 from adsight.plans.detect_queries import JULY, facts, grain_of
 from adsight.plans.queries import query
+from adsight.plans.stages import staged
 from adsight.sources import testtables as T
 
 
@@ -244,7 +245,7 @@ def _(spark, sf):
     return E.evaluate(T.experiments(spark, sf), opportunities, *facts(spark, sf), T.AS_OF, again)
 
 
-@query("experiment_lifecycle")
+@query("apply_decisions")
 def _(spark, sf):
     batch = T.decisions(spark, sf).withColumn(
         "kind", F.when(F.col("id") % 3 == 0, "approve").otherwise("reject")).withColumn(
@@ -253,6 +254,30 @@ def _(spark, sf):
     return moved.select("id", "status", "started_on", "ends_on", "reason", "opportunity_status")
 
 
+def lifecycle(spark, sf):
+    return staged(E.fold_decisions(T.decision_requests(spark, sf)), "steps")
+
+
+@query("experiment_lifecycle")
+def _(spark, sf):
+    return lifecycle(spark, sf)
+
+
+@query("lifecycle_experiments")
+def _(spark, sf):
+    return E.experiments_after(lifecycle(spark, sf), T.AS_OF)
+
+
+@query("lifecycle_decisions")
+def _(spark, sf):
+    return E.decision_log(lifecycle(spark, sf), T.opportunities(spark, sf))
+
+
+@query("lifecycle_opportunities")
+def _(spark, sf):
+    return E.opportunity_states(lifecycle(spark, sf), T.AS_OF)
+
+
 @query("decision_chain")
 def _(spark, sf):
     return E.decision_chain(

@@ -196,6 +196,20 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def decision_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of drafts and decisions asked for, one per order line, on the supplier's opportunity.
+
+    Many come too early, too late or twice, also on one day; ids do not follow the days.
+    """
+    k = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")
+    return table(spark, sf, "lineitem").select(
+        k.alias("id"), F.col("l_suppkey").alias("opportunity_id"),
+        F.col("l_shipdate").cast("date").alias("created_on"),
+        pick(("draft", "approve", "draft", "reject", "approve", "draft", "dismiss"),
+             (F.col("l_orderkey") + F.col("l_linenumber") * 3) % 7).alias("kind"),
+        F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit("noted "), "l_returnflag")).alias("reason"))
+
+
 def settings_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One settings row per nation; some margins are out of range, some campaigns unknown."""
     k = F.col("n_nationkey")

@@ -237,7 +237,7 @@ SELECT id, opportunity_id, metric, before_value, after_value, sample_days, evalu
   AS opportunity_status FROM (
  SELECT *, {_VERDICT} AS verdict FROM (SELECT *, {_GAIN} AS gain FROM j))""").replace(
     "webdays AS (SELECT 1),\n", "")
-SQL["experiment_lifecycle"] = with_(("exp_rows", "dec_rows"), """
+SQL["apply_decisions"] = with_(("exp_rows", "dec_rows"), """
 SELECT e.id, CASE WHEN e.status = 'draft' THEN CASE WHEN e.id % 3 = 0 THEN 'running'
   ELSE 'rejected' END ELSE e.status END AS status,
  CASE WHEN e.status = 'draft' AND e.id % 3 = 0 THEN DATE '2001-07-20' ELSE e.started_on END
@@ -246,6 +246,67 @@ SELECT e.id, CASE WHEN e.status = 'draft' THEN CASE WHEN e.id % 3 = 0 THEN 'runn
  CASE WHEN e.status = 'draft' THEN d.reason END AS reason,
  CASE WHEN e.status = 'draft' AND e.id % 3 = 0 THEN 'experimenting' END AS opportunity_status
 FROM exp_rows e JOIN dec_rows d USING (id)""")
+# The whole log one step after the other: state before the step, then what the step makes of it.
+_STEPS = """
+WITH RECURSIVE asked AS MATERIALIZED (
+ SELECT *, row_number() OVER (PARTITION BY opportunity_id ORDER BY created_on, id) AS n FROM (
+ SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS id, l_suppkey AS opportunity_id,
+  CAST(l_shipdate AS DATE) AS created_on,
+  ['draft', 'approve', 'draft', 'reject', 'approve', 'draft', 'dismiss'][
+   (l_orderkey + l_linenumber * 3) % 7 + 1] AS kind,
+  CASE WHEN l_orderkey % 3 <> 0 THEN 'noted ' || l_returnflag END AS reason FROM lineitem)),
+walk AS (
+ SELECT DISTINCT opportunity_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id,
+  CAST(NULL AS DATE) AS created_on, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS reason,
+  'none' AS before, false AS accepted, 'none' AS state, CAST(NULL AS BIGINT) AS live,
+  CAST(NULL AS DATE) AS started_on FROM asked
+ UNION ALL
+ SELECT opportunity_id, n, id, created_on, kind, reason, before, accepted,
+  CASE WHEN NOT accepted OR kind = 'dismiss' THEN before
+   ELSE CASE kind WHEN 'draft' THEN 'draft' WHEN 'approve' THEN 'running' ELSE 'none' END END,
+  CASE WHEN accepted AND kind = 'draft' THEN id ELSE live END,
+  CASE WHEN accepted AND kind = 'approve' THEN created_on ELSE started_on END FROM (
+  SELECT *, CASE kind WHEN 'draft' THEN before = 'none' WHEN 'dismiss' THEN true
+    ELSE before = 'draft' END AS accepted FROM (
+   SELECT a.opportunity_id, a.n, a.id, a.created_on, a.kind, a.reason, w.live, w.started_on,
+    CASE WHEN w.state = 'running' AND w.started_on + 7 <= a.created_on THEN 'none'
+     ELSE w.state END AS before
+   FROM walk w JOIN asked a ON a.opportunity_id = w.opportunity_id AND a.n = w.n + 1))),
+steps AS (
+ SELECT id, opportunity_id, created_on, kind, reason, accepted,
+  CASE WHEN met THEN live END AS experiment_id,
+  CASE WHEN met THEN CASE WHEN accepted AND kind = 'reject' THEN 'rejected' ELSE state END END
+   AS status,
+  CASE WHEN met AND state = 'running' THEN started_on END AS started_on,
+  CASE WHEN met AND state = 'running' THEN started_on + 7 END AS ends_on FROM (
+  SELECT *, kind <> 'dismiss' AND (before <> 'none' OR accepted) AS met FROM walk WHERE n > 0))
+"""
+SQL["experiment_lifecycle"] = _STEPS + "SELECT * FROM steps"
+SQL["lifecycle_experiments"] = _STEPS + """
+SELECT experiment_id AS id, opportunity_id,
+ CASE WHEN last.status = 'running' AND last.ends_on <= DATE '2001-07-31' THEN 'completed'
+  ELSE last.status END AS status, last.reason AS reason, drafted_on, last.started_on AS started_on,
+ last.ends_on AS ends_on FROM (
+ SELECT experiment_id, opportunity_id, MIN(created_on) AS drafted_on,
+  arg_max({'status': status, 'reason': reason, 'started_on': started_on, 'ends_on': ends_on},
+   CASE kind WHEN 'draft' THEN 0 ELSE 1 END) AS last
+ FROM steps WHERE accepted AND kind <> 'dismiss' GROUP BY 1, 2)"""
+SQL["lifecycle_decisions"] = _STEPS + """
+SELECT s.id, s.kind, s.opportunity_id, CASE WHEN s.kind <> 'dismiss' THEN s.experiment_id END
+ AS experiment_id, s.reason, CAST(abs(CAST(c.c_acctbal AS DECIMAL(14,2))) AS DOUBLE) * 20 AS impact,
+ s.created_on FROM steps s JOIN customer c ON c.c_custkey = s.opportunity_id
+WHERE s.accepted AND s.kind <> 'draft'"""
+# Everything that sets an opportunity's status, in order; a change completes before its day's steps.
+SQL["lifecycle_opportunities"] = _STEPS + """
+, moves AS (
+ SELECT opportunity_id, created_on AS d, 1 AS late, id,
+  CASE kind WHEN 'dismiss' THEN 'dismissed' ELSE 'experimenting' END AS status, reason
+ FROM steps WHERE accepted AND kind IN ('approve', 'dismiss')
+ UNION ALL SELECT opportunity_id, ends_on, 0, id, 'measured', NULL FROM steps
+ WHERE accepted AND kind = 'approve' AND ends_on <= DATE '2001-07-31')
+SELECT opportunity_id, status, CASE WHEN status = 'dismissed' THEN reason END AS dismissed_reason
+FROM (SELECT *, row_number() OVER (PARTITION BY opportunity_id ORDER BY d DESC, late DESC, id DESC)
+ AS r FROM moves) WHERE r = 1"""
 SQL["decision_chain"] = with_(("exp_rows", "dec_rows", "opp_rows"), """
 SELECT d.id, d.kind, d.opportunity_id, d.experiment_id, d.reason, d.created_on, o.entity_name,
  o.primary_metric, e.action, e.verdict FROM dec_rows d JOIN opp_rows o ON o.id = d.opportunity_id
