@@ -19,8 +19,9 @@ from adsight.plans.stages import staged
 
 FIRST = public_tokenizers.path("byte_bpe_50k.json")     # tokenizer A
 SECOND = public_tokenizers.path("piece_bpe_32k.model")  # tokenizer B
-BLOCK_BYTES = 4 << 20   # text that is aligned together
-UNITS = 200_000         # units of text whose alignment a task remembers
+BLOCK_BYTES = 2 << 20   # text that is aligned together
+UNITS = 150_000         # units of text whose alignment a task remembers
+RUN_BYTES = 16_384      # units that are encoded as one text
 HOT = 1 << 18           # id pairs at most whose counts are sent to every task
 FLUSH = 1 << 20         # id pairs that a counting task adds up before it passes them on
 
@@ -86,7 +87,7 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Tokenizers:
-    """Both tokenizers: ids of many short texts, and the bytes of every id."""
+    """Both tokenizers: ids of a text, and the bytes of every id."""
 
     def __init__(self, first: str, second: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -98,19 +99,33 @@ class Tokenizers:
         self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
         letters = _byte_letters()
         names = {i: name for name, i in self.first.get_vocab(with_added_tokens=True).items()}
-        self.first_bytes = [
+        first_bytes = [
             bytes(letters[c] for c in names[i]) if all(c in letters for c in names.get(i, "\n"))
             else names.get(i, "").encode() for i in range(max(names) + 1)]
-        self.second_bytes = []
+        second_bytes = []
         for i in range(self.second.vocab_size()):
             name = self.second.id_to_piece(i)
-            self.second_bytes.append(bytes([int(name[3:5], 16)]) if self.second.is_byte(i)
-                                     else name.replace("▁", " ").encode())
+            second_bytes.append(bytes([int(name[3:5], 16)]) if self.second.is_byte(i)
+                                else name.replace("▁", " ").encode())
+        if any(b" " in b.lstrip(b" ") for b in second_bytes):
+            raise ValueError("the second vocabulary has pieces across blanks")
+        self.bytes = first_bytes, second_bytes
+        self.sizes = tuple(np.array([len(b) for b in own], np.int64) for own in self.bytes)
+        # Every id as text with what may stand behind it.
+        self.shown = [f"{i}{mark}".encode() for mark in ",|;" for i in range(
+            max(len(first_bytes), len(second_bytes)))]
+
+    def encode(self, run: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a text that begins with a blank; None if either loses a byte of it.
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of texts that begin with a blank; the second library adds that blank itself."""
-        return ([e.ids for e in self.first.encode_batch_fast(units, add_special_tokens=False)],
-                self.second.encode([unit[1:] for unit in units], num_threads=1))
+        The second library adds that blank itself.
+        """
+        text = run.decode()
+        both = (self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids,
+                self.second.encode(text[1:]))
+        if any(b"".join(map(own.__getitem__, ids)) != run for own, ids in zip(self.bytes, both)):
+            return None
+        return tuple(np.array(ids, np.int64) for ids in both)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -131,9 +146,6 @@ class Lexicon:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        inner = [b for b in tokenizers.second_bytes if b" " in b.lstrip(b" ")]
-        if inner:
-            raise ValueError("the second vocabulary has pieces across blanks")
         self.clear()
 
     def clear(self) -> None:
@@ -155,21 +167,41 @@ class Lexicon:
             self._add(list(known)[before:])
         return np.array(found, np.int64)
 
+    def _encode(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Ids of all units in sequence, which units are whole, and where their bytes end.
+
+        Units that begin and end in visible characters are encoded in runs, as they would be cut
+        from there again. A unit whose bytes differ spoils its text and gets no ids.
+        """
+        runs, at, whole = [], 0, np.ones(len(units), bool)
+        sizes = np.array([len(unit) for unit in units], np.int64)
+        clean = [len(u) > 1 and 32 < u[1] < 127 and 32 < u[-1] < 127 for u in units]
+        while at < len(units):
+            end, held = at + 1, len(units[at])
+            while clean[end - 1] and end < len(units) and clean[end] and held < RUN_BYTES:
+                held += len(units[end])
+                end += 1
+            found = self.tokenizers.encode(b"".join(units[at:end]))
+            if found is None and end > at + 1:
+                for k in range(at, end):
+                    found = self.tokenizers.encode(units[k])
+                    whole[k] = found is not None
+                    runs += [found] if whole[k] else []
+            else:
+                whole[at:end] = found is not None
+                runs += [found] if whole[at] else []
+            at = end
+        sizes[~whole] = 0
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(run[k] for run in runs)])
+                for k in (0, 1))
+        return a, b, whole, np.cumsum(sizes)
+
     def _add(self, units: list[bytes]) -> None:
-        tokenizers = self.tokenizers
-        first, second = tokenizers.encode([unit.decode() for unit in units])
-        joined = [b"".join(map(tokenizers.first_bytes.__getitem__, ids)) for ids in first]
-        other = [b"".join(map(tokenizers.second_bytes.__getitem__, ids)) for ids in second]
-        whole = np.array([a == b == unit for a, b, unit in zip(joined, other, units)])
-        # A unit whose bytes differ spoils its text, so it is not aligned.
-        first = [ids if fit else [] for ids, fit in zip(first, whole)]
-        second = [ids if fit else [] for ids, fit in zip(second, whole)]
-        a_starts, b_starts = (_ends(np.array([len(i) for i in x], np.int64))
-                              for x in (first, second))
-        a, b = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (first, second))
-        a_sizes, b_sizes = (np.array([len(names[i]) for i in ids], np.int64) for names, ids in (
-            (tokenizers.first_bytes, a.tolist()), (tokenizers.second_bytes, b.tolist())))
+        a, b, whole, unit_ends = self._encode(units)
+        a_sizes, b_sizes = self.tokenizers.sizes[0][a], self.tokenizers.sizes[1][b]
         a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+        a_starts, b_starts = (np.concatenate((np.zeros(1, np.int64), np.searchsorted(
+            ends, unit_ends, side="right"))) for ends in (a_ends, b_ends))
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
         links = Csr.incidence(a_sizes).times(Csr.incidence(b_sizes).transpose())
@@ -195,7 +227,22 @@ class Lexicon:
             self.starts[name] = np.concatenate((held, starts[1:] + held[-1]))
         self.groups = np.concatenate((self.groups, np.diff(before)))
         self.whole = np.concatenate((self.whole, whole))
-        self.digests += _shown(a, b, a_group, b_group, before)
+        self.digests += self._shown(a, b, a_group, b_group, a_starts, b_starts)
+
+    def _shown(self, a, b, a_group, b_group, a_starts, b_starts) -> list[bytes]:
+        """Per unit the groups as ``a1,a2|b1;a3|b2,b3;``."""
+        place = np.concatenate((
+            np.arange(len(a)) + np.searchsorted(b_group, a_group),
+            np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")))
+        # The last id of a group is followed by | (first tokenizer) or ; (second).
+        marks = [(np.diff(group, append=-1) != 0) * mark
+                 for group, mark in ((a_group, 1), (b_group, 2))]
+        wide = len(self.tokenizers.shown) // 3
+        code = np.zeros(len(place), np.int64)
+        code[place] = np.concatenate((a + wide * marks[0], b + wide * marks[1]))
+        texts = list(map(self.tokenizers.shown.__getitem__, code.tolist()))
+        ends = (a_starts + b_starts).tolist()
+        return [b"".join(texts[i:j]) for i, j in zip(ends, ends[1:])]
 
     def take(self, name: str, units: np.ndarray) -> np.ndarray:
         """Values of one kind over a sequence of units."""
@@ -207,18 +254,6 @@ class Lexicon:
         return self.starts[name][units + 1] - self.starts[name][units]
 
 
-def _shown(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray,
-           before: np.ndarray) -> list[bytes]:
-    """Per unit the groups as ``a1,a2|b1;a3|b2,b3``."""
-    count = int(before[-1])
-    first, second = [""] * count, [""] * count
-    for out, ids, groups in ((first, a, a_group), (second, b, b_group)):
-        for i, g in zip(ids.tolist(), groups.tolist()):
-            out[g] += f",{i}" if out[g] else str(i)
-    pairs = [f"{x}|{y}" for x, y in zip(first, second)]
-    return [";".join(pairs[i:j]).encode() for i, j in zip(before[:-1], before[1:])]
-
-
 class Aligned:
     """A block of texts as units, without the texts that have no tokens."""
 
@@ -247,7 +282,7 @@ class Aligned:
         """SHA-256 of every text's groups; empty without tokens."""
         shown = list(map(self.lexicon.digests.__getitem__, self.units.tolist()))
         cuts = self.starts.tolist()
-        return [hashlib.sha256(b";".join(shown[i:j])).hexdigest() if j > i else ""
+        return [hashlib.sha256(b"".join(shown[i:j])[:-1]).hexdigest() if j > i else ""
                 for i, j in zip(cuts, cuts[1:])]
 
     def pairs(self) -> np.ndarray:
