@@ -78,8 +78,62 @@ class InternTable:
         return slots
 
 
+# The primes of XXH64 and the reflected polynomial of CRC-32.
+PRIMES = [np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
+    0x27D4EB2F165667C5)]
+POLYNOMIAL = 0xEDB88320
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def xxh64(lanes: list[np.ndarray]) -> np.ndarray:
+    """XXH64 of up to three 64-bit numbers, as little-endian bytes, for every row."""
+    one, two, three, four, five = PRIMES
+    h = np.full(len(lanes[0]), five + np.uint64(8 * len(lanes)), np.uint64)
+    for lane in lanes:
+        h ^= _turned(lane * two, 31) * one
+        h = _turned(h, 27) * one + four
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return h ^ h >> np.uint64(32)
+
+
+def _append_tables(most: int) -> np.ndarray:
+    """[n, k, byte]: what byte k of a checksum becomes when n more bytes follow."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, step >> 1 ^ np.uint32(POLYNOMIAL), step >> 1).astype(np.uint32)
+    tables = np.empty((most + 1, 4, 256), np.uint32)
+    for k in range(4):
+        tables[0, k] = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
+    for n in range(most):
+        tables[n + 1] = tables[n] >> np.uint32(8) ^ step[tables[n] & np.uint32(255)]
+    return tables
+
+
+APPENDED = _append_tables(128)
+
+
+def joined_crc(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of two strings in sequence from theirs; ``sizes``: bytes of the second ones."""
+    out = first
+    while (sizes > 0).any():
+        step = np.minimum(sizes, len(APPENDED) - 1)
+        out = np.bitwise_xor.reduce([
+            APPENDED[step, k, out >> np.uint32(8 * k) & np.uint32(255)] for k in range(4)])
+        sizes = sizes - step
+    return out ^ second
+
+
 class Features:
-    """Word n-grams of a batch of texts: a slot for every occurrence, a bucket for every slot."""
+    """Word n-grams of a batch of texts: a slot for every occurrence, a bucket for every slot.
+
+    Words are hashed by the library. The key of an n-gram is the XXH64 of its words' hashes, and
+    its CRC-32 is joined from theirs, both for all n-grams at once.
+    """
 
     def __init__(self, texts: list[bytes]):
         words = [WORDS.findall(text.lower()) for text in texts]
@@ -87,26 +141,33 @@ class Features:
         flat = [w for own in words for w in own]
         raw = b" ".join(flat)
         lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat))
+        crcs = np.fromiter(map(zlib.crc32, flat), np.uint32, len(flat))
+        blank = np.full(len(flat), zlib.crc32(b" "), np.uint32)
+        after_blank = joined_crc(blank, crcs, lengths)
         ends = np.cumsum(lengths + 1) - 1
         text = np.repeat(np.arange(len(texts)), self.words)
-        starts, stops, owners = [], [], []
+        starts, stops, owners, keys, sums = [], [], [], [], []
         for n in range(1, LONGEST + 1):
             first = np.arange(max(len(flat) - n + 1, 0))
             first = first[text[first] == text[first + n - 1]]
+            last = first + n - 1
             starts.append((ends - lengths)[first])
-            stops.append(ends[first + n - 1])
+            stops.append(ends[last])
             owners.append(text[first])
+            keys.append(xxh64([hashes[first + k] for k in range(n)]))
+            sums.append(crcs if n == 1 else joined_crc(
+                whole[first], after_blank[last], lengths[last] + 1))
+            # Checksums of the n-grams by their first word, for the next longer ones.
+            whole = np.zeros(len(flat), np.uint32)
+            whole[first] = sums[-1]
         start, stop = np.concatenate(starts), np.concatenate(stops)
         self.owners = np.concatenate(owners)
-        pieces = list(map(raw.__getitem__, map(slice, start.tolist(), stop.tolist())))
-        keys = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
         self.table = InternTable(np.frombuffer(raw, np.uint8), len(start))
-        self.slots = self.table.intern(keys, start, stop - start)
-        used = np.flatnonzero(self.table.counts)
-        owners = map(pieces.__getitem__, self.table.owners[used].tolist())
-        self.table.buckets[used] = np.fromiter(
-            map(zlib.crc32, owners), np.int64, len(used)) % BUCKETS
-        self.used = used
+        self.slots = self.table.intern(np.concatenate(keys), start, stop - start)
+        self.used = used = np.flatnonzero(self.table.counts)
+        self.table.buckets[used] = np.concatenate(sums)[self.table.owners[used]] % np.uint32(
+            BUCKETS)
 
     def bucket_counts(self) -> np.ndarray:
         """Occurrences in every bucket."""

@@ -102,3 +102,15 @@ def test_equal_keys_with_other_bytes_get_their_own_slots():
         assert len(set(number.values())) == len(number)
         want = Counter(strings)
         assert all(table.counts[slot] == want[s] for s, slot in number.items())
+
+
+def test_hashes_equal_the_libraries():
+    pick = np.random.default_rng(1)
+    lanes = [pick.integers(0, 1 << 63, 50, np.uint64) * np.uint64(2) for _ in range(3)]
+    for n in (1, 2, 3):
+        want = [xxhash.xxh64_intdigest(np.array(row, "<u8").tobytes()) for row in zip(*lanes[:n])]
+        assert ir.xxh64(lanes[:n]).tolist() == want
+    parts = [(pick.bytes(a), pick.bytes(b)) for a in (1, 7, 300) for b in (1, 2, 127, 128, 129, 900)]
+    crc = lambda k: np.array([zlib.crc32(p[k]) for p in parts], np.uint32)
+    got = ir.joined_crc(crc(0), crc(1), np.array([len(b) for _, b in parts]))
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in parts]
