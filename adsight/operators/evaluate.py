@@ -125,29 +125,40 @@ def _buckets(start: str, end: str) -> Column:
 def match_episodes(events: DataFrame, episodes: DataFrame) -> DataFrame:
     """Pairs of injected events and the episodes that are about them.
 
-    Events with entities meet episodes on (entity, kind); account-wide ones on (kind, four-week
-    bucket), keeping a pair only in the bucket where both first overlap.
+    Events with entities meet episodes on (entity, kind). Account-wide ones meet them on kind,
+    four-week bucket and a shared detector (or metric, if the event names no detector), so only
+    pairs that agree on one meet; a pair counts once, in the bucket where both first overlap and at
+    the first name they share.
     """
     e = events.filter("injected").select(
         F.col("id").alias("event_id"), F.col("kind").alias("event_kind"),
         F.col("start").alias("event_start"), F.col("end").alias("event_end"), "entities",
         F.col("metrics").alias("event_metrics"), F.col("detectors").alias("event_detectors"),
         F.col("kind_expected").alias("kind"))
-    about = F.when(
-        F.size("event_detectors") > 0, F.arrays_overlap("detectors", "event_detectors")
-    ).otherwise(F.arrays_overlap("metrics", "event_metrics"))
-    fits = P.overlaps("window_start", "window_end", "event_start", "event_end") & about
+    by_detector = F.size("event_detectors") > 0
+    about = F.when(by_detector, F.arrays_overlap("detectors", "event_detectors")).otherwise(
+        F.arrays_overlap("metrics", "event_metrics"))
+    meets = P.overlaps("window_start", "window_end", "event_start", "event_end")
     narrow = e.filter(F.size("entities") > 0).withColumn("entity", F.explode("entities")).join(
-        episodes, ["entity", "kind"]).filter(fits)
-    wide = e.filter(F.size("entities") == 0).withColumn(
-        "bucket", F.explode(_buckets("event_start", "event_end"))).join(
-        episodes.withColumn("bucket", F.explode(_buckets("window_start", "window_end"))),
-        ["kind", "bucket"]).filter(fits)
+        episodes, ["entity", "kind"]).filter(meets & about)
+    named = lambda mark, names: F.transform(
+        names, lambda n: F.concat(F.lit(mark), n))
+    asked = F.array_distinct(F.when(by_detector, named("d:", "event_detectors")).otherwise(
+        named("m:", "event_metrics")))
+    shown = F.concat(named("d:", "detectors"), named("m:", "metrics"))
+    wide = e.filter(F.size("entities") == 0).withColumn("asked", asked).withColumns({
+        "bucket": F.explode(_buckets("event_start", "event_end"))}).withColumn(
+        "name", F.explode("asked"))
+    offered = episodes.withColumn("shown", shown).withColumn(
+        "bucket", F.explode(_buckets("window_start", "window_end"))).withColumn(
+        "name", F.explode(F.array_distinct("shown")))
     meeting = F.floor(F.unix_date(F.greatest("event_start", "window_start")) / BUCKET_DAYS)
+    once = (F.col("bucket") == meeting) & (
+        F.col("name") == F.element_at(F.array_intersect("asked", "shown"), 1))
     columns = ["event_id", "event_kind", "event_start", "event_end", "key", "detected_on",
                "closed_on", "kind", "peak_score"]
-    return narrow.select(*columns).unionByName(
-        wide.filter(F.col("bucket") == meeting).select(*columns))
+    return narrow.select(*columns).unionByName(wide.join(
+        offered, ["kind", "bucket", "name"]).filter(meets & once).select(*columns))
 
 
 def in_range(events: DataFrame, start: dt.date, end: dt.date) -> DataFrame:

@@ -11,6 +11,7 @@ from adsight.functions import catalogue as C
 from adsight.functions import kpi as K
 from adsight.functions import wording as WD
 from adsight.operators import metrics as M
+from adsight.operators import explain as X
 from adsight.operators import pacing as PC
 from adsight.operators.recommend import band
 
@@ -77,6 +78,45 @@ def save_opportunities(stored: DataFrame, current: DataFrame) -> DataFrame:
         taken("score").alias("score"))
 
 
+def carry_status(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """What repeated runs make of every sighting: the stored state of all dates in one pass.
+
+    ``found``: (key, as_of, window_start, last_seen_date, score), a key at most once a run;
+    ``runs``: (as_of), one row per run, also those that found nothing. Adds first_seen_date (of the
+    session: a gap of over a window starts a new one), reopened (a run in between missed it) and
+    resolved_on (the next run, if that misses it; null while it is open). A window over one key has
+    no more rows than there are runs.
+    """
+    ordered = Window.orderBy("as_of")   # one row per run
+    dates = runs.select("as_of").distinct().select(
+        "as_of", F.lag("as_of").over(ordered).alias("run_before"),
+        F.lead("as_of").over(ordered).alias("run_after"))
+    one = Window.partitionBy("key").orderBy("as_of")
+    gone = F.datediff("window_start", F.lag("last_seen_date").over(one))
+    marked = found.join(F.broadcast(dates), "as_of").withColumns({
+        "seen_before": F.lag("as_of").over(one), "seen_after": F.lead("as_of").over(one),
+        "starts": F.coalesce(gone > C.WINDOW_DAYS, F.lit(True)).cast("int")})
+    session = marked.withColumn("session", F.sum("starts").over(one))
+    inside = Window.partitionBy("key", "session").orderBy("as_of")
+    return session.select(
+        "key", "as_of", F.min("window_start").over(inside).alias("first_seen_date"),
+        "last_seen_date", "score",
+        F.coalesce(F.col("seen_before") < F.col("run_before"), F.lit(False)).alias("reopened"),
+        F.when(~F.col("seen_after").eqNullSafe(F.col("run_after")), F.col("run_after")).alias(
+            "resolved_on"))
+
+
+def stored_at(carried: DataFrame, as_of: K.ColumnLike | dt.date) -> DataFrame:
+    """The stored table after the run of a date, from the carried sightings."""
+    day = F.lit(as_of) if isinstance(as_of, dt.date) else K.col(as_of)
+    last = carried.filter(F.col("as_of") <= day).groupBy("key").agg(F.max_by(
+        F.struct("first_seen_date", "last_seen_date", "score", "resolved_on"), "as_of").alias("s"))
+    over = F.coalesce(F.col("s.resolved_on") <= day, F.lit(False))
+    return last.select(
+        "key", F.when(over, "resolved").otherwise("open").alias("status"), "s.first_seen_date",
+        "s.last_seen_date", "s.score")
+
+
 def week_of(day: K.ColumnLike, last: dt.date) -> Column:
     """End of the seven-day week a day belongs to, weeks counted back from ``last``."""
     back = F.floor(F.datediff(F.lit(last), K.col(day)) / C.WINDOW_DAYS).cast("int")
@@ -95,8 +135,21 @@ def issue_win_totals(opportunities: DataFrame, last: dt.date) -> DataFrame:
         F.count_if(F.col("kind") == "win").alias("wins"))
 
 
-def report_history(reports: DataFrame, limit: int = 52) -> DataFrame:
-    return reports.orderBy(F.desc("week_end")).limit(limit)
+def report_history(reports: DataFrame, as_of: K.ColumnLike | dt.date, limit: int = 52) -> DataFrame:
+    """The newest stored reports and, in every row, the week a fresh report would cover.
+
+    ``covered``: that week has a report already, which a fresh one would replace.
+    """
+    day = F.lit(as_of) if isinstance(as_of, dt.date) else K.col(as_of)
+    newest = reports.orderBy(F.desc("week_end")).limit(limit)
+    everything = Window.partitionBy(F.lit(1))   # at most ``limit`` rows
+    return newest.withColumn("next_week_end", day).withColumn(
+        "covered", F.max(F.col("week_end") == day).over(everything))
+
+
+def report_of(reports: DataFrame, day: dt.date) -> DataFrame:
+    """The stored report of the week that holds a day."""
+    return reports.filter((F.col("week_start") <= F.lit(day)) & (F.col("week_end") >= F.lit(day)))
 
 
 # --- weekly payload ---------------------------------------------------------------------------
@@ -384,6 +437,143 @@ def opportunity_rows(investigated: DataFrame) -> DataFrame:
         F.to_json("recommendation").alias("recommendation"), "confidence", "priority")
 
 
+# --- stored rows read back -------------------------------------------------------------------
+def _json_types() -> dict[str, str]:
+    """Types of the JSON columns of a stored opportunity."""
+    measures = "struct<" + ", ".join(f"{m}: double" for m in C.ALL_MEASURES) + ">"
+    signal = (
+        "struct<id: string, detector: string, metric: string, current: double, baseline: double, "
+        f"change_pct: double, impact: double, score: double, measures: {measures}, "
+        f"baseline_measures: {measures}>")
+    drivers = ("array<struct<ord: int, driver: string, before: double, after: double, "
+               "change_pct: double, share_pct: double>>")
+    params = ", ".join(f"{name}: string" for name in (
+        "target_level", "target_key", "channel", "creative_id", "ad_set_id", "campaign_id",
+        "direction"))
+    return {
+        "signals": f"array<{signal}>",
+        "evidence": (f"struct<root: {signal}, drivers: {drivers}, cpc_drivers: {drivers}, "
+                     "trust: string, protected: boolean>"),
+        "diagnosis": ("struct<observation: string, hypotheses: array<struct<cause: string, "
+                      "statement: string, signal_ids: array<string>>>, alternatives: "
+                      "array<string>>"),
+        "recommendation": (
+            "struct<action: string, rationale: string, impact_low: double, impact_high: double, "
+            "confidence: double, risk: string, watch: string, stop_condition: string, "
+            f"params: struct<{params}>>"),
+    }
+
+
+def opportunity_detail(rows: DataFrame) -> DataFrame:
+    """Stored opportunities as the detail page has them: what happened, why, cause and action.
+
+    ``rows``: the stored form (:func:`opportunity_rows`). JSON columns are read back by their types;
+    the tree comes as an array of nodes from the root down, each with the good direction of its
+    metric. A missing verdict reads as ok, missing protection as none. Nothing is shuffled.
+    """
+    read = rows.withColumns({
+        name: F.from_json(name, kind) for name, kind in _json_types().items()})
+    flat = read.select(
+        "*", F.col("evidence.root").alias("root"), F.col("evidence.drivers").alias("drivers"),
+        F.col("evidence.cpc_drivers").alias("cpc_drivers"))
+    cause = F.try_element_at(F.col("diagnosis.hypotheses"), F.lit(1))["cause"]
+    labels = lambda c: K.lookup(C.CAUSE_LABELS, c)
+    better = {m: C.direction(m) for m in C.METRICS if C.direction(m) is not None}
+    tree = F.transform(X.tree_nodes(), lambda n: n.withField(
+        "higher_is_better", K.lookup(better, n["metric"])))
+    return flat.select(
+        "row_key", "key", "as_of", "kind", WD.title("entity_name", "primary_metric", "kind").alias(
+            "title"), "window_start", "window_end", "impact", "confidence", "priority",
+        band("priority").alias("band"), labels(cause).alias("cause_label"),
+        F.col("diagnosis.observation").alias("observation"),
+        F.when(F.col("root").isNotNull(), tree).alias("tree"),
+        F.transform("diagnosis.hypotheses", lambda h: h.withField(
+            "cause_label", labels(h["cause"]))).alias("hypotheses"),
+        F.coalesce("diagnosis.alternatives", F.array().cast("array<string>")).alias("alternatives"),
+        "recommendation", "signals", F.coalesce("evidence.trust", F.lit("ok")).alias("trust"),
+        F.coalesce("evidence.protected", F.lit(False)).alias("protected"))
+
+
+# --- numbers a text may quote ----------------------------------------------------------------
+def _value_numbers(metric: Column, *values: Column) -> Column:
+    """A value as it is and as a reader sees it (per cent)."""
+    return F.flatten(F.array(*[F.array(v, WD.as_shown(metric, v)) for v in values]))
+
+
+def _counts(*lists: Column) -> Column:
+    """0 to the longest of some lists, as doubles."""
+    most = F.greatest(*[F.coalesce(F.size(c), F.lit(0)) for c in (*lists, F.array())])
+    return F.transform(F.sequence(F.lit(0), most), lambda n: n.cast("double"))
+
+
+def _each(column: str, numbers) -> Column:
+    """Numbers of every element of a list column."""
+    return F.coalesce(F.flatten(F.transform(column, numbers)), F.array().cast("array<double>"))
+
+
+def _absolute(*parts: Column) -> Column:
+    doubles = F.concat(*[F.transform(p, lambda v: v.cast("double")) for p in parts])
+    return F.array_distinct(F.transform(F.array_compact(doubles), lambda v: F.abs(v)))
+
+
+def _date_numbers(end: str) -> Column:
+    return F.array(F.dayofmonth(end), F.month(end), F.year(end)).cast("array<double>")
+
+
+def report_numbers(payload: DataFrame) -> DataFrame:
+    """(week_end, value): every number the report of a week may quote.
+
+    Values and targets as they are and as shown, changes, pacing, impacts, confidence as a share
+    and in per cent, counts of the report's own rows from 0 up, the dates, and, as a reader takes
+    "16.4 L" for two numbers, everything scaled to lakhs and crores.
+    """
+    pacing = ("budget", "spent", "spent_pct", "remaining_budget", "month_elapsed_pct", "projected",
+              "daily_run_rate", "suggested_daily")
+    plain = _absolute(
+        F.array(F.lit(float(C.WINDOW_DAYS)), F.col("issue_cost"), F.col("win_upside"),
+                F.col("worked").cast("double"), F.col("judged").cast("double"),
+                F.col("running").cast("double"), F.dayofmonth("week_start").cast("double"),
+                F.month("week_start").cast("double")),
+        _date_numbers("week_end"),
+        _counts(*[F.col(c) for c in ("kpis", "opportunities", "decisions", "experiments")]),
+        _each("kpis", lambda k: F.concat(
+            _value_numbers(k["metric"], k["value"], k["previous"], k["target"]),
+            F.array(k["change_pct"]))),
+        _each("pacing", lambda p: F.array(*[p[c].cast("double") for c in pacing])),
+        _each("opportunities", lambda o: F.concat(
+            _value_numbers(o["metric"], o["current"], o["baseline"]),
+            F.array(o["impact"], o["change_pct"], o["confidence"], o["confidence"] * 100))),
+        _each("experiments", lambda e: F.concat(
+            _value_numbers(e["metric"], e["before_value"], e["after_value"]),
+            F.array(e["sample_days"].cast("double")))))
+    scaled = lambda by: F.transform(
+        F.filter("plain", lambda v: v >= by), lambda v: v / by)
+    return payload.withColumn("plain", plain).select("week_end", F.explode(
+        F.array_distinct(F.concat("plain", scaled(1e5), scaled(1e7)))).alias("value"))
+
+
+def evidence_numbers(detail: DataFrame) -> DataFrame:
+    """(row_key, value): every number a text about one opportunity may quote.
+
+    ``detail``: :func:`opportunity_detail`. Signals with both measure sets, every node of the tree,
+    counts of the signals from 0 up, the days and end of the window.
+    """
+    sets = [f"{name}.{m}" for name in ("measures", "baseline_measures") for m in C.ALL_MEASURES]
+
+    def of_signal(s: Column) -> Column:
+        measures = [s[a][b] for a, b in (c.split(".") for c in sets)]
+        return F.concat(_value_numbers(s["metric"], s["current"], s["baseline"]), F.array(
+            s["change_pct"], s["impact"], s["score"], *measures))
+
+    numbers = _absolute(
+        F.array(F.datediff("window_end", "window_start").cast("double") + 1, F.col("impact")),
+        _date_numbers("window_end"), _counts(F.col("signals")), _each("signals", of_signal),
+        _each("tree", lambda n: F.concat(
+            _value_numbers(n["metric"], n["before"], n["after"]),
+            F.array(n["change_pct"], n["share_pct"]))))
+    return detail.select("row_key", F.explode(numbers).alias("value"))
+
+
 def quotable_numbers(opportunities: DataFrame) -> DataFrame:
     """Every number a text about an opportunity may quote: values, shown values, dates, scales."""
     shown = lambda c: WD.as_shown("primary_metric", c)

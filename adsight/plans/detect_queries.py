@@ -13,10 +13,12 @@ from adsight.operators import detect as D
 from adsight.operators import group as G
 from adsight.operators import metrics as M
 from adsight.operators import pacing as PC
+from adsight.operators import report as R
 from adsight.operators import trust as TR
 from adsight.operators import windows as W
 from adsight.plans import sweep
 from adsight.plans.queries import query
+from adsight.plans.session import scratch
 from adsight.plans.stages import staged
 from adsight.sources import testtables as T
 
@@ -27,13 +29,19 @@ def facts(spark, sf):
     return T.ad_facts(spark, sf), T.web_facts(spark, sf), T.store_facts(spark, sf)
 
 
+def asked(spark, sf):
+    """First and last as-of date of the whole tables."""
+    return sweep.as_of_span(*facts(spark, sf))
+
+
 def grain_of(ads, start, end):
     return M.entity_daily(M.in_period(ads, start - dt.timedelta(days=W.REACH - 1), end))
 
 
-def top(spark, sf, start=JULY[0], end=JULY[1]):
+def top(spark, sf):
     ads, web, store = facts(spark, sf)
-    return D.top_windows(grain_of(ads, start, end), web, store, start, end)
+    dates = asked(spark, sf)
+    return D.top_windows(grain_of(ads, *dates), web, store, *dates)
 
 
 def shown(signals):
@@ -79,15 +87,9 @@ def _(spark, sf):
     return TR.conversions_vs_orders(ads, store)
 
 
-def july_tracking(spark, sf):
-    ads, _, store = facts(spark, sf)
-    return TR.tracking_checks(ads, store, *JULY, min_orders=T.thresholds().min_orders)
-
-
 def whole_tracking(spark, sf):
     ads, _, store = facts(spark, sf)
-    first = dt.date(1995, 2, 10)
-    return TR.tracking_checks(ads, store, first, T.AS_OF, min_orders=T.thresholds().min_orders)
+    return TR.tracking_checks(ads, store, *asked(spark, sf), min_orders=T.thresholds().min_orders)
 
 
 @query("tracking_check_all_dates")
@@ -162,9 +164,10 @@ def _(spark, sf):
 
 @query("densify_calendar")
 def _(spark, sf):
-    daily = M.web_daily(M.in_period(T.web_facts(spark, sf), *JULY)).select(
+    start, end = asked(spark, sf)
+    daily = M.web_daily(M.in_period(T.web_facts(spark, sf), start, end)).select(
         "source", "date", "sessions")
-    return M.densify_calendar(daily, ["source"], dt.date(2001, 6, 25), T.AS_OF)
+    return M.densify_calendar(daily, ["source"], start - dt.timedelta(days=6), end)
 
 
 def campaign_daily(spark, sf):
@@ -183,7 +186,7 @@ def _(spark, sf):
 @query("rolling_windows")
 def _(spark, sf):
     found = W.rolling_windows(
-        campaign_daily(spark, sf), ["campaign_id"], ("spend", "clicks"), *JULY)
+        campaign_daily(spark, sf), ["campaign_id"], ("spend", "clicks"), *asked(spark, sf))
     return found.select("campaign_id", "as_of", *[
         f"{w}_{m}" for w in ("cur", "base", *W.WEEKS) for m in ("spend", "clicks")])
 
@@ -210,9 +213,10 @@ def _(spark, sf):
 @query("detect_baseline_change")
 def _(spark, sf):
     ads, web, store = facts(spark, sf)
-    grain = grain_of(ads, *JULY)
+    dates = asked(spark, sf)
+    grain = grain_of(ads, *dates)
     return shown(D.baseline_change(
-        D.top_windows(grain, web, store, *JULY), D.deep_windows(grain, *JULY), T.thresholds()))
+        D.top_windows(grain, web, store, *dates), D.deep_windows(grain, *dates), T.thresholds()))
 
 
 @query("detect_account_change")
@@ -238,21 +242,21 @@ def _(spark, sf):
 
 @query("detect_segment_divergence")
 def _(spark, sf):
-    ads = T.ad_facts(spark, sf)
+    dates = asked(spark, sf)
     return shown(D.segment_divergence(
-        D.segment_windows(grain_of(ads, *JULY), *JULY), T.thresholds()))
+        D.segment_windows(grain_of(T.ad_facts(spark, sf), *dates), *dates), T.thresholds()))
 
 
 @query("detect_tracking_break")
 def _(spark, sf):
-    return shown(D.tracking_break(july_tracking(spark, sf), top(spark, sf)))
+    return shown(D.tracking_break(whole_tracking(spark, sf), top(spark, sf)))
 
 
 def raw_signals(spark, sf):
     ads, web, store = facts(spark, sf)
-    tracking = july_tracking(spark, sf)
+    tracking = whole_tracking(spark, sf)
     return D.detect(ads, web, store, tracking, PC.budgets_frame(spark, T.BUDGETS), T.SETTINGS,
-                    *JULY, T.thresholds())
+                    *asked(spark, sf), T.thresholds())
 
 
 @query("detect")
@@ -296,7 +300,7 @@ def ranked_signals(spark, sf):
     ads, web, store = facts(spark, sf)
     context = sweep.Context(PC.budgets_frame(spark, T.BUDGETS), T.SETTINGS, T.FESTIVE,
                             T.thresholds())
-    return sweep.signals_for(ads, web, store, context, *JULY)[0]
+    return sweep.signals_for(ads, web, store, context, *asked(spark, sf))[0]
 
 
 @query("needs_tracking")
@@ -328,13 +332,13 @@ JULY_SALE = [("Mid-season sale", dt.date(2001, 7, 1), dt.date(2001, 7, 4))]
 
 @query("suppress")
 def _(spark, sf):
-    tracking = staged(july_tracking(spark, sf), "tracking")
+    tracking = staged(whole_tracking(spark, sf), "tracking")
     return shown(G.suppress(raw_signals(spark, sf), tracking, JULY_SALE))
 
 
 @query("rank_signals")
 def _(spark, sf):
-    tracking = staged(july_tracking(spark, sf), "tracking")
+    tracking = staged(whole_tracking(spark, sf), "tracking")
     ranked = G.rank_signals(raw_signals(spark, sf), tracking, JULY_SALE, 5000.0)
     return ranked.select("as_of", "id", "impact", "score")
 
@@ -360,21 +364,21 @@ def _(spark, sf):
     return kept.select("as_of", "id", "impact", "score")
 
 
-def july_opportunities(spark, sf):
+def grouped(spark, sf):
     kept = G.most_specific(ranked_signals(spark, sf), G.child_counts(T.ad_facts(spark, sf)))
     return G.group_opportunities(kept)
 
 
 @query("group_opportunities")
 def _(spark, sf):
-    return july_opportunities(spark, sf).select(
+    return grouped(spark, sf).select(
         "as_of", "opportunity", "kind", F.col("primary.id").alias("primary_id"),
         F.transform("signals", lambda s: s["id"]).alias("signal_ids"), "impact", "score")
 
 
 @query("rank_opportunities")
 def _(spark, sf):
-    return G.rank_opportunities(july_opportunities(spark, sf), 3).select(
+    return G.rank_opportunities(grouped(spark, sf), 3).select(
         "as_of", "kind", "place", "opportunity", "score")
 
 
@@ -391,7 +395,8 @@ def _(spark, sf):
 def replayed(spark, sf):
     """The stored opportunities of every as-of date."""
     ads, web, store = facts(spark, sf)
-    context = sweep.Context(PC.budgets_frame(spark, T.BUDGETS), None, T.FESTIVE, T.thresholds())
+    context = sweep.Context(PC.budgets_frame(spark, T.BUDGETS), T.SETTINGS, T.FESTIVE,
+                            T.thresholds())
     return sweep.replay(ads, web, store, context)
 
 
@@ -402,8 +407,34 @@ def _(spark, sf):
         "impact", "score")
 
 
+@query("refresh_replay")
+def _(spark, sf):
+    """The stored replay after eleven days of ad facts came late and the dates they reach ran again."""
+    ads, web, store = facts(spark, sf)
+    context = sweep.Context(PC.budgets_frame(spark, T.BUDGETS), T.SETTINGS, T.FESTIVE,
+                            T.thresholds())
+    late = F.col("date").between("2001-06-10", "2001-06-20")
+    path = scratch(spark, "analysis")
+    sweep.refresh(spark, path, ads.filter(~late), web, store, context, ads.select("date").distinct())
+    sweep.refresh(spark, path, ads, web, store, context, ads.filter(late).select("date").distinct())
+    return sweep.stored_replay(spark, path).select(
+        "as_of", "opportunity", "kind", F.transform("signals", lambda s: s["id"]).alias("signal_ids"),
+        "impact", "score")
+
+
+@query("replay_status")
+def _(spark, sf):
+    """First seen, reopened and resolved at every as-of date, as repeated runs would store it."""
+    found = replayed(spark, sf).select(
+        F.col("opportunity").alias("key"), "as_of", "window_start",
+        F.col("window_end").alias("last_seen_date"), "score")
+    start, end = asked(spark, sf)
+    runs = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("as_of"))
+    return R.carry_status(found, runs)
+
+
 @query("analysis_run_log")
 def _(spark, sf):
-    return july_opportunities(spark, sf).groupBy("as_of").agg(
+    return grouped(spark, sf).groupBy("as_of").agg(
         F.sum(F.size("signals")).alias("signal_count"), F.count(F.lit(1)).alias("opportunity_count"),
         F.lit("success").alias("status"))

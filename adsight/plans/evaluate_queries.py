@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,15 +10,13 @@ from adsight.operators import evaluate as E
 from adsight.operators import group as G
 from adsight.operators import recommend as R
 from adsight.operators import textcheck as TX
-from adsight.plans.detect_queries import whole_tracking
+from adsight.plans.detect_queries import asked, replayed, whole_tracking
 from adsight.plans.explain_queries import stored
 from adsight.plans.queries import query
 from adsight.plans.session import scratch
 from adsight.plans.stages import staged
 from adsight.sources import testtables as T
 
-SEEN = (dt.date(2001, 5, 1), T.AS_OF)
-
 
 @query("read_labelled_events")
 def _(spark, sf):
@@ -48,19 +44,37 @@ def _(spark, sf):
     return E.alert_episodes(T.alert_sightings(spark, sf))
 
 
+def replay_episodes(spark, sf):
+    """Episodes of what the engine itself shows on every as-of date."""
+    shown = E.sightings(replayed(spark, sf).withColumn("entity_id", F.col("opportunity")))
+    return staged(E.alert_episodes(shown), "replay_episodes")
+
+
+@query("replay_episodes")
+def _(spark, sf):
+    return replay_episodes(spark, sf)
+
+
+@query("replay_score")
+def _(spark, sf):
+    """The accuracy of the replay: sightings, episodes, matches and scores."""
+    return E.detection_score(
+        events_of(spark, sf), replay_episodes(spark, sf), *asked(spark, sf))
+
+
 @query("match_episodes")
 def _(spark, sf):
-    events = E.in_range(events_of(spark, sf), *SEEN)
+    events = E.in_range(events_of(spark, sf), *asked(spark, sf))
     return E.match_episodes(events, episodes_of(spark, sf)).select("event_id", "key", "detected_on")
 
 
 @query("detection_score")
 def _(spark, sf):
-    return E.detection_score(events_of(spark, sf), episodes_of(spark, sf), *SEEN)
+    return E.detection_score(events_of(spark, sf), episodes_of(spark, sf), *asked(spark, sf))
 
 
 def detected(spark, sf):
-    events = E.in_range(events_of(spark, sf), *SEEN)
+    events = E.in_range(events_of(spark, sf), *asked(spark, sf))
     return E.detected_events(events, E.match_episodes(events, episodes_of(spark, sf)))
 
 
@@ -77,7 +91,7 @@ def _(spark, sf):
 
 @query("false_positives")
 def _(spark, sf):
-    events, episodes = E.in_range(events_of(spark, sf), *SEEN), episodes_of(spark, sf)
+    events, episodes = E.in_range(events_of(spark, sf), *asked(spark, sf)), episodes_of(spark, sf)
     alerts = E.unexplained(episodes, E.match_episodes(events, episodes))
     return E.false_positives(alerts).select("key", "detected_on", "kind", "peak_score", "days_open")
 
@@ -135,6 +149,6 @@ def _(spark, sf):
         (F.col("turn") % 2 == 0).alias("grounded"), (F.col("turn") == last).alias("fallback"),
         F.when(F.length("text") < 200, "too short").alias("error"))
     return E.scorecard(
-        E.detection_score(events_of(spark, sf), episodes_of(spark, sf), *SEEN),
+        E.detection_score(events_of(spark, sf), episodes_of(spark, sf), *asked(spark, sf)),
         E.diagnosis_score(cases(spark, sf)), E.trust_score(*trust_of(spark, sf)),
         TX.grounding_score(calls))

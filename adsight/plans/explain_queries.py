@@ -15,26 +15,33 @@ from adsight.operators import group as G
 from adsight.operators import pacing as PC
 from adsight.operators import recommend as R
 from adsight.plans import sweep
-from adsight.plans.detect_queries import JULY, facts, grain_of
+from adsight.plans.detect_queries import asked, facts, grain_of
 from adsight.plans.queries import query
 from adsight.plans.stages import staged
 from adsight.sources import testtables as T
 
 
 def campaign_windows(spark, sf):
-    """July windows of every campaign, rows present on both sides."""
-    ads = T.ad_facts(spark, sf)
-    deep = D.deep_windows(grain_of(ads, *JULY), *JULY).filter("level = 'campaign'")
+    """Windows of every campaign at every as-of date, rows present on both sides."""
+    dates = asked(spark, sf)
+    deep = D.deep_windows(grain_of(T.ad_facts(spark, sf), *dates), *dates).filter(
+        "level = 'campaign'")
     return deep.filter("cur_impressions is not null and base_impressions is not null")
 
 
+def share_of(column):
+    """A share as shown: those beyond 1000 % come from totals near zero and have no decimals."""
+    return F.when(F.abs(column) < 1000, F.round(column, 6)).otherwise(F.round(column, 0)).alias(
+        "share_pct")
+
+
 @query("decompose")
 def _(spark, sf):
     split = X.decompose(campaign_windows(spark, sf), "roas", "base_", "cur_")
     rows = split.select("as_of", "key", F.inline("drivers"))
     return rows.select("as_of", "key", "driver", "before", "after",
                        F.round("change_pct", 6).alias("change_pct"),
-                       F.round("share_pct", 6).alias("share_pct"))
+                       share_of("share_pct"))
 
 
 def campaign_roots(spark, sf):
@@ -51,14 +58,14 @@ def campaign_roots(spark, sf):
 def _(spark, sf):
     rows = X.evidence_tree(campaign_roots(spark, sf), ["as_of", "key"])
     return rows.withColumns({
-        c: F.round(c, 6) for c in ("before", "after", "change_pct", "share_pct")})
+        "change_pct": F.round("change_pct", 6), "share_pct": share_of("share_pct")})
 
 
 @query("dominant_chain")
 def _(spark, sf):
     return campaign_roots(spark, sf).select(
         "as_of", "key", F.posexplode_outer("chain").alias("place", "node")).select(
-        "as_of", "key", "place", "node.metric", F.round("node.share_pct", 6).alias("share_pct")
+        "as_of", "key", "place", "node.metric", share_of("node.share_pct")
     ).filter("place is not null")
 
 
@@ -68,11 +75,11 @@ def _(spark, sf):
         "entity_id", X.is_protected(T.PROTECTED).alias("protected"))
 
 
-def explained(spark, sf, start=JULY[0], end=JULY[1]):
+def explained(spark, sf):
     ads, web, store = facts(spark, sf)
     context = sweep.Context(PC.budgets_frame(spark, T.BUDGETS), T.SETTINGS, T.FESTIVE,
                             T.thresholds())
-    signals, tracking = sweep.signals_for(ads, web, store, context, start, end)
+    signals, tracking = sweep.signals_for(ads, web, store, context, *asked(spark, sf))
     found = G.group_opportunities(G.most_specific(signals, G.child_counts(ads)))
     names = G.lineage(ads).select("entity_id", F.concat_ws(
         "-", F.replace("level", F.lit("_"), F.lit("")), "key").alias("name"))
@@ -102,7 +109,7 @@ def _(spark, sf):
 
 
 def campaign_cases(spark, sf):
-    """Each July campaign window as an opportunity raised on its ROAS, investigated."""
+    """Each campaign window as an opportunity raised on its ROAS, investigated."""
     frame = campaign_windows(spark, sf)
     now, before = D.of("cur", frame.columns), D.of("base", frame.columns)
     valued = frame.selectExpr(

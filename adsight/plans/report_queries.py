@@ -10,7 +10,8 @@ from adsight.operators import pacing as PC
 from adsight.operators import report as R
 from adsight.operators import textcheck as TX
 from adsight.operators import trust as TR
-from adsight.plans.explain_queries import explained, stored
+from adsight.plans.detect_queries import whole_tracking
+from adsight.plans.explain_queries import explained, share_of, stored
 from adsight.plans.queries import query
 from adsight.plans.stages import staged
 from adsight.sources import testtables as T
@@ -75,10 +76,7 @@ def _(spark, sf):
 
 def weekly(spark, sf):
     ads, store = T.ad_facts(spark, sf), T.store_facts(spark, sf)
-    import datetime as dt
-
-    tracking = TR.tracking_checks(ads, store, dt.date(1995, 2, 10), T.AS_OF, 3.0)
-    broken = TR.unreliable_metrics(tracking).select("as_of")
+    broken = TR.unreliable_metrics(whole_tracking(spark, sf)).select("as_of")
     return R.weekly_payload(
         ads, store, T.SETTINGS, PC.budgets_frame(spark, T.BUDGETS), T.opportunities(spark, sf),
         T.decisions(spark, sf), T.experiments(spark, sf), broken, T.AS_OF)
@@ -99,27 +97,75 @@ def _(spark, sf):
     return R.report_markdown(staged(R.report_lines(weekly(spark, sf)), "reports"))
 
 
-@query("save_report")
-def _(spark, sf):
-    """Stores every week, regenerates the newest ones and returns the table."""
+def stored_reports(spark, sf):
+    """Stores every week and regenerates the newest ones; the table as it is then."""
     rows = staged(R.report_rows(R.report_lines(weekly(spark, sf))), "report_rows")
     path = WH.scratch(spark, "reports")
     WH.upsert(spark, path, rows, ["week_end"], "week_end")
     WH.upsert(spark, path, rows.filter(F.col("week_end") >= F.date_sub(F.lit(T.AS_OF), 30))
               .withColumn("source", F.lit("regenerated")), ["week_end"], "week_end")
-    return WH.read(spark, path).select("week_end", "week_start", "source", "grounded", "narrative")
+    return WH.read(spark, path)
+
+
+@query("save_report")
+def _(spark, sf):
+    return stored_reports(spark, sf).select(
+        "week_end", "week_start", "source", "grounded", "narrative")
 
 
 @query("report_history")
 def _(spark, sf):
-    weeks = R.weekly_kpis(T.ad_facts(spark, sf), T.store_facts(spark, sf), T.SETTINGS, T.AS_OF)
-    return R.report_history(weeks).select(
-        "week_end", F.element_at("kpis", 1)["value"].alias("store_revenue"))
+    """The newest stored reports with the revenue their payload holds."""
+    payload = F.from_json("payload", "kpis array<struct<metric: string, value: double>>")
+    return R.report_history(stored_reports(spark, sf), T.AS_OF).select(
+        "week_end", "week_start", "source", "next_week_end", "covered",
+        F.filter(payload["kpis"], lambda k: k["metric"] == "store_revenue")[0]["value"].alias(
+            "store_revenue"))
+
+
+@query("report_numbers")
+def _(spark, sf):
+    return R.report_numbers(weekly(spark, sf)).select(
+        "week_end", F.round("value", 6).alias("value")).distinct()
+
+
+@query("ungrounded_report_numbers")
+def _(spark, sf):
+    """Numbers in the report texts that their payload does not permit: none."""
+    reports = staged(R.report_lines(weekly(spark, sf)), "reports")
+    told = reports.select("week_end", F.array_join(F.concat("summary", "detail"), " ").alias("text"))
+    numbers = TX.numbers_in_text(told, "week_end", "text")
+    return TX.ungrounded_numbers(numbers, R.report_numbers(reports), "week_end").groupBy(
+        "week_end", "value").agg(F.count(F.lit(1)).alias("times"))
+
+
+def details(spark, sf):
+    """Stored rows of every as-of date, read back."""
+    return R.opportunity_detail(staged(R.opportunity_rows(explained(spark, sf)), "opportunities"))
+
+
+@query("opportunity_detail")
+def _(spark, sf):
+    return details(spark, sf).select(
+        "row_key", "kind", "title", "band", "cause_label", "trust", "protected", "observation",
+        F.transform("hypotheses", lambda h: h["cause_label"]).alias("causes"), "alternatives",
+        "recommendation.action", F.transform("signals", lambda s: s["id"]).alias("signal_ids"))
+
+
+@query("opportunity_tree")
+def _(spark, sf):
+    return details(spark, sf).select("row_key", F.inline("tree")).withColumns({
+        "change_pct": F.round("change_pct", 6), "share_pct": share_of("share_pct")})
+
+
+@query("evidence_numbers")
+def _(spark, sf):
+    return R.evidence_numbers(details(spark, sf))
 
 
 @query("opportunity_rows")
 def _(spark, sf):
-    return R.opportunity_rows(explained(spark, sf, T.AS_OF, T.AS_OF))
+    return R.opportunity_rows(explained(spark, sf))
 
 
 @query("quotable_numbers")

@@ -94,12 +94,12 @@ def store_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def web_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Thirty days of events stretched to 120 days, one per six hours."""
+    """Thirty days of events stretched over the span of the ad facts, a day per 18 minutes."""
     seconds = F.expr(
         "timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
     kind = F.col("event_type")
     rows = table(spark, sf, "events").select(
-        F.date_add(F.lit(dt.date(2001, 4, 3)), F.floor(seconds / 21600).cast("int")).alias("date"),
+        F.date_add(F.lit(dt.date(1995, 1, 5)), F.floor(seconds / 1080).cast("int")).alias("date"),
         pick(("google / cpc", "facebook / paid_social", "instagram / paid_social",
               "(direct) / (none)"), F.col("user_id") % 4).alias("source"),
         F.when(F.col("event_id") % 2 == 0, "mobile").otherwise("desktop").alias("device"),
@@ -229,9 +229,10 @@ def labelled_events(spark: SparkSession, sf: str) -> DataFrame:
     """Raw labelled events, one per supplier, in the labelled-events document layout."""
     k = F.col("s_suppkey")
     kind = pick(EVENT_KINDS, k % 8)
-    start = F.date_add(F.lit(dt.date(2001, 4, 25)), (k * 7 % 95).cast("int"))
+    start = F.date_add(F.lit(dt.date(1995, 1, 25)), (k * 97 % 2400).cast("int"))
     level = (
-        F.when(kind == "creative_fatigue", "creative")
+        F.when((kind == "budget_overpace") & (k % 16 == 6), "account")
+        .when(kind == "creative_fatigue", "creative")
         .when(kind == "audience_mismatch", "ad_set")
         .when(kind.isin("cpc_spike", "landing_page_break"), "campaign")
         .otherwise("channel"))

@@ -21,14 +21,20 @@ def merged(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
     return kept.unionByName(batch)
 
 
-def _stored(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame | None:
-    """The stored table, or None before the first write."""
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was ever written there."""
     try:
-        return spark.read.schema(batch.schema).parquet(path)
+        spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return None
+        return False
+    return True
+
+
+def stored(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame | None:
+    """The stored table, or None before the first write."""
+    return spark.read.schema(batch.schema).parquet(path) if written(spark, path) else None
 
 
 def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -45,7 +51,7 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, key: list[str], day
     running the upsert again completes it.
     """
     new = staged(batch.withColumn("month", F.date_format(day, "yyyy-MM")), "batch")
-    target = _stored(spark, path, new)
+    target = stored(spark, path, new)
     if target is not None:
         # Distinct months of the batch: at most a few hundred rows whatever the batch holds.
         months = F.broadcast(new.select("month").distinct())
@@ -59,6 +65,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("month")
 
 
+def append_runs(spark: SparkSession, path: str, batch: int, log: DataFrame) -> None:
+    """Adds the run rows of one import to the log; the same batch again replaces its own rows.
+
+    A batch is one partition, swapped in whole, so a retried import leaves one row per file.
+    """
+    log.withColumn("batch", F.lit(batch).cast("bigint")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def recent_runs(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
+    """The newest runs of the log with their ids, newest import first, files in order."""
+    rows = spark.read.parquet(path)
+    return rows.orderBy(F.desc("batch"), "file").limit(limit).withColumn(
+        "run_id", F.concat_ws("/", F.col("batch").cast("string"), "file"))
+
+
 def surrogate(*path: str) -> Column:
     """Deterministic id of an entity from its path of external ids: no sequence, no look-up."""
     return F.xxhash64(*path)

@@ -25,8 +25,8 @@ SELECT CAST(l_shipdate AS DATE) AS date,
     AS DECIMAL(18,4))) AS platform_revenue
 FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""),
     "web": ((), """
-SELECT DATE '2001-04-03'
-    + CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 21600) AS INTEGER) AS date,
+SELECT DATE '1995-01-05'
+    + CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 1080) AS INTEGER) AS date,
   CASE user_id % 4 WHEN 0 THEN 'google / cpc' WHEN 1 THEN 'facebook / paid_social'
     WHEN 2 THEN 'instagram / paid_social' ELSE '(direct) / (none)' END AS source,
   CASE WHEN event_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS device,

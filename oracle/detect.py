@@ -1,4 +1,4 @@
-"""Oracle SQL of trust, pacing, detection, scoring and grouping, for every July as-of date."""
+"""Oracle SQL of trust, pacing, detection, scoring and grouping, for every as-of date."""
 
 from __future__ import annotations
 
@@ -60,19 +60,20 @@ SELECT source, last_date, days_behind, COALESCE(gaps, '') AS missing_dates,
 SQL["conversions_vs_orders"] = with_(("ad", "store"), f"""
 SELECT channel_id, date, {dbl("SUM(platform_conversions)")} AS conversions, any_value(orders) AS orders
 FROM ad LEFT JOIN store USING (date) GROUP BY 1, 2""")
-CTES["days_asked"] = ((), """
-SELECT CAST(d AS DATE) AS as_of FROM generate_series(DATE '2001-07-01', DATE '2001-07-31',
-  INTERVAL 1 DAY) t(d)""")
-CTES["trust_days"] = ((), """
-SELECT CAST(d AS DATE) AS as_of FROM generate_series(DATE '1995-02-10', DATE '2001-07-31',
-  INTERVAL 1 DAY) t(d)""")
-CTES["series"] = (("ad", "store"), """
+CTES["days_asked"] = (("ad", "web", "store"), """
+SELECT CAST(d AS DATE) AS as_of FROM (
+ SELECT MAX(first) + 35 AS first, MIN(last) AS last FROM (
+  SELECT MIN(date) AS first, MAX(date) AS last FROM ad
+  UNION ALL SELECT MIN(date), MAX(date) FROM web UNION ALL SELECT MIN(date), MAX(date) FROM store)),
+generate_series(first, last, INTERVAL 1 DAY) t(d)""")
+CTES["series"] = (("ad", "store", "days_asked"), """
 SELECT channel_id, date, c, orders AS o, CAST(c AS DOUBLE) / NULLIF(orders, 0) AS ratio FROM (
   SELECT DISTINCT channel_id FROM ad) CROSS JOIN (SELECT CAST(d AS DATE) AS date FROM
-  generate_series(DATE '1995-01-11', DATE '2001-07-31', INTERVAL 1 DAY) t(d))
+  (SELECT MIN(as_of) - 30 AS first, MAX(as_of) AS last FROM days_asked),
+  generate_series(first, last, INTERVAL 1 DAY) t(d))
 LEFT JOIN (SELECT channel_id, date, SUM(platform_conversions) AS c FROM ad GROUP BY 1, 2)
   USING (channel_id, date) LEFT JOIN store USING (date)""")
-CTES["verdict"] = (("trust_days", "series"), """
+CTES["verdict"] = (("days_asked", "series"), """
 SELECT as_of, channel_id, cn / NULLIF(onow, 0) / typical AS ratio_change, typical,
   (cnm - cbm) / NULLIF(abs(cbm), 0) * 100 AS conversions_change_pct,
   (onm - obm) / NULLIF(abs(obm), 0) * 100 AS orders_change_pct FROM (
@@ -89,7 +90,7 @@ SELECT as_of, channel_id, cn / NULLIF(onow, 0) / typical AS ratio_change, typica
     AS obm,
   CAST(SUM(o) FILTER (date >= as_of - 2) AS DOUBLE) / NULLIF(count(o) FILTER (date >= as_of - 2), 0)
     AS onm
- FROM trust_days JOIN series ON date BETWEEN as_of - 30 AND as_of GROUP BY 1, 2)
+ FROM days_asked JOIN series ON date BETWEEN as_of - 30 AND as_of GROUP BY 1, 2)
 WHERE n >= 14 AND onow >= 3 AND typical > 0""")
 CTES["tracking"] = (("verdict",), """
 SELECT v.*, CASE WHEN ratio_change <= CAST(0.45 AS DOUBLE) THEN 'broken'
@@ -150,12 +151,13 @@ SQL["trailing_window"] = with_("store", """
 SELECT date, date - 6 AS window_start, date AS window_end, date - 13 AS previous_start,
   date - 7 AS previous_end, CAST(date_trunc('month', date) AS DATE) AS month_start,
   date AS month_end FROM store""")
-SQL["densify_calendar"] = with_("web", f"""
-, d AS (SELECT source, date, {dbl("SUM(sessions)")} AS sessions FROM web
-  WHERE date BETWEEN {JULY} GROUP BY 1, 2)
+SQL["densify_calendar"] = with_(("web", "days_asked"), f"""
+, a AS (SELECT MIN(as_of) AS first, MAX(as_of) AS last FROM days_asked),
+d AS (SELECT source, date, {dbl("SUM(sessions)")} AS sessions FROM web, a
+  WHERE date BETWEEN first AND last GROUP BY 1, 2)
 SELECT source, date, CAST(sessions AS BIGINT) AS sessions FROM (SELECT DISTINCT source FROM d)
-CROSS JOIN (SELECT CAST(x AS DATE) AS date FROM generate_series(DATE '2001-06-25',
-  DATE '2001-07-31', INTERVAL 1 DAY) t(x)) LEFT JOIN d USING (source, date)""")
+CROSS JOIN (SELECT CAST(x AS DATE) AS date FROM a, generate_series(first - 6, last,
+  INTERVAL 1 DAY) t(x)) LEFT JOIN d USING (source, date)""")
 
 
 def _typed(names) -> str:
@@ -312,7 +314,7 @@ PARTS = {
  CAST(1 AS DOUBLE) AS baseline, (ratio_change - 1) * 100 AS change_pct, true AS adverse,
  {", ".join(f"w.cur_{m} AS m_{m}" for m in M_COLS)}
 FROM tracking t LEFT JOIN topwin w ON w.level = 'channel' AND w.key = t.channel_id
- AND w.as_of = t.as_of WHERE status <> 'ok' AND t.as_of >= DATE '2001-07-01'"""],
+ AND w.as_of = t.as_of WHERE status <> 'ok'"""],
 }
 NEEDS = ("topwin", "deepwin", "segwin", "tracking")
 SHOWN = """SELECT as_of, id, detector, metric, entity_id, channel_id,
@@ -460,6 +462,18 @@ SELECT as_of, opportunity, kind, primary_id, signal_ids, impact, score FROM opps
 SQL["rank_opportunities"] = with_("opps", """
 SELECT as_of, kind, place, opportunity, score FROM (SELECT *, row_number() OVER (
   PARTITION BY as_of, kind ORDER BY score DESC, opportunity) AS place FROM opps) WHERE place <= 3""")
+SQL["replay"] = with_("opps", "SELECT as_of, opportunity, kind, signal_ids, impact, score FROM opps")
+SQL["refresh_replay"] = SQL["replay"]
+# Sessions of sightings; every date of the span is a run.
+SQL["replay_status"] = with_(("opps", "days_asked"), """
+, gaps AS (SELECT opportunity AS key, as_of, score, date_diff('day', lag(as_of) OVER w, as_of) AS gap,
+  lead(as_of) OVER w AS next FROM opps WINDOW w AS (PARTITION BY opportunity ORDER BY as_of)),
+numbered AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > 13) OVER (PARTITION BY key
+  ORDER BY as_of) AS session FROM gaps)
+SELECT key, as_of, MIN(as_of) OVER (PARTITION BY key, session) - 6 AS first_seen_date,
+ as_of AS last_seen_date, score, COALESCE(gap > 1, false) AS reopened,
+ CASE WHEN as_of < (SELECT MAX(as_of) FROM days_asked) AND (next IS NULL OR next > as_of + 1)
+  THEN as_of + 1 END AS resolved_on FROM numbered""")
 SQL["analyse"] = with_("opps", """
 SELECT as_of, opportunity, kind, signal_ids, impact, score FROM opps
 WHERE as_of = DATE '2001-07-31'""")

@@ -7,7 +7,7 @@ from oracle import detect, explain, report  # noqa: F401  (shared expressions)
 
 SQL: dict[str, str] = {}
 CTES["ev"] = ((), """
-SELECT *, CASE WHEN kind = 'creative_fatigue' THEN [
+SELECT *, CASE WHEN k % 16 = 6 THEN CAST([] AS VARCHAR[]) WHEN kind = 'creative_fatigue' THEN [
    'creative:' || concat_ws('/', src, k % 80 % 10, k % 80 % 40, pid),
    'campaign:' || concat_ws('/', src, k % 80 % 10),
    'ad_set:' || concat_ws('/', src, k % 80 % 10, k % 80 % 40)]
@@ -27,7 +27,7 @@ SELECT *, CASE WHEN kind = 'creative_fatigue' THEN [
  SELECT s_suppkey AS k, 'ev-' || s_suppkey AS id,
   ['creative_fatigue', 'audience_mismatch', 'landing_page_break', 'cpc_spike', 'channel_opportunity',
    'tracking_break', 'budget_overpace', 'no_issue'][s_suppkey % 8 + 1] AS kind,
-  DATE '2001-04-25' + CAST(s_suppkey * 7 % 95 AS INTEGER) AS s,
+  DATE '1995-01-25' + CAST(s_suppkey * 97 % 2400 AS INTEGER) AS s,
   CASE s_suppkey % 8 WHEN 0 THEN CAST(s_suppkey % 80 AS VARCHAR)
    WHEN 1 THEN CAST(s_suppkey % 40 AS VARCHAR) ELSE CAST(s_suppkey % 10 AS VARCHAR) END AS pid,
   ['google_ads', 'meta_ads'][s_suppkey % 2 + 1] AS src,
@@ -53,24 +53,43 @@ SELECT key, key AS entity, arg_min(kind, as_of) AS kind, MIN(as_of) AS detected_
  SELECT *, SUM(opens) OVER (PARTITION BY key ORDER BY as_of) AS island FROM (
   SELECT *, CASE WHEN date_diff('day', lag(as_of) OVER (PARTITION BY key ORDER BY as_of), as_of) <= 2
    THEN 0 ELSE 1 END AS opens FROM sight)) GROUP BY key, island""")
+CTES["shown_signals"] = (("specific",), """
+SELECT as_of, entity_id, arg_max(adverse, (score, id)) AS adverse, MAX(score) AS score,
+ list_distinct(list(metric)) AS metrics, list_distinct(list(detector)) AS detectors
+FROM specific GROUP BY 1, 2""")
+CTES["repi"] = (("shown_signals",), """
+SELECT entity_id AS key, entity_id AS entity,
+ CASE WHEN arg_min(adverse, as_of) THEN 'issue' ELSE 'win' END AS kind, MIN(as_of) AS detected_on,
+ MAX(as_of) AS closed_on, MIN(as_of) - 6 AS window_start, MAX(as_of) AS window_end,
+ list_sort(list_distinct(flatten(list(metrics)))) AS metrics,
+ list_sort(list_distinct(flatten(list(detectors)))) AS detectors, MAX(score) AS peak_score,
+ count(*) AS days_open FROM (
+ SELECT *, SUM(opens) OVER (PARTITION BY entity_id ORDER BY as_of) AS island FROM (
+  SELECT *, CASE WHEN date_diff('day', lag(as_of) OVER (PARTITION BY entity_id ORDER BY as_of), as_of)
+   <= 2 THEN 0 ELSE 1 END AS opens FROM shown_signals)) GROUP BY entity_id, island""")
+SQL["replay_episodes"] = with_("repi", """
+SELECT key, entity, kind, detected_on, closed_on, window_start, window_end,
+ array_to_string(metrics, ',') AS metrics, array_to_string(detectors, ',') AS detectors,
+ peak_score, days_open FROM repi""")
 SQL["alert_episodes"] = with_("epi", """
 SELECT key, entity, kind, detected_on, closed_on, window_start, window_end,
  array_to_string(metrics, ',') AS metrics, array_to_string(detectors, ',') AS detectors,
  peak_score, days_open FROM epi""")
-_SEEN = "e >= DATE '2001-05-01' AND s <= DATE '2001-07-31'"
-CTES["hit"] = (("ev", "epi"), f"""
-SELECT v.id AS event_id, p.key, p.detected_on FROM ev v JOIN epi p ON p.kind = v.kind_expected
- AND list_contains(v.entities, p.entity) AND p.window_start <= v.e AND v.s <= p.window_end
+_SEEN = ("e >= (SELECT MIN(as_of) FROM days_asked) AND s <= (SELECT MAX(as_of) FROM days_asked)")
+# Matches and scores of the stand-in's episodes, and of those of the replay (r).
+for r in ("", "r"):
+    CTES[r + "hit"] = (("ev", r + "epi", "days_asked"), f"""
+SELECT v.id AS event_id, p.key, p.detected_on FROM ev v JOIN {r}epi p ON p.kind = v.kind_expected
+ AND (len(v.entities) = 0 OR list_contains(v.entities, p.entity)) AND p.window_start <= v.e AND v.s <= p.window_end
  AND CASE WHEN len(v.detectors) > 0 THEN list_has_any(p.detectors, v.detectors)
   ELSE list_has_any(p.metrics, v.metrics) END WHERE v.injected AND {_SEEN}""")
-SQL["match_episodes"] = with_("hit", "SELECT * FROM hit")
-CTES["found"] = (("hit",), f"""
+    CTES[r + "found"] = ((r + "hit", "days_asked"), f"""
 SELECT v.id, v.kind, v.s, v.e, MIN(h.detected_on) AS detected_on,
- date_diff('day', v.s, MIN(h.detected_on)) AS lag FROM ev v LEFT JOIN hit h ON h.event_id = v.id
+ date_diff('day', v.s, MIN(h.detected_on)) AS lag FROM ev v LEFT JOIN {r}hit h ON h.event_id = v.id
 WHERE v.injected AND {_SEEN} GROUP BY 1, 2, 3, 4""")
-CTES["loose"] = (("hit",), """
-SELECT * FROM epi WHERE (key, detected_on) NOT IN (SELECT key, detected_on FROM hit)""")
-CTES["dscore"] = (("found", "loose"), f"""
+    CTES[r + "loose"] = ((r + "hit",), f"""
+SELECT * FROM {r}epi WHERE (key, detected_on) NOT IN (SELECT key, detected_on FROM {r}hit)""")
+    CTES[r + "dscore"] = ((r + "found", r + "loose"), f"""
 SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall)
  END AS f1 FROM (
 SELECT injected, detected, injected - detected AS missed, episodes, unexplained, noisy_windows,
@@ -79,14 +98,16 @@ SELECT injected, detected, injected - detected AS missed, episodes, unexplained,
  COALESCE(CAST(detected AS DOUBLE) / NULLIF(injected, 0), 0) AS recall,
  COALESCE(CAST(quick AS DOUBLE) / NULLIF(injected, 0), 0) AS recall_within_3,
  COALESCE(CAST(noisy_windows AS DOUBLE) / NULLIF(quiet_windows, 0), 0) AS false_alarm_rate FROM (
- SELECT (SELECT count(*) FROM found) AS injected, (SELECT count(detected_on) FROM found) AS detected,
- (SELECT count(*) FROM found WHERE lag <= 3) AS quick, (SELECT count(*) FROM epi) AS episodes,
- (SELECT count(*) FROM loose) AS unexplained,
+ SELECT (SELECT count(*) FROM {r}found) AS injected, (SELECT count(detected_on) FROM {r}found) AS detected,
+ (SELECT count(*) FROM {r}found WHERE lag <= 3) AS quick, (SELECT count(*) FROM {r}epi) AS episodes,
+ (SELECT count(*) FROM {r}loose) AS unexplained,
  (SELECT count(*) FROM ev WHERE NOT injected AND {_SEEN}) AS quiet_windows,
  (SELECT count(*) FROM ev WHERE NOT injected AND {_SEEN} AND EXISTS (
-   SELECT 1 FROM loose WHERE detected_on BETWEEN s AND e)) AS noisy_windows,
+   SELECT 1 FROM {r}loose WHERE detected_on BETWEEN s AND e)) AS noisy_windows,
  (SELECT count(*) FROM ev WHERE injected AND NOT ({_SEEN})) AS out_of_range))""")
+SQL["match_episodes"] = with_("hit", "SELECT * FROM hit")
 SQL["detection_score"] = with_("dscore", "SELECT * FROM dscore")
+SQL["replay_score"] = with_("rdscore", "SELECT * FROM rdscore")
 SQL["days_to_detect"] = with_("found", """
 SELECT kind, count(*) AS injected, count(detected_on) AS detected,
  count(*) FILTER (lag <= 3) AS in_time, median(lag) AS median_lag, MAX(lag) AS worst_lag

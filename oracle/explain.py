@@ -56,6 +56,7 @@ SELECT *, CASE WHEN kind <> 'dismiss' THEN id END AS experiment_id FROM (
   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS reason,
   CAST(o_orderdate AS DATE) AS created_on FROM orders)""")
 
+_SHARE = "CASE WHEN abs(share_pct) < 1000 THEN round(share_pct, 6) ELSE round(share_pct, 0) END"
 _R = ("cvr", "aov", "cpc", "roas", "cpm", "ctr")
 CTES["camp"] = (("deepwin",), f"""
 SELECT as_of, key, {", ".join(f"{kpi(m, w + '_')} AS {w}_{m}_v" for w in ("cur", "base") for m in _R)}
@@ -89,26 +90,26 @@ SELECT as_of, key, driver, ord, before, after, (after / before - 1) * 100 AS cha
   {_term("cpm")} + {_term("ctr", -1)} AS total
  FROM (SELECT * FROM camp WHERE {_OK2} AND (as_of, key) IN (SELECT as_of, key FROM drv)) c,
   (VALUES ('cpm', 0), ('ctr', 1)) t(driver, ord)) WHERE abs(total) > 1e-12""")
-SQL["decompose"] = with_("drv", """
+SQL["decompose"] = with_("drv", f"""
 SELECT as_of, key, driver, before, after, round(change_pct, 6) AS change_pct,
-  round(share_pct, 6) AS share_pct FROM drv""")
-_NODE = """round(before, 6) AS before, round(after, 6) AS after,
+  {_SHARE} AS share_pct FROM drv""")
+_NODE = """before, after,
  round((after - before) / NULLIF(abs(before), 0) * 100, 6) AS change_pct"""
 SQL["evidence_tree"] = with_("drv2", f"""
-SELECT as_of, key, 'roas' AS path, 0 AS depth, 'roas' AS metric, {_NODE}, NULL AS share_pct
+SELECT as_of, key, 'roas' AS path, CAST(0 AS BIGINT) AS depth, 'roas' AS metric, {_NODE},
+ CAST(NULL AS DOUBLE) AS share_pct
 FROM (SELECT *, base_roas_v AS before, cur_roas_v AS after FROM camp)
-UNION ALL SELECT as_of, key, 'roas/' || driver, 1, driver, {_NODE}, round(share_pct, 6) FROM drv
-UNION ALL SELECT as_of, key, 'roas/cpc/' || driver, 2, driver, {_NODE}, round(share_pct, 6)
-FROM drv2""").replace("0 AS depth", "CAST(0 AS BIGINT) AS depth").replace(
-    "NULL AS share_pct", "CAST(NULL AS DOUBLE) AS share_pct")
-SQL["dominant_chain"] = with_("drv2", """
+UNION ALL SELECT as_of, key, 'roas/' || driver, 1, driver, {_NODE}, {_SHARE} FROM drv
+UNION ALL SELECT as_of, key, 'roas/cpc/' || driver, 2, driver, {_NODE}, {_SHARE}
+FROM drv2""")
+SQL["dominant_chain"] = with_("drv2", f"""
 , b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, key
    ORDER BY abs(share_pct) DESC, ord) AS r FROM drv) WHERE r = 1 AND abs(share_pct) >= 60),
 b2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, key
    ORDER BY abs(share_pct) DESC, ord) AS r FROM drv2) WHERE r = 1 AND abs(share_pct) >= 60
    AND (as_of, key) IN (SELECT as_of, key FROM b1 WHERE driver = 'cpc'))
-SELECT as_of, key, CAST(0 AS BIGINT) AS place, driver AS metric, round(share_pct, 6) AS share_pct
-FROM b1 UNION ALL SELECT as_of, key, 1, driver, round(share_pct, 6) FROM b2""")
+SELECT as_of, key, CAST(0 AS BIGINT) AS place, driver AS metric, {_SHARE} AS share_pct
+FROM b1 UNION ALL SELECT as_of, key, 1, driver, {_SHARE} FROM b2""")
 SQL["is_protected"] = with_("ad", """
 SELECT 'channel:' || channel_id AS entity_id, false AS protected FROM ad GROUP BY 1
 UNION ALL SELECT 'campaign:' || channel_id || '/' || campaign_id, campaign_id = '3' FROM ad
@@ -205,11 +206,9 @@ WHERE status = 'draft'""")
 SQL["experiments_with_opportunity"] = with_(("exp_rows", "opp_rows"), """
 SELECT e.id, e.opportunity_id, e.status, e.metric, o.level AS entity_level, o.key AS entity_key,
  o.status AS opportunity_status,
- e.status = 'running' AND e.ends_on <= DATE '2001-07-31' AS due,
+ (e.status = 'running' AND e.ends_on <= DATE '2001-07-31') AS due,
  e.status IN ('draft', 'running') AS live
-FROM exp_rows e JOIN opp_rows o ON o.id = e.opportunity_id""").replace(
-    "e.status = 'running' AND e.ends_on <= DATE '2001-07-31' AS due",
-    "(e.status = 'running' AND e.ends_on <= DATE '2001-07-31') AS due")
+FROM exp_rows e JOIN opp_rows o ON o.id = e.opportunity_id""")
 _SIDE = ", ".join(f"MAX(v) FILTER (side = '{s}') AS {s}_value" for s in ("before", "after"))
 SQL["evaluate_experiments"] = with_(("exp_rows", "opp_rows", "ad_level"), f"""
 , due AS (SELECT e.*, o.level, o.key, o.status AS ostatus FROM exp_rows e
@@ -226,7 +225,6 @@ tot AS (SELECT r.id, r.side, any_value(r.metric) AS metric, count(d.date) AS day
   GROUP BY 1, 2),
 val AS (SELECT *, CASE metric WHEN 'cpa' THEN {kpi("cpa")} WHEN 'roas' THEN {kpi("roas")}
   WHEN 'ctr' THEN {kpi("ctr")} WHEN 'cpc' THEN {kpi("cpc")} ELSE spend / 7 END AS v FROM tot),
-webdays AS (SELECT 1),
 m AS (SELECT id, {_SIDE}, MAX(days) FILTER (side = 'after') AS days FROM val GROUP BY 1),
 j AS (SELECT d.id, d.opportunity_id, d.metric, m.before_value, m.after_value,
   CAST(m.days AS BIGINT) AS sample_days, d.ends_on AS evaluated_on, d.ostatus,
@@ -326,9 +324,7 @@ SELECT business_id, gross_margin_pct, target_roas,
   AS target_profitable,
  CASE WHEN CAST(k AS VARCHAR) IN (SELECT campaign_id FROM c) THEN 0 ELSE CAST(1 AS BIGINT) END
  + CASE WHEN CAST(k % 10 AS VARCHAR) IN (SELECT campaign_id FROM c) THEN 0 ELSE 1 END
-  AS unknown_campaigns FROM s""").replace(
-    "unknown_campaigns FROM s", "unknown_campaigns_ FROM s").replace(
-    "AS unknown_campaigns_", "AS unknown_campaigns")
+  AS unknown_campaigns FROM s""")
 
 # Campaign windows read as opportunities on ROAS: causes from the dominant chain, then the action.
 CTES["owner1"] = (("drv2",), """

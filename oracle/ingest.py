@@ -51,6 +51,10 @@ SELECT file, 'google_ads' AS source, count(*) AS rows_total,
   WHEN count(*) FILTER (errors <> '') > 0 THEN 'partial' ELSE 'success' END AS status,
  CASE WHEN count(*) FILTER (errors = '') = 0 THEN 'Every row was rejected.' END AS error
 FROM gall GROUP BY 1""")
+SQL["recent_runs"] = f"""
+WITH log AS ({SQL["ingestion_run_log"]})
+SELECT *, batch || '/' || file AS run_id FROM (SELECT *, CAST(1 AS BIGINT) AS batch FROM log
+ UNION ALL SELECT *, 2 FROM log WHERE rows_total % 2 = 0) ORDER BY batch DESC, file LIMIT 30"""
 SQL["check_net_sales"] = with_("store", """
 SELECT date, day(date) <> 13 AS accepted, CASE WHEN day(date) = 13 THEN 'Net sales ('
  || CAST(CAST(revenue + 1 AS DECIMAL(20,2)) AS VARCHAR)

