@@ -25,6 +25,13 @@ def fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(-1))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128-bit key of a row by id and text, told apart from nulls; equal rows share it."""
+    known = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
+    return F.unhex(F.md5(F.concat(
+        known(F.col(id_col).cast("string")), F.lit("\u0000"), known(F.col(text_col)))))
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit numbers as differences, one byte plane after the other.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adsight.llm.common import words
+from adsight.llm.common import row_key, words
 from adsight.plans.stages import staged
 
 SHINGLE = 5
@@ -82,39 +82,45 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Dat
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
             sizes: list[int], similarity: float) -> DataFrame:
-    """(row_key, item, start): item-sized windows that can reach the similarity.
+    """(row_key, item, start): all item-sized windows that can reach the similarity, at any start.
 
-    A similar window shares shingles with its item, so every shared shingle proposes the window in
-    which both stand at the same place. Documents whose shared shingles are too few for an item
-    propose none. This drops no window that the exact check could pass at one of these places.
+    A window reaches it only if enough of its places hold a shingle of the item, in any order. With
+    the document's shared places sorted, the windows whose first shared place is the i-th have
+    enough of them from a start that follows from the place that many further on: the starts are
+    ranges, found without listing any other window.
     """
     grams = items.select("item", "n_words", "k", F.size("own").alias("n_own"),
-                         F.posexplode("own").alias("at", "h"))
+                         F.explode(F.array_distinct("own")).alias("h"))
     wanted = staged(grams, "item_shingles")
     few = wanted.count() <= BROADCAST_ROWS  # the size is checked before anything is broadcast
     known = F.broadcast(wanted) if few else wanted
     keyed = docs.select(row_key(id_col, text_col).alias("row_key"), words(text_col).alias("w"))
-    aligned = None
+    shared = None
     for k in sizes:
-        spread = keyed.select("row_key", F.posexplode(
+        spread = keyed.select("row_key", F.size("w").alias("n_doc"), F.posexplode(
             shingle_hashes(F.col("w"), k)).alias("pos", "h"))
         own = spread.join(known.filter(F.col("k") == k), "h").select(
-            "row_key", "item", "n_own",
-            F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
-        aligned = own if aligned is None else aligned.union(own)
-    aligned = aligned.groupBy("row_key", "item", "n_own", "start").agg(
-        F.count(F.lit(1)).alias("n"))
-    enough = F.ceil(F.col("n_own") * F.lit(similarity / 2))
-    reach = aligned.groupBy("row_key", "item").agg(
-        F.sum("n").alias("all_n"), F.max("n_own").alias("n_own"),
-        F.collect_list("start").alias("starts"))
-    return reach.filter(F.col("all_n") >= enough).select(
-        "row_key", "item", F.explode("starts").alias("start"))
-
-
-def row_key(id_col: str, text_col: str) -> Column:
-    """Key of a row by id and text; equal rows share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+            "row_key", "item", "n_own", "n_words", "n_doc", "k", "pos")
+        shared = own if shared is None else shared.union(own)
+    # Repeated rows of a document share its key, so places are told once.
+    placed = shared.groupBy("row_key", "item", "n_own", "n_words", "n_doc", "k").agg(
+        F.array_sort(F.collect_set("pos")).alias("places"))
+    theirs = F.least("n_own", F.greatest(F.lit(1), F.col("n_doc") - F.col("k") + 1))
+    enough = F.greatest(F.lit(1), F.ceil(
+        (F.col("n_own") + theirs) * F.lit(similarity / 2) - 1e-9).cast("int"))
+    fit = placed.withColumns({
+        "enough": enough, "last": F.greatest(F.lit(0), F.col("n_doc") - F.col("n_words"))}).filter(
+        F.size("places") >= F.col("enough"))
+    place = lambda i: F.try_element_at("places", i)
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(F.coalesce(F.when(i > 1, place(i - 1)) + 1, F.lit(0)),
+                         place(i + F.col("enough") - 1) - F.col("n_own") + 1)
+        high = F.least(place(i), F.col("last"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    ranges = F.transform(F.sequence(F.lit(1), F.size("places") - F.col("enough") + 1), starts)
+    return fit.select("row_key", "item", F.explode(F.flatten(ranges)).alias("start"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -123,7 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per document and benchmark item found in it, at its best window.
 
     Columns: row_key, the id, the item id, start (word), n_words, hamming, similarity. Windows of
-    the item's length at every place proposed by a shared shingle get a SimHash; with radius + 1
+    the item's length at every start with enough shared shingles get a SimHash; with radius + 1
     blocks every fingerprint within the radius of the item's shares a block and becomes a
     candidate, and candidates count if their weighted shingle similarity reaches the bound.
     Ties go to the smallest start. Items without a word never match; items shorter than the
@@ -136,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema_id, schema_item = docs.schema[id_col], benchmark.schema[item_col]
     spark = docs.sparkSession
     if not sizes:
-        kinds = (f"row_key bigint, `{id_col}` {schema_id.dataType.simpleString()}, `{item_col}` "
+        kinds = (f"row_key binary, `{id_col}` {schema_id.dataType.simpleString()}, `{item_col}` "
                  f"{schema_item.dataType.simpleString()}, start int, n_words int, hamming int, "
                  "similarity double")
         return spark.createDataFrame([], kinds)

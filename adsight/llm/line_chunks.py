@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adsight.llm.common import row_key
 from adsight.plans.stages import staged
 
 DIVISOR = 4         # a boundary follows about every fourth window of lines
@@ -64,7 +65,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts stays. Counts and smallest places are combined before each shuffle, so a chunk held by
     a third of all rows costs one row per task.
     """
-    keyed = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"),
+    keyed = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"),
                         F.col(text_col).alias("text"))
     listed = lambda rows: rows.select(
         "row_key", "id", *([] if "wanted" not in rows.columns else ["wanted"]),
@@ -90,14 +91,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).select("row_key", "no")
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    divisor: int = DIVISOR, min_lines: int = MIN_LINES,
-                    long_words: int = LONG_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``, the text without repeats, and ``removed_chunks``.
+def cut_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             divisor: int = DIVISOR, min_lines: int = MIN_LINES,
+             long_words: int = LONG_WORDS) -> DataFrame:
+    """(row, removed): every row as a struct, its text without repeats, and how many chunks went.
 
     A chunk (two or more lines, or one line of ``long_words`` words) that occurs more than once in
     the corpus stays at its first place only: smallest id (null ids last), then chunk number. A
@@ -108,7 +105,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = staged(repeated_chunks(docs, id_col, text_col, divisor, min_lines, long_words).groupBy(
         "row_key").agg(F.collect_set("no").alias("gone_chunks")), "gone")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                         _row_key(id_col, text_col).alias("row_key"))
+                         row_key(id_col, text_col).alias("row_key"))
     joined = packed.join(gone.hint("merge"), "row_key", "left")
     own = F.col(f"row.`{text_col}`")
     kept = F.filter(chunks(own, divisor, long_words),
@@ -116,5 +113,18 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.when(F.col("gone_chunks").isNull(), own).otherwise(
         F.array_join(F.flatten(F.transform(kept, lambda c: c["lines"])), "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns],
-        F.coalesce(F.size("gone_chunks"), F.lit(0)).alias("removed_chunks"))
+        F.struct(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c)
+                   for c in docs.columns]).alias("row"),
+        F.coalesce(F.size("gone_chunks"), F.lit(0)).alias("removed"))
+
+
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    divisor: int = DIVISOR, min_lines: int = MIN_LINES,
+                    long_words: int = LONG_WORDS) -> DataFrame:
+    """All columns of ``docs`` as :func:`cut_rows` leaves them, and ``removed_chunks``.
+
+    A column of that name in ``docs`` is replaced.
+    """
+    cut = cut_rows(docs, id_col, text_col, divisor, min_lines, long_words)
+    kept = [c for c in docs.columns if c != "removed_chunks"]
+    return cut.select(*[F.col(f"row.`{c}`") for c in kept], F.col("removed").alias("removed_chunks"))

@@ -151,6 +151,7 @@ RING = 12           # segments of a ring
 FINE = 4            # shingles of a segment on the finer level, about
 BUDGET = 14         # differing bits that a segment may have on average
 SLOTS = 1 << 20     # counters that order shingles from rare to frequent
+MAPS = 8            # 64-bit numbers of a set's parity bitmap
 
 
 def ring_prints(hashes: np.ndarray) -> list[tuple[int, list[int | None]]]:
@@ -250,26 +251,36 @@ def _ring_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _open_texts(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, root): texts of the buckets whose texts are not all in one component yet.
-
-    ``root`` is a 64-bit hash of the component; a text without a link is its own.
-    """
+    """(key): texts of the buckets whose texts are not all in one component yet."""
     named = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "rings", F.xxhash64(F.coalesce("root", "key")).alias("root"))
     keyed = _segments(staged(named, "named"), "key", "root")
     mixed = keyed.groupBy(*BUCKET).agg(
         F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    return keyed.join(mixed, BUCKET).select("key", "root").distinct()
+    return keyed.join(mixed, BUCKET).select("key").distinct()
 
 
-def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): a superset of all pairs of different components that reach ``similarity``; exact.
+MAP_NAMES = [f"m{i}" for i in range(MAPS)]
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: a bit is 1 if an odd number of the hashes fall on it.
+
+    Two sets' maps differ in at most as many bits as the sets in elements.
+    """
+    bit = (hashes.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    odd = np.bincount((bit % np.uint64(64 * MAPS)).astype(np.int64), minlength=64 * MAPS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
 
-    ``sets``: (key, root, set of distinct shingle hashes). Prefix filter: with all sets in one
+def _rare_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, h, size, place, short, maps): what a similar text shares of each text; exact.
+
+    ``sets``: (key, set of distinct shingle hashes). Prefix filter: with all sets in one
     order of shingles, two similar sets share one of the first ones of both: the shorter one's
-    first n - ceil(2t / (1 + t) * n) + 1 and the longer one's first n - ceil(t * n) + 1. The order
-    is from rare to frequent, by a table of ``SLOTS`` counters (any order is exact), so that
-    shared boilerplate comes last. Places and sizes bound the overlap that a pair can have.
+    first n - ceil(2t / (1 + t) * n) + 1 (``short``) and the longer one's first n - ceil(t * n) + 1.
+    The order is from rare to frequent, by a table of ``SLOTS`` counters (any order is exact), so
+    that shared boilerplate comes last. ``m0`` and so on: the set's bitmap, see :func:`parity_map`.
     """
     slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1)).cast("int")
     found = sets.select(F.explode("set").alias("h")).groupBy(slot.alias("slot")).agg(
@@ -281,50 +292,86 @@ def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
     def first(batches):
         for batch in batches:
-            keys, roots, hashes, sizes, places, short = [], [], [], [], [], []
-            for key, root, own in zip(*batch.columns):
+            keys, hashes, sizes, places, short, maps = [], [], [], [], [], []
+            for key, own in zip(*batch.columns):
                 own = own.values.to_numpy(zero_copy_only=False)
                 counts = often[own & (SLOTS - 1)]
                 order = np.lexsort((own, counts))[:kept(len(own), ask)]
                 at = np.flatnonzero(counts[order] > 1)      # the others are in no second set
                 keys += [key.as_py()] * len(at)
-                roots += [root.as_py()] * len(at)
                 hashes.append(own[order[at]])
                 sizes += [len(own)] * len(at)
                 places.append(at)
                 short.append(at < kept(len(own), index))
+                maps.append(np.tile(parity_map(own), (len(at), 1)))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(roots, pa.int64()),
+                    [pa.array(keys, pa.binary()),
                      pa.array(np.concatenate(hashes), pa.int64()), pa.array(sizes, pa.int32()),
                      pa.array(np.concatenate(places), pa.int32()),
-                     pa.array(np.concatenate(short), pa.bool_())],
-                    names=["key", "root", "h", "size", "place", "short"])
-
-    rows = staged(sets.filter(F.size("set") > 0).mapInArrow(
-        first, "key binary, root bigint, h bigint, size int, place int, short boolean"), "first")
-    # Only pairs of different components are of use. The largest component of a shingle is not
-    # paired with itself, so a family that is joined already costs one pair per stray text.
-    main = rows.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias(
+                     pa.array(np.concatenate(short), pa.bool_()),
+                     *(pa.array(column) for column in np.concatenate(maps).T.copy())],
+                    names=["key", "h", "size", "place", "short", *MAP_NAMES])
+
+    return sets.filter(F.size("set") > 0).mapInArrow(
+        first, "key binary, h bigint, size int, place int, short boolean, "
+        + ", ".join(f"{name} bigint" for name in MAP_NAMES))
+
+
+def _mixed_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of shingles whose texts are in several components, with each text's ``root``.
+
+    ``root`` is a 64-bit hash of the component, ``main`` that of the shingle's largest one.
+    """
+    named = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "root", F.when(F.col("root").isNotNull(), F.xxhash64("root")).otherwise(F.xxhash64("key")))
+    main = named.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias(
         "short")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
                                    F.count(F.lit(1)).alias("roots"), F.max("short").alias(
                                        "short")).filter("roots > 1 AND short").drop("roots", "short")
-    mixed = staged(rows.join(main, "h"), "mixed")
-    side = lambda rows, name: rows.select("h", *[
-        F.col(c).alias(f"{name}_{c}") for c in ("key", "root", "size", "place")])
-    own, strays = F.col("root") == F.col("main"), F.col("root") != F.col("main")
-    both = (F.col("a_root") != F.col("b_root")) & (
-        F.struct("a_size", "a_key") < F.struct("b_size", "b_key")) & (
-        F.col("a_size") >= F.col("b_size") * similarity - 1e-9) & (
+    return staged(named.join(main, "h"), "mixed")
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("h", *[F.col(c).alias(f"{name}_{c}") for c in (
+        "key", "root", "size", "place", *MAP_NAMES)])
+
+
+def _can_reach(similarity: float) -> Column:
+    """Sizes, places and bitmaps leave room for the overlap that the similarity asks of a and b."""
+    small, large = (f(F.col("a_size"), F.col("b_size")) for f in (F.least, F.greatest))
+    total = F.col("a_size") + F.col("b_size")
+    differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MAP_NAMES),
+                 F.lit(0))
+    return (F.col("a_root") != F.col("b_root")) & (small >= large * similarity - 1e-9) & (
         F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
-        >= (F.col("a_size") + F.col("b_size")) * (similarity / (1 + similarity)) - 1e-9)
+        >= total * (similarity / (1 + similarity)) - 1e-9) & (
+        differ <= total * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a_key", "b_key").alias("u"),
+                        F.greatest("a_key", "b_key").alias("v")).distinct()
+
+
+def _rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): a superset of all pairs of different components that reach ``similarity``; exact.
+
+    ``sets``: (key, root, set); ``root`` names the component, null for a text without a link.
+    The largest component of a shingle is not paired with itself, so a family that is joined
+    already costs one pair per stray text; bitmaps keep the others of a family that is alike, but
+    below the bound, from being paired.
+    """
+    rows = staged(_rare_rows(sets.select("key", "set"), similarity), "first")
+    mixed = _mixed_rows(rows, sets.select(F.col("key").alias("node"), "root"))
+    own, strays = F.col("root") == F.col("main"), F.col("root") != F.col("main")
+    both = _can_reach(similarity) & (F.struct("a_size", "a_key") < F.struct("b_size", "b_key"))
     pairs = None
     for shorter, longer in ((strays, F.lit(True)), (own, strays)):
-        some = side(mixed.filter(F.col("short") & shorter), "a").join(
-            side(mixed.filter(longer), "b"), "h").filter(both)
+        some = _side(mixed.filter(F.col("short") & shorter), "a").join(
+            _side(mixed.filter(longer), "b"), "h").filter(both)
         pairs = some if pairs is None else pairs.union(some)
-    return pairs.select(F.least("a_key", "b_key").alias("u"),
-                        F.greatest("a_key", "b_key").alias("v")).distinct()
+    return _ordered(pairs)
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -374,8 +421,8 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links)
     left = staged(_open_texts(nodes, roots), "open")
     known = sets_of(left)
-    rest = staged(_rare_pairs(known.join(left, "key").select("key", "root", "set"), similarity),
-                  "rare_pairs")
+    named = known.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    rest = staged(_rare_pairs(named, similarity), "rare_pairs")
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(
         similar(rest, known)))
     place = F.struct(F.col(f"row.`{id_col}`").isNull().alias("unknown"),

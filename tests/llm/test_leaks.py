@@ -44,6 +44,15 @@ def test_same_as_brute_force(spark, monkeypatch, rows_broadcast):
         rows.append((300 + i, text(i, 100) + "\n" + " ".join(words) + " " + text(i + 60, 30)))
     rows += [(400, items[2][1]), (401, "hier Zwei\nworte dort"), (402, "x a b c a b c a b c a b c y"),
              (403, items[3][1].upper())]
+    # Halves swapped, sentences moved, shingles repeated: no start lines up with the item.
+    for i in range(8):
+        own = items[i][1].split()
+        half, third = len(own) // 2, len(own) // 3
+        rows += [(500 + i, " ".join(own[half:] + own[:half]) + " " + text(700 + i, 40)),
+                 (510 + i, text(720 + i, 40) + " " + " ".join(
+                     own[third:2 * third] + own[:third] + own[2 * third:])),
+                 (520 + i, " ".join(own[:third] * 3 + own[third:]))]
+    rows.append((530, " ".join(["a b c"] * 12)))
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.leaks(
         frame(spark, rows), table(spark, items)).collect()}
     want = {}
@@ -56,6 +65,7 @@ def test_same_as_brute_force(spark, monkeypatch, rows_broadcast):
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
     assert {j for i, j in got if i == 300} == {0, 8}
+    assert sum(500 <= i < 520 for i, _ in got if i) >= 5
 
 
 def test_clean_documents_and_empty_tables(spark):

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from adsight.llm import line_chunks as L
 from data import awkward, frame, text
@@ -66,3 +67,28 @@ def test_long_repeated_line_goes_and_short_ones_stay(spark):
 
 def test_empty_table(spark):
     assert L.remove_repeated(frame(spark, [])).count() == 0
+
+
+def test_a_column_named_like_the_count(spark):
+    import corpus_pipeline
+
+    shared = "\n".join(text(90 + i, 12, 1) for i in range(9))
+    rows = [(1, shared), (2, shared + "\nx"), (3, None)]
+    docs = frame(spark, rows).withColumn("removed_chunks", F.lit("own")).withColumn("row", F.lit(7))
+    got = L.remove_repeated(docs)
+    assert sorted(got.columns) == sorted(docs.columns)
+    assert {r["doc_id"]: r["removed_chunks"] > 0 for r in got.collect()} == {
+        1: False, 2: True, 3: False}
+    kept = corpus_pipeline.line_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    for r in kept.collect():
+        assert (r["removed_chunks"], r["row"], r["n_chars"]) == ("own", 7, len(r["text"] or ""))
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    from adsight.llm.common import row_key
+
+    rows = [(None, None), (None, ""), (1, None), (1, ""), (1, "-"), (1, "+"), (11, ""), (None, "1")]
+    keys = spark.createDataFrame(rows, "doc_id bigint, text string").select(
+        row_key("doc_id", "text").alias("k")).collect()
+    assert len({bytes(r["k"]) for r in keys}) == len(rows)

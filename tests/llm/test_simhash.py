@@ -1,8 +1,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from adsight.llm import simhash_dedup as S
 from adsight.llm.graph import components
@@ -87,3 +89,29 @@ def test_long_text_is_counted_whole(spark, monkeypatch):
     changed = long + " " + text(9, 400)
     for value in (long, changed):
         assert S.simhash(value.encode(), 3) % (1 << 64) == slow_print(value)
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    pick = np.random.default_rng(3)
+    for size in (1, 5, 60, 900):
+        a = pick.integers(-2**62, 2**62, size)
+        b = np.concatenate((a[size // 4:], pick.integers(-2**62, 2**62, size // 5)))
+        differ = sum((int(x) ^ int(y)).bit_count() if (x ^ y) >= 0 else 64 - (~(int(x) ^ int(y))).bit_count()
+                     for x, y in zip(S.parity_map(a), S.parity_map(b)))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_pairs_of_one_large_shingle_group(spark):
+    """2000 texts share most shingles; exactly those at the bound are paired, the rest are pruned."""
+    pick = np.random.default_rng(5)
+    base = pick.integers(0, 2**62, 60)
+    own = pick.integers(0, 2**62, (2000, 16))
+    sets = [sorted({*base.tolist(), *(own[i].tolist() if i % 400 else own[0, :6].tolist() + [i])})
+            for i in range(2000)]
+    frame_of = spark.createDataFrame([(bytes([i // 256, i % 256]), s) for i, s in enumerate(sets)],
+                                     "key binary, set array<bigint>").withColumn(
+        "root", F.lit(None).cast("binary"))
+    number = lambda k: k[0] * 256 + k[1]
+    got = {(number(r["u"]), number(r["v"])) for r in S._rare_pairs(frame_of, 0.8).collect()}
+    close = {(i, j) for i in range(0, 2000, 400) for j in range(i + 400, 2000, 400)}
+    assert close <= got and len(got) < 20_000
