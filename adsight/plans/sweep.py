@@ -42,11 +42,16 @@ def signals_for(
 
 def analyse(
     ads: DataFrame, web: DataFrame, store: DataFrame, context: Context,
-    start: dt.date, end: dt.date,
+    start: dt.date, end: dt.date, children: DataFrame | None = None,
 ) -> DataFrame:
-    """Detect, suppress, score, roll up and group; one row per as-of date and entity."""
+    """Detect, suppress, score, roll up and group; one row per as-of date and entity.
+
+    ``children``: a stored :func:`group.child_counts`; with it only the days that the dates reach
+    are read, without it the hierarchy comes from all facts.
+    """
     ranked, _ = signals_for(ads, web, store, context, start, end)
-    return G.group_opportunities(G.most_specific(ranked, G.child_counts(ads)))
+    return G.group_opportunities(G.most_specific(
+        ranked, G.child_counts(ads) if children is None else children))
 
 
 def investigate(
@@ -104,7 +109,7 @@ def refresh(
     dates = staged(dates, "dates")
     first, last = dates.agg(F.min("as_of"), F.max("as_of")).first()
     if first is not None:
-        found = analyse(ads, web, store, context, first, last)
+        found = analyse(ads, web, store, context, first, last, children)
         rows = staged(dates.join(found, "as_of", "left"), "found")
         spread = rows.count() // WH.FILE_ROWS + 1
         rows.repartition("as_of", F.pmod(F.xxhash64("opportunity"), F.lit(spread))).write.mode(

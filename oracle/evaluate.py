@@ -15,11 +15,12 @@ SELECT *, CASE WHEN k % 16 = 6 THEN CAST([] AS VARCHAR[]) WHEN kind = 'creative_
    'age_group:' || concat_ws('/', src, k % 40 % 10, pid) || '|' || age,
    'campaign:' || concat_ws('/', src, k % 40 % 10)]
   WHEN kind = 'cpc_spike' THEN ['campaign:' || src || '/' || pid] ELSE ['channel:' || src] END AS entities,
- list_distinct(list_concat([['cpa', 'ctr', 'cpc', 'roas', 'spend'][k % 5 + 1]], CASE kind
+ ['cpa', 'ctr', 'cpc', 'roas', 'spend'][k % 5 + 1] AS main, CASE kind
   WHEN 'creative_fatigue' THEN ['roas', 'cvr'] WHEN 'audience_mismatch' THEN ['roas']
   WHEN 'channel_opportunity' THEN ['mer', 'store_revenue'] WHEN 'cpc_spike' THEN ['roas']
   WHEN 'landing_page_break' THEN ['bounce_rate', 'atc_rate', 'checkout_rate', 'purchase_rate',
-   'web_cvr'] ELSE CAST([] AS VARCHAR[]) END)) AS metrics,
+   'web_cvr'] ELSE CAST([] AS VARCHAR[]) END AS extra,
+ list_distinct(list_concat([main], extra)) AS metrics,
  CASE kind WHEN 'tracking_break' THEN ['tracking_break'] WHEN 'budget_overpace' THEN ['goal_breach']
   ELSE CAST([] AS VARCHAR[]) END AS detectors,
  CASE kind WHEN 'channel_opportunity' THEN 'win' ELSE 'issue' END AS kind_expected,
@@ -32,6 +33,15 @@ SELECT *, CASE WHEN k % 16 = 6 THEN CAST([] AS VARCHAR[]) WHEN kind = 'creative_
    WHEN 1 THEN CAST(s_suppkey % 40 AS VARCHAR) ELSE CAST(s_suppkey % 10 AS VARCHAR) END AS pid,
   ['google_ads', 'meta_ads'][s_suppkey % 2 + 1] AS src,
   ['18-24', '25-34', '35-44', '45+'][s_suppkey % 4 + 1] AS age FROM supplier)""")
+SQL["read_labelled_events"] = with_("ev", """
+SELECT id, kind, s AS start, e AS "end", CASE WHEN k % 2 = 0 THEN 'sudden' ELSE 'gradual' END AS onset,
+ array_to_string(entities, ',') AS entities, array_to_string(list_concat(
+  [main], list_filter(extra, lambda x: x <> main)), ',') AS metrics,
+ array_to_string(detectors, ',') AS detectors, kind_expected,
+ ['baseline_change', 'goal_breach'][k % 2 + 1] AS expected_signal_type,
+ CASE WHEN injected THEN ['rotate_creative', 'refine_audience', 'investigate_landing_page',
+  'shift_budget', 'shift_budget', 'fix_tracking', 'adjust_pacing', 'none'][k % 8 + 1] END
+  AS expected_action, injected FROM ev""")
 CTES["sight"] = (("ad",), """
 SELECT *, CASE WHEN cpa > 800 THEN 'issue' ELSE 'win' END AS kind,
  ['roas', 'ctr', 'cpc'][clicks % 3 + 1] AS second,
