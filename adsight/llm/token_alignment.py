@@ -35,7 +35,7 @@ class Csr:
     @classmethod
     def incidence(cls, sizes: np.ndarray) -> Csr:
         """Row i covers the next ``sizes[i]`` columns: a token and its bytes."""
-        starts = _ends(sizes)
+        starts = running(sizes)
         return cls(starts, np.arange(starts[-1]), np.ones(starts[-1], np.int64), int(starts[-1]))
 
     @classmethod
@@ -50,7 +50,7 @@ class Csr:
     def transpose(self) -> Csr:
         """Rows become columns, by a counting sort over the columns."""
         order = np.argsort(self.columns, kind="stable")
-        starts = _ends(np.bincount(self.columns, minlength=self.width))
+        starts = running(np.bincount(self.columns, minlength=self.width))
         return Csr(starts, self.rows()[order], self.values[order], len(self.starts) - 1)
 
     def times(self, other: Csr) -> Csr:
@@ -59,23 +59,23 @@ class Csr:
         All rows are expanded at once; what falls on the same place is added up.
         """
         sizes = np.diff(other.starts)[self.columns]
-        taken = _spans(other.starts[self.columns], sizes)
+        taken = ranges_of(other.starts[self.columns], sizes)
         place = np.repeat(self.rows(), sizes) * other.width + other.columns[taken]
         value = np.repeat(self.values, sizes) * other.values[taken]
         order = np.argsort(place, kind="stable")
         place, value = place[order], value[order]
         first = np.flatnonzero(np.diff(place, prepend=-1))
         rows, columns = place[first] // max(other.width, 1), place[first] % max(other.width, 1)
-        return Csr(_ends(np.bincount(rows, minlength=len(self.starts) - 1)), columns,
+        return Csr(running(np.bincount(rows, minlength=len(self.starts) - 1)), columns,
                    np.add.reduceat(value, first) if len(first) else value, other.width)
 
 
-def _ends(sizes: np.ndarray) -> np.ndarray:
+def running(sizes: np.ndarray) -> np.ndarray:
     """0 and the running sums."""
     return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges_of(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Concatenated ranges start..start + size."""
     ends = np.cumsum(sizes)
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
@@ -83,7 +83,7 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches, exact; empty stretches give 0."""
-    return np.diff(_ends(values)[starts])
+    return np.diff(running(values)[starts])
 
 
 class Tokenizers:
@@ -247,7 +247,7 @@ class Lexicon:
     def take(self, name: str, units: np.ndarray) -> np.ndarray:
         """Values of one kind over a sequence of units."""
         starts = self.starts[{"l": "links", "s": "shared"}.get(name[0], name[0])]
-        return self.flat[name][_spans(starts[units], starts[units + 1] - starts[units])]
+        return self.flat[name][ranges_of(starts[units], starts[units + 1] - starts[units])]
 
     def sizes(self, name: str, units: np.ndarray) -> np.ndarray:
         """How many values each unit has."""
@@ -260,16 +260,16 @@ class Aligned:
     def __init__(self, lexicon: Lexicon, texts: list[bytes]):
         self.lexicon = lexicon
         full = [b" " + text if text else b"" for text in texts]
-        ends = _ends(np.array([len(text) for text in full], np.int64))
+        ends = running(np.array([len(text) for text in full], np.int64))
         raw = b"".join(full)
-        units = _cut(raw, ends)
+        units = unit_starts(raw, ends)
         numbers = lexicon.numbers([raw[i:j] for i, j in zip(units[:-1].tolist(),
                                                             units[1:].tolist())])
         starts = np.searchsorted(units, ends)   # an empty text begins where the next one does
         spoiled = _sums(~lexicon.whole[numbers], starts) > 0
         kept = np.repeat(~spoiled, np.diff(starts))
         self.units = numbers[kept]
-        self.starts = _ends(_sums(kept, starts))    # where each text's units begin
+        self.starts = running(_sums(kept, starts))    # where each text's units begin
 
     def per_text(self, name: str) -> np.ndarray:
         """Tokens, links, or shared-group links of every text."""
@@ -294,7 +294,7 @@ class Aligned:
         return lexicon.flat["b"][b_at] << 32 | lexicon.flat["a"][a_at]
 
 
-def _cut(raw: bytes, ends: np.ndarray) -> np.ndarray:
+def unit_starts(raw: bytes, ends: np.ndarray) -> np.ndarray:
     """Starts of the units of concatenated texts, and the end."""
     codes = np.frombuffer(raw, np.uint8)
     seen = (codes > 32) & (codes < 127)
@@ -365,7 +365,7 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             before = {}     # tokens and groups of the same text before each unit
             for name, own in (("a", lexicon.sizes("a", units)), ("b", lexicon.sizes("b", units)),
                               ("group", lexicon.groups[units])):
-                ends = _ends(own)
+                ends = running(own)
                 before[name] = ends[:-1] - ends[block.starts[text]]
             columns = [ids]
 
@@ -378,14 +378,14 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for name in lists.values():
                 sizes = lexicon.sizes(name[0], units)
                 columns.append(pa.LargeListArray.from_arrays(
-                    _ends(_sums(sizes, block.starts)), placed(name, sizes)).cast(
+                    running(_sums(sizes, block.starts)), placed(name, sizes)).cast(
                         pa.list_(pa.int64())))
             for name, parts in nested.items():
                 sizes = lexicon.sizes(name, units)
                 values = pa.StructArray.from_arrays(
                     [pa.array(placed(p, sizes)) for p in parts], ["a", "b", "bytes"][:len(parts)])
                 columns.append(pa.ListArray.from_arrays(
-                    _ends(_sums(sizes, block.starts)).astype(np.int32), values))
+                    running(_sums(sizes, block.starts)).astype(np.int32), values))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, *lists, *nested])
 
     return _narrow(docs, id_col, text_col).mapInArrow(scan, schema)
@@ -541,7 +541,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              | told["a_id"].to_numpy().astype(np.uint64))
         n[at] = told["n"].to_numpy()
         best[at] = told["best"].to_numpy(zero_copy_only=False)
-        links, starts = unpack_counts(row["links"]), _ends(unpack_counts(row["of_text"]))
+        links, starts = unpack_counts(row["links"]), running(unpack_counts(row["of_text"]))
         at = (places % np.uint64(max(len(pairs), 1))).astype(np.int64)
         return pa.table({
             id_col: pa.array(row["ids"], texts.schema.field("ids").type.value_type),

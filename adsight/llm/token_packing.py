@@ -3,46 +3,82 @@
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adsight.llm.token_alignment import ranges_of, running, unit_starts
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_TOKENS = 2_000_000    # tokens that are packed together; bounds a task's memory
-CACHED = 100_000            # pieces of text whose ids a task remembers
-
+CACHED = 150_000            # units of text whose ids a task remembers
+RUN_BYTES = 16_384          # units that are encoded as one text
+BATCH_BYTES = 2 << 20       # text that is encoded together
 
-def encoder(ranks_file: bytes) -> Callable[[str], list[int]]:
-    """Ids of a text. Cuts before a single blank between other characters never fall inside a
-    token of this pattern, so the pieces between them are encoded once and remembered."""
-    import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
-    encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks,
-                               special_tokens={}).encode_ordinary
-    cut = re.compile(r"(?<=\S)(?= \S)").split
-    known: dict[str, list[int]] = {}
+class UnitEncoder:
+    """Ids of whole texts from those of their units, which are encoded once and remembered.
 
-    def ids(text: str) -> list[int]:
-        out: list[int] = []
-        for piece in cut(text):
-            found = known.get(piece)
-            if found is None:
-                if len(known) >= CACHED:
-                    known.clear()
-                found = known[piece] = encode(piece)
-            out += found
-        return out
+    Texts are cut before single blanks between visible ASCII characters; no token of this pattern
+    crosses such a place, so the ids of a text are those of its units in sequence. New units that
+    begin and end in visible characters are encoded in runs and told apart by their bytes.
+    """
 
-    return ids
+    def __init__(self, ranks_file: bytes):
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks,
+                                        special_tokens={}).encode_ordinary
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, number in ranks.items():
+            self.sizes[number] = len(token)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _add(self, units: list[bytes]) -> None:
+        clean = [len(u) > 1 and u[0] == 32 < u[1] < 127 and 32 < u[-1] < 127 for u in units]
+        found, at = [], 0
+        while at < len(units):
+            end, held = at + 1, len(units[at])
+            while clean[end - 1] and end < len(units) and clean[end] and held < RUN_BYTES:
+                held += len(units[end])
+                end += 1
+            found.append(np.array(self.encode(b"".join(units[at:end]).decode()), np.int32))
+            at = end
+        new = np.concatenate(found)
+        ends = np.searchsorted(np.cumsum(self.sizes[new]),
+                               np.cumsum([len(u) for u in units]), side="right")
+        self.starts = np.concatenate((self.starts, ends + len(self.flat)))
+        self.flat = np.concatenate((self.flat, new))
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of every text."""
+        ends = running(np.array([len(text) for text in texts], np.int64))
+        raw = b"".join(texts)
+        cuts = unit_starts(raw, ends)
+        known, before = self.known, len(self.known)
+        numbers = np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip(
+            cuts[:-1].tolist(), cuts[1:].tolist())], np.int64)
+        if len(known) > before:
+            self._add(list(known)[before:])
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        flat = self.flat[ranges_of(self.starts[numbers], sizes)]
+        bounds = running(sizes)[np.searchsorted(cuts, ends)]
+        if len(known) > CACHED:
+            self.clear()
+        return [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 class CapacityTree:
@@ -146,19 +182,26 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             [pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
     def scan(batches) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks.value)
+        encoder = UnitEncoder(ranks.value)
         shard = TaskContext.get().partitionId() << 32
         names, tokens, held = [], [], 0
         for batch in batches:
-            for name, text in zip(batch.column(0), batch.column(1)):
-                names.append(name.as_py())
-                tokens.append(np.array(encode(text.as_py() or ""), kind))
-                held += len(tokens[-1])
-                if held >= SHARD_TOKENS:
-                    yield rows(shard, names, tokens, batch.schema.field(0).type)
-                    shard, names, tokens, held = shard + 1, [], [], 0
             id_type = batch.schema.field(0).type
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            part = np.cumsum(sizes) // BATCH_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(edges, edges[1:]):
+                own = batch.slice(first, last - first)
+                found = encoder.ids([t or b"" for t in own.column(1).to_pylist()])
+                for name, ids in zip(own.column(0).to_pylist(), found):
+                    names.append(name)
+                    tokens.append(ids)
+                    held += len(ids)
+                    if held >= SHARD_TOKENS:
+                        yield rows(shard, names, tokens, id_type)
+                        shard, names, tokens, held = shard + 1, [], [], 0
         if names:
             yield rows(shard, names, tokens, id_type)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text_bytes")).mapInArrow(
+        scan, schema)

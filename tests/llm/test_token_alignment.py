@@ -123,7 +123,7 @@ def test_row_products_equal_dense_ones():
         n, k, m = (pick.randint(0, 7) for _ in range(3))
         dense = [np.array([[pick.choice([0, 0, 1, 2]) for _ in range(w)] for _ in range(h)],
                           np.int64).reshape(h, w) for h, w in ((n, k), (k, m))]
-        a, b = (ta.Csr(ta._ends((d > 0).sum(axis=1)), np.nonzero(d)[1], d[np.nonzero(d)],
+        a, b = (ta.Csr(ta.running((d > 0).sum(axis=1)), np.nonzero(d)[1], d[np.nonzero(d)],
                        d.shape[1]) for d in dense)
         got, want = a.times(b), dense[0] @ dense[1]
         out = np.zeros((n, m), np.int64)
