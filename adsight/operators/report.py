@@ -574,6 +574,9 @@ def evidence_numbers(detail: DataFrame) -> DataFrame:
     return detail.select("row_key", F.explode(numbers).alias("value"))
 
 
+QUOTED = 12     # numbers of an opportunity that are quotable unscaled
+
+
 def quotable_numbers(opportunities: DataFrame) -> DataFrame:
     """Every number a text about an opportunity may quote: values, shown values, dates, scales."""
     shown = lambda c: WD.as_shown("primary_metric", c)

@@ -13,7 +13,7 @@ from adsight.operators import trust as TR
 from adsight.plans.detect_queries import whole_tracking
 from adsight.plans.explain_queries import explained, share_of, stored
 from adsight.plans.queries import query
-from adsight.plans.stages import staged
+from adsight.plans.stages import distinct_rows, staged
 from adsight.sources import testtables as T
 from adsight.sources import warehouse as WH
 
@@ -172,8 +172,9 @@ def _(spark, sf):
 
 @query("quotable_numbers")
 def _(spark, sf):
-    return R.quotable_numbers(T.opportunities(spark, sf)).select(
-        "id", F.round("value", 6).alias("value")).distinct()
+    opportunities = T.opportunities(spark, sf)
+    numbers = R.quotable_numbers(opportunities).select("id", F.round("value", 6).alias("value"))
+    return distinct_rows(numbers, opportunities.count() * R.QUOTED)
 
 
 # --- text checks --------------------------------------------------------------------------
