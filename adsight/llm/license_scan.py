@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,7 +70,7 @@ def _let(value: Column, function) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
 
 
 def _runs(tokens: Column, size: int, value) -> Column:
@@ -113,8 +115,8 @@ class Vocabulary:
                 return False
         return True
 
-    def numbers(self, hashes: Column) -> Column:
-        """The numbers of the known grams of an array of gram hashes."""
+    def places(self, hashes: Column) -> Column:
+        """The number of every gram of an array of gram hashes, 0 for unknown ones."""
         sides = []
         for table in self.tables:
             keys = [self.hashes[n - 1] if n else 0 for n in table]
@@ -127,7 +129,11 @@ class Vocabulary:
             b = F.shiftright(h, 20).bitwiseAND(F.lit(self.size - 1)).cast("int")
             return F.when(keys_a[a] == h, ids_a[a]).when(keys_b[b] == h, ids_b[b]).otherwise(0)
 
-        return F.filter(F.transform(hashes, number), lambda n: n > 0)
+        return F.transform(hashes, number)
+
+    def numbers(self, hashes: Column) -> Column:
+        """The numbers of the known grams of an array of gram hashes."""
+        return F.filter(self.places(hashes), lambda n: n > 0)
 
 
 def _bigint(value: int) -> str:
@@ -148,37 +154,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 MARKS = "^[\\s/*#;%!<>|-]+|[\\s*/<>|-]+$"     # of comments, at both ends of a line
-
-
-def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_key, id, paragraph, last, body): the non-blank lines, and the paragraphs of several lines.
-
-    A paragraph is a run of lines that are not blank without their comment marks, joined by
-    blanks; it stands from line ``paragraph`` to line ``last``. For a line the two are equal.
-    """
-    def unit(first: Column, last: Column, body: Column) -> Column:
-        return F.struct(first.cast("int").alias("paragraph"), last.cast("int").alias("last"),
-                        body.alias("body"))
-
-    def listed(lines: Column) -> Column:
-        bare = F.transform(lines, lambda l: F.regexp_replace(l, MARKS, ""))
-        single = F.filter(F.transform(lines, lambda l, i: unit(i, i, l)),
-                          lambda u: F.length(F.trim(u["body"])) > 0)
-        return F.concat(single, _let(bare, runs))
-
-    def runs(bare: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(bare) - 1)
-        blank = lambda i: F.coalesce(F.get(bare, i) == "", F.lit(True))
-        starts = F.filter(places, lambda i: ~blank(i) & blank(i - 1))
-        ends = F.filter(places, lambda i: ~blank(i) & blank(i + 1))
-        whole = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: r["b"] > r["a"])
-        return F.transform(whole, lambda r: unit(r["a"], r["b"], F.array_join(
-            F.slice(bare, r["a"] + 1, r["b"] - r["a"] + 1), " ")))
-
-    return docs.select(
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col),
-        F.explode(_let(F.split(F.col(text_col), "\n"), listed)).alias("unit")).select(
-        "row_key", id_col, "unit.*")
+NO_MARK = "[^\\s/*#;%!<>|-]"                 # in every line that is more than marks
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -238,6 +214,10 @@ class Model:
 
     def logits(self, hashes: Column) -> Column:
         """Score of every family: mean weight of the grams of a paragraph, plus its intercept."""
+        return _let(hashes, lambda h: self.logits_of(self.vocabulary.numbers(h), F.size(h)))
+
+    def logits_of(self, known: Column, count: Column) -> Column:
+        """Scores from the numbers of the known grams and the count of all grams."""
         tables = [F.expr(f"array({', '.join(f'{w:.9f}D' for w in row)})") for row in self.weights]
 
         def score(known: Column, count: Column, no: int) -> Column:
@@ -248,8 +228,23 @@ class Model:
         def scores(pair: Column) -> Column:
             return F.array(*[score(pair["known"], pair["n"], no) for no in range(len(tables))])
 
-        return _let(_let(hashes, lambda h: F.struct(
-            self.vocabulary.numbers(h).alias("known"), F.size(h).alias("n"))), scores)
+        return _let(F.struct(known.alias("known"), count.alias("n")), scores)
+
+    def lead(self, known: Column, unknown: Column) -> Column:
+        """What the scores of some grams lead by at most: no family leads by more, times all grams.
+
+        ``known``: numbers of the known grams; ``unknown``: how many others, padding included.
+        Every gram adds the largest lead of a family over the unknown class, intercepts included.
+        """
+        table = F.expr(f"array({', '.join(f'{x:.9f}D' for x in self.leads())})")
+        return F.aggregate(known, unknown * self.leads()[0], lambda total, n: total + table[n])
+
+    def leads(self) -> list[float]:
+        """The largest lead of a family over the unknown class, by gram."""
+        unknown = self.families.index(UNKNOWN)
+        return [max(row[i] - self.weights[unknown][i] + shift - self.shifts[unknown] for no, (
+            row, shift) in enumerate(zip(self.weights, self.shifts)) if no != unknown)
+            for i in range(len(self.vocabulary.hashes) + 1)]
 
     def probabilities(self, logits: Column, temperature: float | None = None) -> Column:
         """Softmax of the scores divided by the temperature."""
@@ -299,6 +294,91 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     return model
 
 
+def units(docs: DataFrame, id_col: str, text_col: str, model: Model, marks: Column,
+          least: int) -> DataFrame:
+    """The non-blank lines, and the paragraphs of several lines, that may be notices.
+
+    Columns: row_key, id, paragraph, last, body, chances of the families, found triples. A paragraph
+    is a run of lines that are not blank without their comment marks, joined by blanks; it stands
+    from line ``paragraph`` to line ``last``. For a line the two are equal. Left out are units
+    for which no family can be the best and, if they have several lines, with fewer than ``least``
+    of the triples ``marks``. Words are split and looked up once per line: comment marks hold none,
+    so the words of a paragraph are those of its lines. One generator yields all, as columns that
+    a filter reads are evaluated again for it.
+    """
+    lookup, top = model.vocabulary.places, max(model.leads())
+    known = lambda places: F.filter(places, lambda n: n > 0)
+    none = F.array().cast("array<bigint>")
+
+    def unit(first: Column, last: Column, body: Column, t: Column, single: Column,
+             wanted: Column) -> Column:
+        """An array of the unit, if it may be a notice. t: its words, single: their numbers."""
+        size, several = F.size(t), last > first
+
+        def pairs() -> Column:      # both words of a known pair are known
+            return lookup(F.transform(F.filter(
+                F.sequence(F.lit(0), size - 2), lambda i: (single[i] > 0) & (single[i + 1] > 0)),
+                lambda i: F.xxhash64(t[i], t[i + 1])))
+
+        def known_triples() -> Column:
+            return F.array_intersect(marks, F.transform(F.filter(
+                F.sequence(F.lit(0), size - 3), lambda i: (single[i] > 0) & (single[i + 1] > 0)
+                & (single[i + 2] > 0)), lambda i: F.xxhash64(t[i], t[i + 1], t[i + 2])))
+
+        def judged(words: Column) -> Column:
+            count = F.size(words)
+            # All pairs of known words at best: as many as words, of the largest lead.
+            rest = 2 * size - 1 + PADDING - 2 * count
+            hope = model.lead(words, rest) + count * top >= (2 * size + PADDING) * -1e-6
+            total = F.greatest(2 * size - 1, F.lit(0))
+            leads = lambda w: model.lead(w, total + PADDING - F.size(w)) >= (
+                total + PADDING) * -1e-6
+            both = F.when(size > 1, F.concat(words, known(pairs()))).otherwise(words)
+            possible = F.when(hope, _let(both, leads)).otherwise(F.lit(False))
+            return _let(possible, lambda p: told(p, total))
+
+        def told(possible: Column, total: Column) -> Column:
+            found = F.when((possible | several) & (size > 2), known_triples()).otherwise(none)
+            return _let(found, lambda f: F.when(possible | (several & (F.size(f) >= least)), rows(
+                f, total)))
+
+        def rows(f: Column, total: Column) -> Column:
+            whole = F.when(size > 1, F.concat(known(single), known(pairs()))).otherwise(
+                known(single))
+            chances = model.probabilities(model.logits_of(whole, total))
+            return F.array(F.struct(
+                first.cast("int").alias("paragraph"), last.cast("int").alias("last"),
+                body.alias("body"), chances.alias("chances"), f.alias("found")))
+
+        return F.when(wanted, _let(known(single), judged))
+
+    def read(line: Column) -> Column:
+        return _let(terms(line), lambda t: F.struct(
+            line.alias("line"), F.rlike(line, F.lit(NO_MARK)).alias("full"), t.alias("t"),
+            lookup(F.transform(t, lambda w: F.xxhash64(w))).alias("n")))
+
+    def listed(lines: Column) -> Column:
+        single = F.transform(lines, lambda l, i: unit(
+            i, i, l["line"], l["t"], l["n"], F.length(F.trim(l["line"])) > 0))
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        full = lambda i: F.coalesce(F.get(lines, i)["full"], F.lit(False))
+        starts = F.filter(places, lambda i: full(i) & ~full(i - 1))
+        ends = F.filter(places, lambda i: full(i) & ~full(i + 1))
+        runs = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: r["b"] > r["a"])
+        whole = F.transform(runs, lambda r: _let(
+            F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), lambda part: _let(F.struct(
+                F.flatten(part["t"]).alias("t"), F.flatten(part["n"]).alias("n")), lambda w: unit(
+                r["a"], r["b"], F.array_join(F.transform(
+                    part["line"], lambda l: F.regexp_replace(l, MARKS, "")), " "),
+                w["t"], w["n"], F.lit(True)))))
+        return F.flatten(F.filter(F.concat(single, whole), lambda u: u.isNotNull()))
+
+    return docs.select(
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col),
+        F.explode(_let(F.transform(F.split(F.col(text_col), "\n"), read), listed)).alias(
+            "unit")).select("row_key", id_col, "unit.*")
+
+
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """One row per notice: a non-blank line or a paragraph of several lines of a licence family.
@@ -325,16 +405,15 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
         F.lit(family).alias("family"), F.greatest(F.lit(0.0), *[share(found, t) for t in own]).alias(
             "similarity"), F.get("chances", F.lit(model.families.index(family))).alias("chance"))
         for family, own in sorted(lists.items())])
-    scored = units(docs, id_col, text_col).withColumn(
-        "tokens", terms(F.col("body"))).withColumn(
-        "chances", model.probabilities(model.logits(grams(F.col("tokens"))))).withColumn(
-        "found", F.array_intersect(marks, triples(F.col("tokens"))))
+    # Fewer triples than this confirm no template.
+    least = min(math.ceil(CONFIRMED * len(t) - 1e-9) for own in lists.values() for t in own)
+    several = F.col("last") > F.col("paragraph")
+    scored = units(docs, id_col, text_col, model, marks, least)
     best = F.array_max("chances")
     chosen = scored.select("*", F.when(best >= CERTAIN, F.get(
         F.lit(model.families), (F.array_position("chances", best) - 1).cast("int"))).alias(
         "family")).filter((F.col("family") != UNKNOWN) | (
-            (F.col("last") > F.col("paragraph")) & (F.size("found") > 0)))
-    several = F.col("last") > F.col("paragraph")
+            several & (F.size("found") >= least)))
     rows = staged(chosen.select(
         "row_key", id_col, "paragraph", "last", "body", "family", F.explode(
             _let(F.col("found"), near)).alias("n")).filter(

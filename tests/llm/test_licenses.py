@@ -102,3 +102,66 @@ def test_vocabulary_knows_exactly_its_grams(spark, monkeypatch, size):
     got = spark.createDataFrame([(grams + others,)], "h array<bigint>").select(
         vocabulary.numbers(F.col("h")).alias("n")).first()["n"]
     assert [vocabulary.hashes[n - 1] for n in got] == grams
+
+
+def plain_paragraphs(rows):
+    """(doc_id, paragraph, last, body) of the paragraphs of several lines."""
+    import re
+    out = []
+    for i, whole in rows:
+        lines = [re.sub(S.MARKS, "", line, flags=re.ASCII) for line in (whole or "").split("\n")]
+        at = 0
+        while at < len(lines):
+            end = at
+            while end < len(lines) and lines[end]:
+                end += 1
+            if end > at + 1:
+                out.append((i, at, end - 1, " ".join(lines[at:end])))
+            at = max(end, at + 1)
+    return out
+
+
+@pytest.mark.parametrize("lift", [-1.0, 0.0, 3.0])
+def test_bounds_leave_out_no_unit_of_a_family(spark, corpus, lift):
+    import random
+    pick = random.Random(5)
+    known = S.templates(spark).select(F.explode(S.grams(S.terms(F.col("body")))).alias("h"))
+    vocabulary = S.Vocabulary([r["h"] for r in known.distinct().collect()])
+    families = sorted(S.TEMPLATES) + [S.UNKNOWN]
+    weights = [[-1.0 if f != S.UNKNOWN else lift] + [
+        pick.gauss(0, 2) for _ in vocabulary.hashes] for f in families]
+    model = S.Model(families, vocabulary, weights, [pick.gauss(0, 0.2) for _ in families], 0.5)
+    rows = [(i, t) for i, t in corpus[0] if i is not None] + [
+        (2000, " * of the\n# the license\n\n--\nof\nthe\n\t\nthe the the"), (2001, "  the \r\nof\n")]
+    marks = sorted({h for r in S.templates(spark).select(
+        S.triples(S.terms(F.col("body"))).alias("t")).collect() for h in r["t"]})
+    docs = frame(spark, rows)
+    lines = S.paragraphs(docs, "doc_id", "text").select(
+        "doc_id", "paragraph", F.col("paragraph").alias("last"), "body")
+    wanted = lines.union(spark.createDataFrame(plain_paragraphs(rows), lines.schema)).select(
+        "*", S.grams(S.terms(F.col("body"))).alias("h"), F.array_intersect(
+            F.lit(marks), S.triples(S.terms(F.col("body")))).alias("found")).select(
+        "*", model.probabilities(model.logits(F.col("h"))).alias("chances")).collect()
+    got = S.units(docs, "doc_id", "text", model, F.lit(marks), 3).collect()
+    key = lambda r: (r["doc_id"], r["paragraph"], r["last"], r["body"])
+    told = {key(r): r for r in got}
+    assert set(told) <= {key(r) for r in wanted} and len(got) > 10
+    kept = 0
+    for r in wanted:
+        best = families[r["chances"].index(max(r["chances"]))]
+        if best != S.UNKNOWN or (r["last"] > r["paragraph"] and len(r["found"]) >= 3):
+            assert told[key(r)]["chances"] == pytest.approx(r["chances"], abs=1e-9)
+            assert sorted(told[key(r)]["found"]) == sorted(r["found"])
+            kept += 1
+    assert kept > 10
+
+
+def test_words_of_a_unit_are_split_once(spark, monkeypatch):
+    vocabulary = S.Vocabulary([5, 77, -9])
+    families = sorted(S.TEMPLATES) + [S.UNKNOWN]
+    model = S.Model(families, vocabulary, [[0.0, 0.5, 1.0, 1.5]] * 8, [0.1] * 8)
+    plans, staged = [], S.staged
+    monkeypatch.setattr(S, "staged", lambda f, name: plans.append(
+        f._jdf.queryExecution().executedPlan().toString()) or staged(f, name))
+    S.scan(frame(spark, awkward()), model)
+    assert plans[0].count("split(") == 2    # the lines of a text, the words of a line
