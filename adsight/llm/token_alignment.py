@@ -19,7 +19,7 @@ from adsight.plans.stages import staged
 
 FIRST = public_tokenizers.path("byte_bpe_50k.json")     # tokenizer A
 SECOND = public_tokenizers.path("piece_bpe_32k.model")  # tokenizer B
-BLOCK_BYTES = 2 << 20   # text that is aligned together
+BLOCK_BYTES = 1 << 19   # text that is aligned together
 UNITS = 150_000         # units of text whose alignment a task remembers
 RUN_BYTES = 16_384      # units that are encoded as one text
 HOT = 1 << 18           # id pairs at most whose counts are sent to every task
@@ -430,6 +430,12 @@ def _aligned_blocks(docs: DataFrame, id_col: str, text_col: str, sent: Sent) ->
     return _narrow(docs, id_col, text_col).mapInArrow(scan, schema)
 
 
+def _rows(batch: pa.RecordBatch):
+    """Rows as dictionaries, one after the other, as those of blocks are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _pair_counts(blocks: DataFrame) -> DataFrame:
     """Links of every id pair in the corpus, and whether none of its B id's pairs has more."""
     def scan(batches):
@@ -442,7 +448,7 @@ def _pair_counts(blocks: DataFrame) -> DataFrame:
                 names=["b_id", "a_id", "n"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 known, places = unpack_sorted(row["pairs"]), unpack_sorted(row["at"])
                 at = (places % np.uint64(max(len(known), 1))).astype(np.int64)
                 links = np.zeros(len(known), np.int64)
@@ -515,7 +521,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 pairs = unpack_sorted(row["pairs"])
                 pairs = pairs[~_look_up(pairs, hot.value["pairs"])[1]]
                 yield pa.RecordBatch.from_arrays([

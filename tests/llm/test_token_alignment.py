@@ -133,3 +133,22 @@ def test_row_products_equal_dense_ones():
         out = np.zeros((m, k), np.int64)
         out[back.rows(), back.columns] = back.values
         assert (out == dense[1].T).all()
+
+
+def test_a_block_of_new_units_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    with open(ta.FIRST, encoding="utf-8") as names, open(ta.SECOND, "rb") as model:
+        lexicon = ta.Lexicon(ta.Tokenizers(names.read(), model.read()))
+    pick = random.Random(8)
+    texts = [" ".join("".join(pick.choices("abcdefghij", k=7)) for _ in range(500)).encode()
+             for _ in range(525)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(525)), pa.array(texts)], names=["i", "t"])
+    tracemalloc.start()
+    try:
+        told = sum(len(block.pairs()) > 0 for _, block in ta._blocks_of([batch], lexicon))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert told and peak < 350e6, peak
