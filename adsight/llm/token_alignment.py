@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import os
 
 import numpy as np
@@ -21,7 +23,10 @@ FIRST = public_tokenizers.path("byte_bpe_50k.json")     # tokenizer A
 SECOND = public_tokenizers.path("piece_bpe_32k.model")  # tokenizer B
 BLOCK_BYTES = 1 << 19   # text that is aligned together
 UNITS = 150_000         # units of text whose alignment a task remembers
+UNIT_BYTES = 96 << 20   # bytes of all that is remembered of them, about
 RUN_BYTES = 16_384      # units that are encoded as one text
+NEW_BYTES = 1 << 17     # new units that are aligned together
+GROUP = 16              # blocks that a reader of the stored ones holds at once
 HOT = 1 << 18           # id pairs at most whose counts are sent to every task
 FLUSH = 1 << 20         # id pairs that a counting task adds up before it passes them on
 
@@ -128,6 +133,15 @@ class Tokenizers:
         return tuple(np.array(ids, np.int64) for ids in both)
 
 
+@functools.lru_cache(maxsize=1)
+def _loaded(first: str, second: bytes) -> Tokenizers:
+    """The tokenizers of a Python process, which its tasks share.
+
+    Loaded anew for every task they take more memory with each, as freed memory is not whole.
+    """
+    return Tokenizers(first, second)
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -135,6 +149,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Grown:
+    """Numbers at the end of which others are put, in 32 bits unless said; space is kept."""
+
+    def __init__(self, kind: type = np.int32):
+        self.space, self.held = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.held + len(values)
+        if end > len(self.space):
+            space = np.empty(max(end, 2 * len(self.space)), self.space.dtype)
+            space[:self.held] = self.space[:self.held]
+            self.space = space
+        self.space[self.held:end] = values
+        self.held = end
+
+    def all(self) -> np.ndarray:
+        return self.space[:self.held]
+
+
 class Lexicon:
     """Units of text, encoded and aligned once.
 
@@ -146,26 +179,42 @@ class Lexicon:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
+        # Per kind: values of all units, and where each unit's begin.
+        self.flat = {name: Grown() for name in (
+            "a", "b", "a_group", "b_group", "link_a", "link_b", "link_bytes", "shared_a",
+            "shared_b")}
+        self.starts = {name: Grown(np.int64) for name in ("a", "b", "links", "shared")}
+        self.groups, self.whole = Grown(), Grown(bool)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.digests: list[bytes] = []
-        none = np.zeros(0, np.int64)
-        # Per kind: values of all units, and where each unit's begin.
-        self.flat = {name: none for name in (
-            "a", "b", "a_group", "b_group", "link_a", "link_b", "link_bytes", "shared_a",
-            "shared_b")}
-        self.starts = {name: np.zeros(1, np.int64) for name in ("a", "b", "links", "shared")}
-        self.groups, self.whole = none, np.zeros(0, bool)
+        self.text_bytes = 0     # of units and digests
+        for values in (*self.flat.values(), *self.starts.values(), self.groups, self.whole):
+            values.held = 0
+        for starts in self.starts.values():
+            starts.add(np.zeros(1, np.int64))
+
+    def full(self) -> bool:
+        """Whether more is remembered than should be."""
+        return len(self.known) > UNITS or UNIT_BYTES < self.text_bytes + 150 * len(
+            self.known) + sum(4 * values.held for values in self.flat.values())
 
     def numbers(self, units: list[bytes]) -> np.ndarray:
-        """Number of every unit; new ones are encoded and aligned together."""
+        """Number of every unit; new ones are encoded and aligned together, in pieces."""
         known, before = self.known, len(self.known)
-        found = [known.setdefault(unit, len(known)) for unit in units]
-        if len(known) > before:
-            self._add(list(known)[before:])
-        return np.array(found, np.int64)
+        found = np.array([known.setdefault(unit, len(known)) for unit in units], np.int64)
+        new, held = [], 0
+        for unit in itertools.islice(known, before, None) if len(known) > before else ():
+            new.append(unit)
+            held += len(unit)
+            if held >= NEW_BYTES:
+                self._add(new)
+                new, held = [], 0
+        if new:
+            self._add(new)
+        return found
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
         """Ids of all units in sequence, which units are whole, and where their bytes end.
@@ -220,14 +269,16 @@ class Lexicon:
                "shared_a": rows["shared"] - a_starts[a_unit[rows["shared"]]],
                "shared_b": shared.columns - b_starts[b_unit[shared.columns]]}
         for name, values in new.items():
-            self.flat[name] = np.concatenate((self.flat[name], values))
+            self.flat[name].add(values)
         for name, starts in (("a", a_starts), ("b", b_starts), ("links", links.starts[a_starts]),
                              ("shared", shared.starts[a_starts])):
             held = self.starts[name]
-            self.starts[name] = np.concatenate((held, starts[1:] + held[-1]))
-        self.groups = np.concatenate((self.groups, np.diff(before)))
-        self.whole = np.concatenate((self.whole, whole))
-        self.digests += self._shown(a, b, a_group, b_group, a_starts, b_starts)
+            held.add(starts[1:] + held.all()[-1])
+        self.groups.add(np.diff(before))
+        self.whole.add(whole)
+        digests = self._shown(a, b, a_group, b_group, a_starts, b_starts)
+        self.digests += digests
+        self.text_bytes += sum(map(len, units)) + sum(map(len, digests))
 
     def _shown(self, a, b, a_group, b_group, a_starts, b_starts) -> list[bytes]:
         """Per unit the groups as ``a1,a2|b1;a3|b2,b3;``."""
@@ -246,12 +297,14 @@ class Lexicon:
 
     def take(self, name: str, units: np.ndarray) -> np.ndarray:
         """Values of one kind over a sequence of units."""
-        starts = self.starts[{"l": "links", "s": "shared"}.get(name[0], name[0])]
-        return self.flat[name][ranges_of(starts[units], starts[units + 1] - starts[units])]
+        starts = self.starts[{"l": "links", "s": "shared"}.get(name[0], name[0])].all()
+        return self.flat[name].all()[
+            ranges_of(starts[units], starts[units + 1] - starts[units])].astype(np.int64)
 
     def sizes(self, name: str, units: np.ndarray) -> np.ndarray:
         """How many values each unit has."""
-        return self.starts[name][units + 1] - self.starts[name][units]
+        starts = self.starts[name].all()
+        return starts[units + 1] - starts[units]
 
 
 class Aligned:
@@ -266,7 +319,7 @@ class Aligned:
         numbers = lexicon.numbers([raw[i:j] for i, j in zip(units[:-1].tolist(),
                                                             units[1:].tolist())])
         starts = np.searchsorted(units, ends)   # an empty text begins where the next one does
-        spoiled = _sums(~lexicon.whole[numbers], starts) > 0
+        spoiled = _sums(~lexicon.whole.all()[numbers], starts) > 0
         kept = np.repeat(~spoiled, np.diff(starts))
         self.units = numbers[kept]
         self.starts = running(_sums(kept, starts))    # where each text's units begin
@@ -276,7 +329,7 @@ class Aligned:
         return _sums(self.lexicon.sizes(name, self.units), self.starts)
 
     def groups(self) -> np.ndarray:
-        return _sums(self.lexicon.groups[self.units], self.starts)
+        return _sums(self.lexicon.groups.all()[self.units], self.starts)
 
     def digests(self) -> list[str]:
         """SHA-256 of every text's groups; empty without tokens."""
@@ -289,9 +342,13 @@ class Aligned:
         """Id pairs of all links in order, the second tokenizer's id in the upper half."""
         lexicon, units = self.lexicon, self.units
         sizes = lexicon.sizes("links", units)
-        a_at = np.repeat(lexicon.starts["a"][units], sizes) + lexicon.take("link_a", units)
-        b_at = np.repeat(lexicon.starts["b"][units], sizes) + lexicon.take("link_b", units)
-        return lexicon.flat["b"][b_at] << 32 | lexicon.flat["a"][a_at]
+        a, b = (np.repeat(lexicon.starts[name].all()[units], sizes) for name in ("a", "b"))
+        a += lexicon.take("link_a", units)
+        b += lexicon.take("link_b", units)
+        pairs = lexicon.flat["b"].all()[b].astype(np.int64)
+        pairs <<= 32
+        pairs |= lexicon.flat["a"].all()[a]
+        return pairs
 
 
 def unit_starts(raw: bytes, ends: np.ndarray) -> np.ndarray:
@@ -316,7 +373,7 @@ class Sent:
         self.files = docs.sparkSession.sparkContext.broadcast((names, model))
 
     def lexicon(self) -> Lexicon:
-        return Lexicon(Tokenizers(*self.files.value))
+        return Lexicon(_loaded(*self.files.value))
 
 
 def _blocks_of(batches, lexicon: Lexicon):
@@ -325,16 +382,17 @@ def _blocks_of(batches, lexicon: Lexicon):
     for batch in batches:
         kind = batch.schema.field(0).type
         for name, text in zip(*batch.columns):
-            ids.append(name)
+            ids.append(name.as_py())
             texts.append(text.as_py() or b"")
             held += len(texts[-1])
             if held >= BLOCK_BYTES:
-                yield pa.array([i.as_py() for i in ids], kind), Aligned(lexicon, texts)
+                yield pa.array(ids, kind), Aligned(lexicon, texts)
                 ids, texts, held = [], [], 0
-                if len(lexicon.known) > UNITS:
+                if lexicon.full():
                     lexicon.clear()
+        batch = name = text = None      # not held while the next one is read
     if ids:
-        yield pa.array([i.as_py() for i in ids], kind), Aligned(lexicon, texts)
+        yield pa.array(ids, kind), Aligned(lexicon, texts)
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -364,7 +422,7 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             text = np.repeat(np.arange(len(ids)), np.diff(block.starts))
             before = {}     # tokens and groups of the same text before each unit
             for name, own in (("a", lexicon.sizes("a", units)), ("b", lexicon.sizes("b", units)),
-                              ("group", lexicon.groups[units])):
+                              ("group", lexicon.groups.all()[units])):
                 ends = running(own)
                 before[name] = ends[:-1] - ends[block.starts[text]]
             columns = [ids]
@@ -391,6 +449,21 @@ def alignments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _narrow(docs, id_col, text_col).mapInArrow(scan, schema)
 
 
+def _packed(planes: bytes) -> bytes:
+    """Eight byte planes without the upper ones that are all zero, after a byte with their number.
+
+    Most numbers of a block have one or two bytes, and its row is held whole by readers.
+    """
+    size = len(planes) // 8
+    used = -(-len(planes.rstrip(b"\0")) // max(size, 1)) or 1
+    return bytes([used]) + planes[:used * size]
+
+
+def _planes(blob: bytes) -> bytes:
+    """Inverse of :func:`_packed`."""
+    return blob[1:] + bytes((len(blob) - 1) // blob[0] * (8 - blob[0]))
+
+
 COUNTED = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 
@@ -398,7 +471,7 @@ def _aligned_blocks(docs: DataFrame, id_col: str, text_col: str, sent: Sent) ->
     """One row per block: what is told of its texts, and its distinct id pairs with their links.
 
     pairs: sorted and packed; of_text, at, links: how many distinct pairs each text has, their
-    numbers among the block's pairs, and the links of each.
+    numbers among the block's pairs, and the links of each. All are cut by :func:`_packed`.
     """
     schema = T.StructType([
         T.StructField("block", T.LongType()),
@@ -421,7 +494,7 @@ def _aligned_blocks(docs: DataFrame, id_col: str, text_col: str, sent: Sent) ->
                 pa.array([number]), pa.array([ids.to_pylist()], pa.list_(ids.type)),
                 *(pa.array([c.tolist()], pa.list_(pa.int64())) for c in counts),
                 pa.array([block.digests()], pa.list_(pa.string())),
-                *(pa.array([x], pa.binary()) for x in (
+                *(pa.array([_packed(x)], pa.binary()) for x in (
                     pack_sorted(pairs.astype(np.uint64)), pack_counts(of_text),
                     pack_sorted(places.astype(np.uint64)), pack_counts(links)))],
                 names=schema.names)
@@ -449,10 +522,10 @@ def _pair_counts(blocks: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in _rows(batch):
-                known, places = unpack_sorted(row["pairs"]), unpack_sorted(row["at"])
+                known, places = (unpack_sorted(_planes(row[c])) for c in ("pairs", "at"))
                 at = (places % np.uint64(max(len(known), 1))).astype(np.int64)
                 links = np.zeros(len(known), np.int64)
-                np.add.at(links, at, unpack_counts(row["links"]))
+                np.add.at(links, at, unpack_counts(_planes(row["links"])))
                 both = np.concatenate((pairs, known))
                 pairs, place = np.unique(both, return_inverse=True)
                 merged = np.zeros(len(pairs), np.int64)
@@ -473,7 +546,7 @@ def pair_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 first: str = FIRST, second: str = SECOND) -> DataFrame:
     """b_id, a_id, n (links of the pair in all texts) and best (no pair of this B id has more)."""
     sent = Sent(docs, first, second)
-    return _pair_counts(staged(_aligned_blocks(docs, id_col, text_col, sent), "aligned"))
+    return _pair_counts(staged(_aligned_blocks(docs, id_col, text_col, sent), "aligned", GROUP))
 
 
 def _frequent(counts: DataFrame) -> tuple[int, dict[str, np.ndarray]]:
@@ -514,7 +587,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id pairs, one row per pair and task. The counts of the at most ``HOT`` most frequent pairs go
     to every task (17 bytes each); all other pairs of a block are joined with the table of counts.
     """
-    blocks = staged(_aligned_blocks(docs, id_col, text_col, Sent(docs, first, second)), "aligned")
+    sent = Sent(docs, first, second)
+    blocks = staged(_aligned_blocks(docs, id_col, text_col, sent), "aligned", GROUP)
     counts = staged(_pair_counts(blocks), "id_pairs")
     bound, frequent = _frequent(counts)
     hot = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -522,7 +596,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def ask(batches):
         for batch in batches:
             for row in _rows(batch):
-                pairs = unpack_sorted(row["pairs"])
+                pairs = unpack_sorted(_planes(row["pairs"]))
                 pairs = pairs[~_look_up(pairs, hot.value["pairs"])[1]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(pairs), row["block"], np.int64)),
@@ -539,7 +613,7 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def tell(texts: pa.Table, told: pa.Table) -> pa.Table:
         row = texts.to_pylist()[0]
-        pairs, places = unpack_sorted(row["pairs"]), unpack_sorted(row["at"])
+        pairs, places = (unpack_sorted(_planes(row[c])) for c in ("pairs", "at"))
         place, known = _look_up(pairs, hot.value["pairs"])
         n, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         n[known], best[known] = (hot.value[c][place[known]] for c in ("n", "best"))
@@ -547,7 +621,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                              | told["a_id"].to_numpy().astype(np.uint64))
         n[at] = told["n"].to_numpy()
         best[at] = told["best"].to_numpy(zero_copy_only=False)
-        links, starts = unpack_counts(row["links"]), running(unpack_counts(row["of_text"]))
+        links, of_text = (unpack_counts(_planes(row[c])) for c in ("links", "of_text"))
+        starts = running(of_text)
         at = (places % np.uint64(max(len(pairs), 1))).astype(np.int64)
         return pa.table({
             id_col: pa.array(row["ids"], texts.schema.field("ids").type.value_type),

@@ -9,14 +9,15 @@ from adsight.plans.session import scratch
 TASK_ROWS = 500_000     # rows that one task of distinct_rows holds, about
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
+def staged(frame: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Writes a frame to the shared scratch folder and returns a scan of it.
 
     The written table survives executor loss and keeps statistics, so later joins are planned on
-    real sizes.
+    real sizes. ``group_rows``: rows of a row group, which readers hold at once, for large rows.
     """
     path = scratch(frame.sparkSession, name)
-    frame.write.parquet(path)
+    limits = {"parquet.block.row.count.limit": group_rows} if group_rows else {}
+    frame.write.options(**limits).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -152,3 +152,77 @@ def test_a_block_of_new_units_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert told and peak < 350e6, peak
+
+
+def of_one_process():
+    with open(ta.FIRST, encoding="utf-8") as names, open(ta.SECOND, "rb") as model:
+        return ta.Lexicon(ta._loaded(names.read(), model.read()))
+
+
+def test_tasks_of_a_process_share_the_tokenizers():
+    assert of_one_process().tokenizers is of_one_process().tokenizers
+
+
+def test_long_units_are_forgotten_too():
+    import tracemalloc
+
+    import pyarrow as pa
+    lexicon, pick = of_one_process(), random.Random(9)
+    texts = ["".join(chr(pick.randint(0x4E00, 0x9FA5)) for _ in range(1100)).encode()
+             for _ in range(1800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1800)), pa.array(texts)], names=["i", "t"])
+    tracemalloc.start()
+    try:
+        told = sum(len(block.units) for _, block in ta._blocks_of([batch], lexicon))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert told == 1800 and peak < 350e6, peak
+
+
+def test_a_text_of_new_units_takes_little_memory():
+    import tracemalloc
+    lexicon, pick = of_one_process(), random.Random(10)
+    whole = " ".join("".join(pick.choices("abcdefghij", k=7)) for _ in range(250_000)).encode()
+    tracemalloc.start()
+    try:
+        block = ta.Aligned(lexicon, [whole])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert block.per_text("links")[0] and peak < 400e6, peak
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = [text(s).encode() for s in range(6)] + [b"", "a\u2581b".encode()]
+    whole = ta.Aligned(of_one_process(), texts)
+    want = whole.digests(), whole.pairs().tolist(), whole.groups().tolist()
+    monkeypatch.setattr(ta, "NEW_BYTES", 50)
+    lexicon = of_one_process()
+    for _ in range(2):
+        again = ta.Aligned(lexicon, texts)
+        assert (again.digests(), again.pairs().tolist(), again.groups().tolist()) == want
+        lexicon.clear()
+
+
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 3], [255, 256], [1, 2**63], [2**64 - 1]])
+def test_packed_blobs_lose_nothing(values):
+    numbers = np.array(values, np.uint64)
+    blob = ta._packed(ta.pack_sorted(numbers))
+    assert ta.unpack_sorted(ta._planes(blob)).tolist() == values
+    small = np.array([v for v in values if v < 2**63], np.int64)
+    assert ta.unpack_counts(ta._planes(ta._packed(ta.pack_counts(small)))).tolist() == small.tolist()
+
+
+def test_stored_blocks_are_small_and_read_in_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    docs = frame(spark, [(i, text(i, 400)) for i in range(1700)]).coalesce(1)
+    blocks = ta._aligned_blocks(docs, "doc_id", "text", ta.Sent(docs, ta.FIRST, ta.SECOND))
+    stored = ta.staged(blocks.unionAll(blocks).coalesce(1), "aligned", 1)
+    own = stored.selectExpr("size(ids) as n", "length(at) + length(links) as b",
+                            "aggregate(n_links, 0L, (s, x) -> s + x) as k").collect()
+    assert sum(r["n"] for r in own) == 3400 and all(r["b"] < 4 * r["k"] for r in own)
+    for path in glob.glob(stored.inputFiles()[0].removeprefix("file:")):
+        assert pq.ParquetFile(path).num_row_groups == len(own)
